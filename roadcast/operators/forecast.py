@@ -69,10 +69,11 @@ def notes_column(df: DataFrame, flag: str = "requires_road_closure") -> DataFram
 def forecast(incoming: DataFrame, base: Baselines, with_notes: bool = False) -> DataFrame:
     """FC6: one forecast row per incoming incident."""
     m = tiered_match(incoming_features(incoming), base)
-    m = m.withColumn("corridor", F.col("match_corridor"))
+    m = m.withColumns({"corridor_input": F.col("corridor"), "corridor": F.col("match_corridor")})
     f = severity_columns(m)
     cols = list(FORECAST_COLUMNS)
     extra = [c for c in incoming.columns if c not in cols and c not in ("planned_start",)]
+    extra.append("corridor_input")
     if with_notes:
         f = notes_column(f)
         cols.append("notes")

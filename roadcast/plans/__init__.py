@@ -1,6 +1,6 @@
 """Query catalog: importing this package registers every query."""
 
-from roadcast.plans import q_forecast, q_ingest  # noqa: F401
+from roadcast.plans import q_deploy, q_forecast, q_ingest, q_queue  # noqa: F401
 from roadcast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
