@@ -34,7 +34,12 @@ class Baselines:
 def prepare_baselines(clean: DataFrame, materialise: bool = True,
                       max_rows: int = BROADCAST_MAX_ROWS) -> Baselines:
     """Aggregate all grains once; checkpoint + count; broadcast under the limit."""
-    grains = B.all_grains(clean)
+    return baselines_from_grains(B.all_grains(clean), materialise, max_rows)
+
+
+def baselines_from_grains(grains: DataFrame, materialise: bool = True,
+                          max_rows: int = BROADCAST_MAX_ROWS) -> Baselines:
+    """Split a grain-tagged aggregate (e.g. a refreshed one) into the three tiers."""
     n = None
     if materialise:
         grains = materialize(grains)
