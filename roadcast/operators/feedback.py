@@ -157,7 +157,8 @@ def combined_history(clean: DataFrame, events: DataFrame) -> DataFrame:
     return c.unionByName(events, allowMissingColumns=True)
 
 
-def refresh_baseline(old_grains: DataFrame, clean: DataFrame, events: DataFrame) -> DataFrame:
+def refresh_baseline(old_grains: DataFrame, clean: DataFrame, events: DataFrame,
+                     touched_events: DataFrame | None = None) -> DataFrame:
     """FB6 (incremental): recompute only the groups the feedback touches.
 
     Medians do not merge, so touched groups are rebuilt from their full
@@ -166,7 +167,8 @@ def refresh_baseline(old_grains: DataFrame, clean: DataFrame, events: DataFrame)
     """
     # Touched groups are at most the baseline's groups plus new ones: counted
     # before they are broadcast.
-    touched = broadcast_if_small(BL.grain_rows(events).select("grain", *BL.KEYS).distinct())
+    source = events if touched_events is None else touched_events
+    touched = broadcast_if_small(BL.grain_rows(source).select("grain", *BL.KEYS).distinct())
     rows = BL.grain_rows(combined_history(clean, events))
     keys = ["grain"] + BL.KEYS
     cond = [rows[k].eqNullSafe(touched[k]) for k in keys]
