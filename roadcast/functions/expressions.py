@@ -72,7 +72,8 @@ def title_words(c: Column) -> Column:
 def np_round(x: Column, digits: int) -> Column:
     """Round like ``numpy.round``: half-even on ``x * 10**digits``."""
     scale = float(10 ** digits)
-    return F.bround(x * F.lit(scale), 0) / F.lit(scale)
+    # "+ 0.0" turns a negative zero (e.g. cos(3*pi/2) rounded) into 0.0
+    return F.bround(x * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
 
 
 def pct0(x: Column) -> Column:

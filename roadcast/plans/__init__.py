@@ -1,6 +1,6 @@
 """Query catalog: importing this package registers every query."""
 
-from roadcast.plans import q_deploy, q_evidence, q_feedback, q_forecast, q_ingest, q_queue, q_stream, q_validate  # noqa: F401
+from roadcast.plans import q_deploy, q_evidence, q_feedback, q_forecast, q_ingest, q_ml, q_queue, q_stream, q_validate  # noqa: F401
 from roadcast.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

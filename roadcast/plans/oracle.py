@@ -96,7 +96,7 @@ from flagged where not (f_missing or f_negative or f_unplanned or f_planned)
 def rnd(x: str, digits: int) -> str:
     """numpy-style rounding: half-even on x * 10**digits."""
     scale = f"{10 ** digits}.0::double"
-    return f"(round_even(({x}) * {scale}, 0) / {scale})"
+    return f"(round_even(({x}) * {scale}, 0) / {scale} + 0.0::double)"
 
 
 def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
