@@ -40,57 +40,85 @@ BASELINE_COLUMNS = ["corridor", "event_cause", "is_weekend", "hour_bucket", "eve
                     "mean_duration_minutes", "median_duration_minutes", "match_level"]
 
 
-def grain_rows(clean: DataFrame, grains=("fine", "coarse", "cause")) -> DataFrame:
-    """One row per (incident, grain); keys outside the grain are null."""
-    structs = []
-    for g in grains:
-        keys = GRAINS[g]
-        fields = [F.lit(g).alias("grain")]
-        for k in KEYS:
-            fields.append((F.col(k) if k in keys else F.lit(None).cast(KEY_TYPES[k])).alias(k))
-        structs.append(F.struct(*fields))
-    # A null key never forms a group of the grain that uses it.
+GRAIN_IDS = {"fine": 0, "coarse": 64, "cause": 88}  # grouping_id() bits: corridor 64, cause 32, weekend 16, band 8
+EXTRAS = ["_dur", "priority", "_closure"]
+
+
+def grain_counts(clean: DataFrame, grains=("fine", "coarse", "cause")) -> DataFrame:
+    """One pass over the history: row counts per (grain keys, duration, priority, closure).
+
+    A single ``GROUPING SETS`` aggregate (Expand + partial aggregation in the
+    scan stage) replaces one scan per statistic: counts, closure rate,
+    priority mode and the median's value counts are all derived from it.
+    A null key never forms a group of the grain that uses it.
+    """
+    src = clean.where(F.col("event_cause").isNotNull()).select(
+        *KEYS, F.col("id").isNotNull().alias("_has_id"),
+        F.coalesce(F.col("requires_road_closure"), F.lit(False)).alias("_closure"), "priority",
+        F.when(F.col("has_duration"), F.col("duration_minutes")).alias("_dur"))
+    sets = [[F.col(k) for k in GRAINS[g] + EXTRAS] for g in grains]
+    g = src.groupingSets(sets, *[F.col(k) for k in KEYS + EXTRAS]).agg(
+        F.count(F.lit(1)).alias("_c"), F.count_if("_has_id").alias("_c_id"),
+        F.grouping_id().alias("_gid"))
+    grain = None
+    for name in grains:
+        cond = F.col("_gid") == GRAIN_IDS[name]
+        grain = F.when(cond, F.lit(name)) if grain is None else grain.when(cond, F.lit(name))
+    g = g.withColumn("grain", grain)
     keep = None
-    for g in grains:
-        ok = F.col("grain") == g
-        for k in GRAINS[g]:
+    for name in grains:
+        ok = F.col("grain") == name
+        for k in GRAINS[name]:
             ok = ok & F.col(k).isNotNull()
         keep = ok if keep is None else keep | ok
-    return clean.where(F.col("event_cause").isNotNull()).select(
-        F.explode(F.array(*structs)).alias("_g"), "id",
-        F.coalesce(F.col("requires_road_closure"), F.lit(False)).alias("_closure"), "priority",
-        F.when(F.col("has_duration"), F.col("duration_minutes")).alias("_dur"),
-    ).select("_g.*", "id", "_closure", "priority", "_dur").where(keep)
+    return g.where(keep).drop("_gid")
 
 
-def grain_stats(rows: DataFrame) -> DataFrame:
+def grain_stats(counts: DataFrame) -> DataFrame:
+    """Per-group statistics from :func:`grain_counts` (all further work is on counted rows)."""
     keys = ["grain"] + KEYS
+    c = F.col("_c")
     # Means from exact sums (0/1 counts, whole microseconds as DECIMAL) so the
     # result does not depend on the order in which tasks add up doubles.
-    micros = F.round(F.col("_dur") * F.lit(60000000.0)).cast("decimal(38,0)")
-    stats = rows.groupBy(*keys).agg(
-        F.count("id").alias("event_count"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if("_closure").alias("_closed"),
-        F.coalesce(F.mode("priority", True), F.lit("Unknown")).alias("priority_mode"),
-        F.count("_dur").alias("_dur_n"),
+    micros = F.round(F.col("_dur") * F.lit(60000000.0)).cast("decimal(38,0)") * c
+    stats = counts.groupBy(*keys).agg(
+        F.sum("_c_id").alias("event_count"),
+        F.sum(c).alias("_rows"),
+        F.sum(F.when(F.col("_closure"), c).otherwise(F.lit(0))).alias("_closed"),
+        F.sum(F.when(F.col("_dur").isNotNull(), c).otherwise(F.lit(0))).alias("_dur_n"),
         F.sum(micros).alias("_dur_us"),
     ).withColumns({
         "road_closure_rate": np_round(F.col("_closed").cast("double") / F.col("_rows"), 4),
         "mean_duration_minutes": np_round(
             F.col("_dur_us").cast("double") / F.col("_dur_n") / F.lit(60000000.0), 2),
     })
-    med = grouped_exact_median(rows, keys, "_dur", "_median")
-    joined = stats.join(med, on=[stats[k].eqNullSafe(med[k]) for k in keys], how="left")
+    # Mode: counts per (group, priority), then the most frequent, smallest on ties.
+    pc = counts.where(F.col("priority").isNotNull()).groupBy(*keys, "priority").agg(F.sum(c).alias("_pn"))
+    mode = pc.groupBy(*keys).agg(F.min_by("priority", F.struct((-F.col("_pn")).alias("n"),
+                                                               F.col("priority").alias("p"))).alias("_mode"))
+    med = grouped_exact_median(counts, keys, "_dur", "_median", weight="_c")
+    # The three aggregates share the key attributes of ``counts``: rename the
+    # right-hand keys so the joins are unambiguous.
+    mode = mode.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mode")
+    med = med.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_median")
+    on_m = [stats[k].eqNullSafe(mode[f"_m_{k}"]) for k in keys]
+    on_d = [stats[k].eqNullSafe(med[f"_d_{k}"]) for k in keys]
+    joined = stats.join(mode, on=on_m, how="left").join(med, on=on_d, how="left")
     return joined.select(
-        *[stats[k] for k in keys], "event_count", "road_closure_rate", "priority_mode",
+        *[stats[k] for k in keys], F.col("event_count").cast("bigint").alias("event_count"),
+        "road_closure_rate", F.coalesce(F.col("_mode"), F.lit("Unknown")).alias("priority_mode"),
         F.when(stats["grain"] == "cause", F.col("_dur_n"))
-         .otherwise(F.when(F.col("_dur_n") > 0, F.col("_dur_n"))).alias("duration_count"),
+         .otherwise(F.when(F.col("_dur_n") > 0, F.col("_dur_n"))).cast("bigint").alias("duration_count"),
         "mean_duration_minutes",
         np_round(F.col("_median"), 2).alias("median_duration_minutes"),
     )
 
 
+def grain_rows(clean: DataFrame, grains=("fine", "coarse", "cause")) -> DataFrame:
+    """Counted grain rows (kept name for callers that select group keys)."""
+    return grain_counts(clean, grains)
+
+
 def all_grains(clean: DataFrame) -> DataFrame:
     """Every group of every grain (fine rows not yet thresholded)."""
     return grain_stats(grain_rows(clean))

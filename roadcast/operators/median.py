@@ -30,10 +30,16 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]):
 
 
 def grouped_exact_median(df: DataFrame, keys: list[str], value: str,
-                         out: str = "median", bucket_width: float = 1.0) -> DataFrame:
-    """Return ``keys + [out]`` with one row per group having a non-null value."""
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    vc = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+                         out: str = "median", bucket_width: float = 1.0,
+                         weight: str | None = None) -> DataFrame:
+    """Return ``keys + [out]`` with one row per group having a non-null value.
+
+    ``weight`` names a row-multiplicity column when ``df`` is already counted
+    (e.g. the output of a grouping-sets aggregate).
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w"))
+    vc = v.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"))
     vc = vc.withColumn("_b", F.floor(F.col("_v") / F.lit(float(bucket_width))))
 
     buckets = vc.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))

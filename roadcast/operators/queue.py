@@ -68,9 +68,9 @@ def confidence_score(label: Column, level: Column) -> Column:
             .when(lab.startswith("low") | (lev == "cause_only"), F.lit(S["low"]))
             .when(lab.contains("insufficient") | (lev == "no_data"), F.lit(S["insufficient"]))
             .otherwise(F.lit(S["unknown"])))
-    return (F.when(lev == "no_data", F.least(base, F.lit(S["insufficient"])))
-            .when(lev == "cause_only", F.least(base, F.lit(S["low"])))
-            .otherwise(base))
+    cap = (F.when(lev == "no_data", F.lit(S["insufficient"]))
+           .when(lev == "cause_only", F.lit(S["low"])).otherwise(F.lit(S["high"])))
+    return F.least(base, cap)  # base <= 1.0, so the cap only bites on the two thin tiers
 
 
 def scored(q: DataFrame) -> DataFrame:
