@@ -63,17 +63,23 @@ def newest_k(history: DataFrame, keys: list[str], k: int) -> DataFrame:
         .where(F.col("evidence_rank") <= k)
 
 
+ANY_CORRIDOR = "\u0000any"  # lookup key of cause-level rows (never a real corridor)
+
+
 def evidence_top_k(fc: DataFrame, history: DataFrame, k: int = C.EVIDENCE_TOP_K) -> DataFrame:
-    """EV2: newest ``k`` evidence rows per forecast, by match level."""
-    by_cause = broadcast_if_small(newest_k(history, ["event_cause"], k))
-    by_pair = broadcast_if_small(newest_k(history, ["corridor", "event_cause"], k))
-    inc = fc.select("incident_id", F.col("event_cause").alias("_cause"), F.col("corridor").alias("_corr"),
-                    "match_level")
-    fine = inc.where(F.col("match_level") == "fine")
-    other = inc.where(F.col("match_level") != "fine")
-    a = fine.join(by_pair, (fine["_corr"] == by_pair["corridor"]) & (fine["_cause"] == by_pair["event_cause"]))
-    b = other.join(by_cause, other["_cause"] == by_cause["event_cause"])
-    return a.unionByName(b).drop("_cause", "_corr")
+    """EV2: newest ``k`` evidence rows per forecast, by match level.
+
+    Both top-k tables go into one lookup keyed by (corridor or a cause-level
+    marker, cause), so each forecast needs a single broadcast equi-join.
+    """
+    by_pair = newest_k(history, ["corridor", "event_cause"], k).withColumn("_kc", F.col("corridor"))
+    by_cause = newest_k(history, ["event_cause"], k).withColumn("_kc", F.lit(ANY_CORRIDOR))
+    lookup = broadcast_if_small(by_pair.unionByName(by_cause))
+    inc = fc.select("incident_id", F.col("event_cause").alias("_cause"), "match_level",
+                    F.when(F.col("match_level") == "fine", F.col("corridor"))
+                    .otherwise(F.lit(ANY_CORRIDOR)).alias("_key"))
+    j = inc.join(lookup, (inc["_key"] == lookup["_kc"]) & (inc["_cause"] == lookup["event_cause"]))
+    return j.drop("_cause", "_key", "_kc")
 
 
 def brief_evidence(top: DataFrame, k: int = C.BRIEF_TOP_K) -> DataFrame:
