@@ -144,3 +144,21 @@ def refresh_delta(spark, sf_dir):
                                       F.col("expected_duration_minutes").alias("median_after"),
                                       F.col("road_closure_probability").alias("closure_after"))
     return a.join(b, "incident_id", "full")
+
+
+@register("feedback_mixed_layout", W(FB_CTES, """
+select event_datetime, event_cause, corridor, actual_duration_minutes, actual_requires_road_closure, priority,
+  verified_by, verification_status from fb_norm"""))
+def feedback_mixed_layout(spark, sf_dir):
+    """SC7: the log written as text under an older header, recovered line by line."""
+    from roadcast.sources import feedback_files as FF
+    from roadcast.streaming.replay import scratch
+    log = ctx.feedback(spark, sf_dir)
+    rows = log.select(F.col("logged_at").alias("timestamp"), "event_datetime", "event_cause", "corridor",
+                      "actual_duration_minutes", "actual_requires_road_closure", "priority", "verified_by",
+                      "verification_status")
+    path = scratch(spark, "feedback-text")
+    FF.write_with_header(rows, path, FF.OLD_HEADER)
+    back = FB.normalise(FF.read_feedback_text(spark, path))
+    return back.select("event_datetime", "event_cause", "corridor", "actual_duration_minutes",
+                       "actual_requires_road_closure", "priority", "verified_by", "verification_status")

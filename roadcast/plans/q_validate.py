@@ -188,7 +188,7 @@ def threshold_sweep(spark, sf_dir):
     return VA.threshold_sweep(_scored(spark, sf_dir).where(F.col("fold") == "validation"))
 
 
-@register("binary_metrics", W(RATE_CTES, f"""
+BINARY_SQL = f"""
 select tp, fp, fn, tn, {O.rnd('(tp + tn)::double / (tp + fp + fn + tn)', 6)} as accuracy,
   {O.rnd('(case when tp + fn = 0 then 0.0 else tp::double / (tp + fn) end + case when tn + fp = 0 then 0.0 else tn::double / (tn + fp) end) / 2', 6)} as balanced_accuracy,
   {O.rnd('p', 6)} as precision, {O.rnd('r', 6)} as recall,
@@ -199,7 +199,10 @@ from (select *, case when tp + fp = 0 then 0.0 else tp::double / (tp + fp) end a
               count(*) filter (where s.score >= b.t and s.y = 0) as fp,
               count(*) filter (where s.score < b.t and s.y = 1) as fn,
               count(*) filter (where s.score < b.t and s.y = 0) as tn
-            from scored s, best b where s.fold = 'test'))"""))
+            from scored s, best b where s.fold = 'test'))"""
+
+
+@register("binary_metrics", W(RATE_CTES, BINARY_SQL))
 def binary_metrics(spark, sf_dir):
     """VA13: test-fold metrics of the cause-rate baseline at the tuned threshold."""
     scored = _scored(spark, sf_dir)
@@ -224,3 +227,15 @@ select fold, count(*) as rows, sum(y) as positives, {O.rnd('avg(y)', 4)} as posi
 def fold_profile(spark, sf_dir):
     """VA18: rows, positives, prevalence and date range per fold."""
     return VA.fold_profile(_s70(spark, sf_dir))
+
+
+METRIC_NAMES = ["tp", "fp", "fn", "tn", "accuracy", "balanced_accuracy", "precision", "recall", "f1"]
+
+
+@register("metric_report", W(RATE_CTES + [("bm", BINARY_SQL)], "\nunion all ".join(
+    f"select 'closure_benchmark' as run, 'cause_rate' as model, 'all' as label, '{m}' as metric, "
+    f"cast({m} as double) as value from bm" for m in METRIC_NAMES)))
+def metric_report(spark, sf_dir):
+    """SC10: long-form metric report (run, model, label, metric, value)."""
+    from roadcast.sources.sinks import metrics_long
+    return metrics_long("closure_benchmark", "cause_rate", binary_metrics(spark, sf_dir))
