@@ -197,3 +197,78 @@ def regression_metrics(pred: DataFrame, y: str = "duration_minutes", p: str = "p
               F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"), F.count(F.lit(1)).alias("rows"))
     return a.select("rows", F.when(F.col("_sst") == 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.col("_sse") / F.col("_sst"))
                     .alias("r2"), "mae")
+
+
+def soft_vote(train: DataFrame, test: DataFrame, categorical: list[str], numeric: list[str],
+              label: str = "y") -> DataFrame:
+    """EX9: mean positive-class probability of boosted trees, forest and logistic regression."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    models = {
+        "gbt": GBTClassifier(maxIter=50, maxDepth=5, seed=RANDOM_STATE),
+        "rf": RandomForestClassifier(numTrees=100, maxDepth=8, seed=RANDOM_STATE),
+        "logit": LogisticRegression(maxIter=100, regParam=0.01),
+    }
+    scored = None
+    for name, est in models.items():
+        m = Pipeline(stages=encoder_stages(categorical, numeric, label) + [est]).fit(train)
+        p = m.transform(test).select("id", vector_to_array("probability")[1].alias(f"p_{name}"))
+        scored = p if scored is None else scored.join(p, "id")
+    return test.select("id", "fold", label).join(scored, "id").withColumn(
+        "score", sum(F.col(f"p_{n}") for n in models) / F.lit(float(len(models))))
+
+
+def cv_tuning(train: DataFrame, categorical: list[str], numeric: list[str], label: str = "y",
+              folds: int = 3) -> DataFrame:
+    """EX11: k-fold cross-validated grid over forest size and depth (area under PR)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    rf = RandomForestClassifier(seed=RANDOM_STATE)
+    pipe = Pipeline(stages=encoder_stages(categorical, numeric, label) + [rf])
+    grid = ParamGridBuilder().addGrid(rf.numTrees, [50, 100]).addGrid(rf.maxDepth, [5, 8]).build()
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=RANDOM_STATE, parallelism=2,
+                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderPR"))
+    model = cv.fit(train)
+    rows = [(int(p[rf.numTrees]), int(p[rf.maxDepth]), float(m)) for p, m in zip(grid, model.avgMetrics)]
+    return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, area_under_pr double")
+
+
+def stacked_regression(train: DataFrame, test: DataFrame, categorical: list[str], numeric: list[str],
+                       folds: int = 3) -> DataFrame:
+    """EX8: out-of-fold predictions of boosted trees, forest and linear models, ridge on top."""
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+    bases = {
+        "gbt": lambda: GBTRegressor(labelCol="log_duration", maxIter=30, maxDepth=5, seed=RANDOM_STATE),
+        "rf": lambda: RandomForestRegressor(labelCol="log_duration", numTrees=50, maxDepth=8, seed=RANDOM_STATE),
+        "lin": lambda: LinearRegression(labelCol="log_duration", regParam=0.1),
+    }
+    tr = train.where(F.col("duration_minutes").isNotNull()).withColumns({
+        "log_duration": F.log1p("duration_minutes"),
+        "_fold": F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(RANDOM_STATE)), F.lit(folds))})
+
+    def predict_all(fit_on, apply_to):
+        out = apply_to.select("id")
+        for name, make in bases.items():
+            m = Pipeline(stages=encoder_stages(categorical, numeric) + [make()]).fit(fit_on)
+            out = out.join(m.transform(apply_to).select("id", F.col("prediction").alias(f"p_{name}")), "id")
+        return out
+
+    oof = None
+    for f in range(folds):
+        p = predict_all(tr.where(F.col("_fold") != f), tr.where(F.col("_fold") == f))
+        oof = p if oof is None else oof.unionByName(p)
+    meta_cols = [f"p_{n}" for n in bases]
+    meta_train = oof.join(tr.select("id", "log_duration"), "id")
+    meta = Pipeline(stages=[VectorAssembler(inputCols=meta_cols, outputCol="meta"),
+                            LinearRegression(featuresCol="meta", labelCol="log_duration", regParam=1.0,
+                                             elasticNetParam=0.0)]).fit(meta_train)
+    test_base = predict_all(tr, test)
+    return meta.transform(test_base).select("id", F.expm1("prediction").alias("predicted_minutes")).join(
+        test.select("id", "event_type", "duration_minutes"), "id")
+
+
+def export_model(train: DataFrame, categorical: list[str], numeric: list[str], path: str, label: str = "y"):
+    """EX14/SC9: fit on all rows, save the whole pipeline (vocabularies and layout included), reload."""
+    from pyspark.ml import PipelineModel
+    rf = RandomForestClassifier(numTrees=100, maxDepth=8, seed=RANDOM_STATE)
+    Pipeline(stages=encoder_stages(categorical, numeric, label) + [rf]).fit(train).write().overwrite().save(path)
+    return PipelineModel.load(path)

@@ -160,3 +160,39 @@ def duration_regression(spark, sf_dir):
 def regression_metrics(spark, sf_dir):
     """EX13: R-squared and MAE of the duration model (rows-only: depends on the fitted model)."""
     return ML.regression_metrics(_regression(spark, sf_dir))
+
+
+CLOSURE_CATS = ["event_cause", "corridor_clean", "event_type", "priority", "hour_bucket"]
+
+
+@register("soft_vote")
+def soft_vote(spark, sf_dir):
+    """EX9: soft-vote closure score of three classifiers (rows-only)."""
+    s = _closure_folds(spark, sf_dir)
+    return ML.soft_vote(s.where(F.col("fold") == "train"), s.where(F.col("fold") != "train"), CLOSURE_CATS,
+                        ["weekend_int"]).select("id", "fold", "y", "score")
+
+
+@register("cv_tuning")
+def cv_tuning(spark, sf_dir):
+    """EX11: cross-validated forest grid (rows-only)."""
+    s = _closure_folds(spark, sf_dir)
+    return ML.cv_tuning(s.where(F.col("fold") == "train"), CLOSURE_CATS, ["weekend_int"])
+
+
+@register("stacked_regression")
+def stacked_regression(spark, sf_dir):
+    """EX8: stacked duration regressors (rows-only)."""
+    s = _closure_folds(spark, sf_dir).withColumn("closure_int", F.col("y"))
+    cats = ["event_cause", "corridor_clean", "priority", "hour_bucket", "event_type"]
+    return ML.stacked_regression(s.where(F.col("fold") == "train"), s.where(F.col("fold") != "train"), cats,
+                                 ["weekend_int", "closure_int"])
+
+
+@register("model_export")
+def model_export(spark, sf_dir):
+    """EX14/SC9: full-data closure model saved as a pipeline, reloaded and applied (rows-only)."""
+    from roadcast.streaming.replay import scratch
+    s = _closure_folds(spark, sf_dir)
+    model = ML.export_model(s, CLOSURE_CATS, ["weekend_int"], scratch(spark, "closure-model"))
+    return model.transform(s).select("id", ML.vector_to_array("probability")[1].alias("score"))
