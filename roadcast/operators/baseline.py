@@ -81,29 +81,30 @@ def grain_stats(counts: DataFrame) -> DataFrame:
     # Means from exact sums (0/1 counts, whole microseconds as DECIMAL) so the
     # result does not depend on the order in which tasks add up doubles.
     micros = F.round(F.col("_dur") * F.lit(60000000.0)).cast("decimal(38,0)") * c
-    stats = counts.groupBy(*keys).agg(
-        F.sum("_c_id").alias("event_count"),
-        F.sum(c).alias("_rows"),
-        F.sum(F.when(F.col("_closure"), c).otherwise(F.lit(0))).alias("_closed"),
-        F.sum(F.when(F.col("_dur").isNotNull(), c).otherwise(F.lit(0))).alias("_dur_n"),
-        F.sum(micros).alias("_dur_us"),
+    # Counts per (group, priority) carry every additive statistic, so one
+    # further aggregate yields both the statistics and the priority mode
+    # (most frequent, smallest on ties; null priorities never win).
+    pc = counts.groupBy(*keys, "priority").agg(
+        F.sum("_c_id").alias("_pid"), F.sum(c).alias("_pn"),
+        F.sum(F.when(F.col("_closure"), c).otherwise(F.lit(0))).alias("_pcl"),
+        F.sum(F.when(F.col("_dur").isNotNull(), c).otherwise(F.lit(0))).alias("_pdn"),
+        F.sum(micros).alias("_pus"))
+    order = F.when(F.col("priority").isNotNull(), F.struct((-F.col("_pn")).alias("n"), F.col("priority").alias("p")))
+    stats = pc.groupBy(*keys).agg(
+        F.sum("_pid").alias("event_count"), F.sum("_pn").alias("_rows"), F.sum("_pcl").alias("_closed"),
+        F.sum("_pdn").alias("_dur_n"), F.sum("_pus").alias("_dur_us"),
+        F.min_by("priority", order).alias("_mode"),
     ).withColumns({
         "road_closure_rate": np_round(F.col("_closed").cast("double") / F.col("_rows"), 4),
         "mean_duration_minutes": np_round(
             F.col("_dur_us").cast("double") / F.col("_dur_n") / F.lit(60000000.0), 2),
     })
-    # Mode: counts per (group, priority), then the most frequent, smallest on ties.
-    pc = counts.where(F.col("priority").isNotNull()).groupBy(*keys, "priority").agg(F.sum(c).alias("_pn"))
-    mode = pc.groupBy(*keys).agg(F.min_by("priority", F.struct((-F.col("_pn")).alias("n"),
-                                                               F.col("priority").alias("p"))).alias("_mode"))
     med = grouped_exact_median(counts, keys, "_dur", "_median", weight="_c")
-    # The three aggregates share the key attributes of ``counts``: rename the
-    # right-hand keys so the joins are unambiguous.
-    mode = mode.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mode")
+    # Both aggregates share the key attributes of ``counts``: rename the
+    # right-hand keys so the join is unambiguous.
     med = med.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_median")
-    on_m = [stats[k].eqNullSafe(mode[f"_m_{k}"]) for k in keys]
     on_d = [stats[k].eqNullSafe(med[f"_d_{k}"]) for k in keys]
-    joined = stats.join(mode, on=on_m, how="left").join(med, on=on_d, how="left")
+    joined = stats.join(med, on=on_d, how="left")
     return joined.select(
         *[stats[k] for k in keys], F.col("event_count").cast("bigint").alias("event_count"),
         "road_closure_rate", F.coalesce(F.col("_mode"), F.lit("Unknown")).alias("priority_mode"),

@@ -31,36 +31,43 @@ def null_tokens(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
+def _time_columns(raw: DataFrame) -> dict[str, Column]:
+    """CL1-CL4 as composed expressions (no intermediate DataFrames)."""
+    types = {f.name: f.dataType.simpleString() for f in raw.schema.fields}
+    ts = {c: X.parse_timestamp(F.col(c), types[c]) for c in TS_COLUMNS if c in types}
+    eff = F.coalesce(ts["closed_datetime"], ts["resolved_datetime"], ts["end_datetime"])
+    return {**ts, "start_datetime_ist": X.to_local_wallclock(ts["start_datetime"]),
+            "effective_end_datetime": eff,
+            "duration_minutes": X.minutes_between(ts["start_datetime"], eff)}
+
+
 def with_parsed_times(raw: DataFrame) -> DataFrame:
     """CL1-CL4: parse timestamps, IST wall clock, effective end, duration."""
-    types = {f.name: f.dataType.simpleString() for f in raw.schema.fields}
-    parsed = {c: X.parse_timestamp(F.col(c), types[c]) for c in TS_COLUMNS if c in types}
-    df = raw.withColumns(parsed)
-    eff = F.coalesce(F.col("closed_datetime"), F.col("resolved_datetime"), F.col("end_datetime"))
-    return df.withColumns({
-        "start_datetime_ist": X.to_local_wallclock(F.col("start_datetime")),
-        "effective_end_datetime": eff,
-    }).withColumn("duration_minutes",
-                  X.minutes_between(F.col("start_datetime"), F.col("effective_end_datetime")))
-
-
-def _drop_flags() -> dict[str, Column]:
-    d = F.col("duration_minutes")
+    cols = _time_columns(raw)
+    return raw.select(*[F.col(c) for c in raw.columns if c not in cols],
+                      *[e.alias(n) for n, e in cols.items()])
+
+
+def _drop_flags(d: Column, event_type: Column, start: Column) -> dict[str, Column]:
     return {
-        "_missing_start": F.col("start_datetime").isNull(),
+        "_missing_start": start.isNull(),
         "_negative": F.coalesce(d < 0, F.lit(False)),
-        "_unplanned_cap": F.coalesce((F.col("event_type") == "unplanned") & (d > C.UNPLANNED_MAX_MINUTES),
-                                     F.lit(False)),
-        "_planned_cap": F.coalesce((F.col("event_type") == "planned") & (d > C.PLANNED_MAX_MINUTES),
-                                   F.lit(False)),
+        "_unplanned_cap": F.coalesce((event_type == "unplanned") & (d > C.UNPLANNED_MAX_MINUTES), F.lit(False)),
+        "_planned_cap": F.coalesce((event_type == "planned") & (d > C.PLANNED_MAX_MINUTES), F.lit(False)),
     }
 
 
+FLAGS = ["_missing_start", "_negative", "_unplanned_cap", "_planned_cap"]
+
+
 def flagged(raw: DataFrame) -> DataFrame:
-    """Parsed rows with the four drop flags and a combined ``_drop``."""
-    df = with_parsed_times(raw).withColumns(_drop_flags())
-    return df.withColumn("_drop", F.col("_missing_start") | F.col("_negative")
-                         | F.col("_unplanned_cap") | F.col("_planned_cap"))
+    """Parsed rows with the four drop flags and a combined ``_drop`` (one projection)."""
+    cols = _time_columns(raw)
+    flags = _drop_flags(cols["duration_minutes"], F.col("event_type"), cols["start_datetime"])
+    drop = flags["_missing_start"] | flags["_negative"] | flags["_unplanned_cap"] | flags["_planned_cap"]
+    return raw.select(*[F.col(c) for c in raw.columns if c not in cols],
+                      *[e.alias(n) for n, e in cols.items()],
+                      *[e.alias(n) for n, e in flags.items()], drop.alias("_drop"))
 
 
 def _reason() -> Column:
@@ -72,37 +79,33 @@ def _reason() -> Column:
             .when(F.col("_missing_start"), F.lit("Missing start_datetime")))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    """CL7-CL10 on kept rows."""
+def clean_incidents(raw: DataFrame) -> DataFrame:
+    """CL1-CL10: the cleaned (silver) incident table: one filter, one projection."""
+    df = flagged(raw).where(~F.col("_drop"))
     ist = F.col("start_datetime_ist")
-    df = df.withColumns({
-        "has_duration": F.col("duration_minutes").isNotNull(),
+    hour, dow = F.hour(ist), X.weekday_mon0(ist)
+    closure = (F.coalesce(F.col("requires_road_closure").cast("boolean"), F.lit(False))
+               if dict(raw.dtypes).get("requires_road_closure") == "boolean"
+               else X.truthy_text(F.col("requires_road_closure")))
+    derived = {
         "corridor": F.coalesce(X.null_if_token(F.col("corridor"), ("NULL",)), F.lit("Non-corridor")),
         "zone": F.coalesce(X.null_if_token(F.col("zone"), ("NULL",)), F.lit("Unknown")),
         "junction": F.coalesce(X.null_if_token(F.col("junction"), ("NULL",)), F.lit("Unknown")),
-        "hour_of_day": F.hour(ist),
-        "day_of_week": X.weekday_mon0(ist),
-    })
-    return df.withColumns({
-        "is_weekend": X.is_weekend(F.col("day_of_week")),
-        "hour_bucket": X.hour_bucket(F.col("hour_of_day")),
-        "requires_road_closure": F.coalesce(F.col("requires_road_closure").cast("boolean"), F.lit(False))
-        if dict(df.dtypes).get("requires_road_closure") == "boolean"
-        else X.truthy_text(F.col("requires_road_closure")),
-    })
-
-
-def clean_incidents(raw: DataFrame) -> DataFrame:
-    """CL1-CL10: the cleaned (silver) incident table."""
-    df = flagged(raw).where(~F.col("_drop"))
-    df = df.drop("_missing_start", "_negative", "_unplanned_cap", "_planned_cap", "_drop")
-    return _finish(df)
+        "requires_road_closure": closure,
+        "has_duration": F.col("duration_minutes").isNotNull(),
+        "hour_of_day": hour,
+        "day_of_week": dow,
+        "is_weekend": X.is_weekend(dow),
+        "hour_bucket": X.hour_bucket(hour),
+    }
+    keep = [c for c in df.columns if c not in FLAGS and c != "_drop" and c not in derived]
+    return df.select(*keep, *[e.alias(n) for n, e in derived.items()])
 
 
 def dropped_rows(raw: DataFrame) -> DataFrame:
     """SC4/CL6: dropped rows with their reason."""
-    df = flagged(raw).where(F.col("_drop")).withColumn("reason", _reason())
-    return df.drop("_missing_start", "_negative", "_unplanned_cap", "_planned_cap", "_drop")
+    df = flagged(raw).where(F.col("_drop"))
+    return df.select(*[c for c in df.columns if c not in FLAGS and c != "_drop"], _reason().alias("reason"))
 
 
 def geo_valid(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ Equal to the single-window result (checked by the tests).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,12 @@ def two_level_rank(df: DataFrame, partition_cols: list[str], order_cols: list,
     n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition_cols)
     order = [_c(c) for c in order_cols]
-    r = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    # The range boundaries are sampled by a job of their own: keep the input
+    # for the two passes (sample, shuffle) instead of computing it twice.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    r = materialize(src.repartitionByRange(n, *[F.col(k) for k in keys], *order)
                     .withColumn("_rp", F.spark_partition_id()))
+    src.unpersist()
     tot = r.groupBy("_rp", *keys).agg(F.count(F.lit(1)).alias("_n"),
                                       *[F.sum(c).alias(f"_s_{c}") for c in sum_cols])
     earlier = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,24 +1,49 @@
-"""Shared inputs of the registered queries (all derived from the parquet tables)."""
+"""Shared inputs of the registered queries (all derived from the parquet tables).
+
+The derived DataFrames are kept per (session, directory): a DataFrame is an
+immutable plan, so reusing it saves re-analysing the same chain in every
+query of a long-lived application.
+"""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from roadcast.operators import cleaning
 from roadcast.sources import adapter
 
 
+@lru_cache(maxsize=64)
+def _frame(session_key: int, sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
+    if name == "raw":
+        return adapter.raw_incidents(spark, sf_dir)
+    if name == "clean":
+        return cleaning.clean_incidents(_frame(session_key, sf_dir, "raw", spark))
+    if name == "incoming":
+        return adapter.incoming(spark, sf_dir)
+    if name == "feedback":
+        return adapter.feedback_log(spark, sf_dir)
+    raise KeyError(name)
+
+
+def _get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = id(spark._jsparkSession)
+    return _frame(key, sf_dir, name, spark)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.raw_incidents(spark, sf_dir)
+    return _get(spark, sf_dir, "raw")
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_incidents(raw(spark, sf_dir))
+    return _get(spark, sf_dir, "clean")
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.incoming(spark, sf_dir)
+    return _get(spark, sf_dir, "incoming")
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.feedback_log(spark, sf_dir)
+    return _get(spark, sf_dir, "feedback")
