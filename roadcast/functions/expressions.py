@@ -17,6 +17,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def lookup(mapping: dict, key: Column, default: Column) -> Column:
+    """Small fixed table as a literal map: one hash lookup instead of a CASE chain."""
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(m, key), default)
+
+
 # --- time -------------------------------------------------------------------
 
 def parse_timestamp(c: Column, data_type: str) -> Column:
@@ -97,11 +103,7 @@ def severity_by_duration(minutes: Column) -> Column:
 
 
 def priority_score(priority: Column) -> Column:
-    expr = None
-    for label, score in C.PRIORITY_SCORE.items():
-        cond = priority == F.lit(label)
-        expr = (F.when(cond, F.lit(score)) if expr is None else expr.when(cond, F.lit(score)))
-    return expr.otherwise(F.lit(C.PRIORITY_SCORE_OTHER))
+    return lookup(C.PRIORITY_SCORE, priority, F.lit(C.PRIORITY_SCORE_OTHER))
 
 
 def closure_priority_score(closure_rate: Column, priority: Column) -> Column:
@@ -169,13 +171,14 @@ def basis_caption(basis: Column) -> Column:
 
 # --- deployment ----------------------------------------------------------------
 
+PERSONNEL_BY_KEY = {f"{t}|{str(flag).lower()}": n for (t, flag), n in C.PERSONNEL_TABLE.items()}
+
+
 def personnel_base(tier: Column, hard_closure: Column) -> Column:
-    expr = None
-    for (t, flag), n in C.PERSONNEL_TABLE.items():
-        cond = (tier == F.lit(t)) & (hard_closure == F.lit(flag))
-        expr = F.when(cond, F.lit(n)) if expr is None else expr.when(cond, F.lit(n))
-    return expr.otherwise(F.when(hard_closure, F.lit(C.PERSONNEL_TABLE[("Unknown", True)]))
-                          .otherwise(F.lit(C.PERSONNEL_TABLE[("Unknown", False)])))
+    key = F.concat(tier, F.lit("|"), hard_closure.cast("string"))
+    fallback = F.when(hard_closure, F.lit(C.PERSONNEL_TABLE[("Unknown", True)])) \
+        .otherwise(F.lit(C.PERSONNEL_TABLE[("Unknown", False)]))
+    return lookup(PERSONNEL_BY_KEY, key, fallback)
 
 
 def soft_bump(closure_prob: Column, hard_closure: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from roadcast import config as C
 from roadcast.functions.expressions import np_round
 from roadcast.operators.median import grouped_exact_median
+from roadcast.operators.sizing import materialize
 
 KEYS = ["corridor", "event_cause", "is_weekend", "hour_bucket"]
 KEY_TYPES = {"corridor": "string", "event_cause": "string", "is_weekend": "boolean",
@@ -74,9 +75,17 @@ def grain_counts(clean: DataFrame, grains=("fine", "coarse", "cause")) -> DataFr
     return g.where(keep).drop("_gid")
 
 
-def grain_stats(counts: DataFrame) -> DataFrame:
-    """Per-group statistics from :func:`grain_counts` (all further work is on counted rows)."""
+def grain_stats(counts: DataFrame, materialise: bool = True) -> DataFrame:
+    """Per-group statistics from :func:`grain_counts` (all further work is on counted rows).
+
+    The counted table feeds three consumers (statistics, mode, median) whose
+    pruned copies would not share an exchange, so it is materialised once
+    (reliable checkpoint) and every consumer reads that instead of scanning
+    the history again.
+    """
     keys = ["grain"] + KEYS
+    if materialise:
+        counts = materialize(counts)
     c = F.col("_c")
     # Means from exact sums (0/1 counts, whole microseconds as DECIMAL) so the
     # result does not depend on the order in which tasks add up doubles.

@@ -20,18 +20,21 @@ from pyspark.sql import functions as F
 
 from roadcast import config as C
 from roadcast.functions import expressions as X
-from roadcast.operators.sizing import broadcast_if_small
+from roadcast.operators.sizing import broadcast_if_small, materialize
 
 EVIDENCE_COLUMNS = ["start_datetime_ist", "event_cause", "corridor", "priority", "requires_road_closure",
                     "duration_minutes", "police_station", "junction"]
 
 
 def evidence_counts(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts and newest time per (corridor, cause), rolled up to cause: one scan."""
     h = history.where(F.col("event_cause").isNotNull())
-    by_cause = h.groupBy("event_cause").agg(F.count(F.lit(1)).alias("evidence_rows"),
-                                            F.max("start_datetime_ist").alias("newest_evidence"))
-    by_pair = h.where(F.col("corridor").isNotNull()).groupBy("corridor", "event_cause").agg(
+    by_pair_all = h.groupBy("corridor", "event_cause").agg(
         F.count(F.lit(1)).alias("evidence_rows"), F.max("start_datetime_ist").alias("newest_evidence"))
+    by_pair_all = materialize(by_pair_all)  # feeds both tables below
+    by_cause = by_pair_all.groupBy("event_cause").agg(F.sum("evidence_rows").alias("evidence_rows"),
+                                                      F.max("newest_evidence").alias("newest_evidence"))
+    by_pair = by_pair_all.where(F.col("corridor").isNotNull())
     return by_cause, by_pair
 
 
@@ -69,11 +72,17 @@ ANY_CORRIDOR = "\u0000any"  # lookup key of cause-level rows (never a real corri
 def evidence_top_k(fc: DataFrame, history: DataFrame, k: int = C.EVIDENCE_TOP_K) -> DataFrame:
     """EV2: newest ``k`` evidence rows per forecast, by match level.
 
-    Both top-k tables go into one lookup keyed by (corridor or a cause-level
-    marker, cause), so each forecast needs a single broadcast equi-join.
+    The history is ranked once per (corridor, cause); a cause's newest ``k``
+    rows are always among its corridors' newest ``k``, so the cause-level
+    list is ranked from that small table. Both lists go into one lookup keyed
+    by (corridor or a cause-level marker, cause): one broadcast equi-join.
     """
-    by_pair = newest_k(history, ["corridor", "event_cause"], k).withColumn("_kc", F.col("corridor"))
-    by_cause = newest_k(history, ["event_cause"], k).withColumn("_kc", F.lit(ANY_CORRIDOR))
+    pair = materialize(newest_k(history, ["corridor", "event_cause"], k))
+    w = Window.partitionBy("event_cause").orderBy(F.col("start_datetime_ist").desc(), F.col("id").asc())
+    cause = pair.drop("evidence_rank").withColumn("evidence_rank", F.row_number().over(w)) \
+        .where(F.col("evidence_rank") <= k)
+    by_pair = pair.withColumn("_kc", F.col("corridor"))
+    by_cause = cause.withColumn("_kc", F.lit(ANY_CORRIDOR))
     lookup = broadcast_if_small(by_pair.unionByName(by_cause))
     inc = fc.select("incident_id", F.col("event_cause").alias("_cause"), "match_level",
                     F.when(F.col("match_level") == "fine", F.col("corridor"))

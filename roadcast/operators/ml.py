@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadcast.functions import expressions as X
-from roadcast.operators.ranking import two_level_rank
+from roadcast.operators.ranking import rank_rows
 
 # FIXED VALUES: severity keywords searched in description + comment (case-insensitive substring).
 SEVERITY_TERMS = [
@@ -102,7 +102,7 @@ def target_encoding(train: DataFrame, col: str, label: str, smoothing: float = 1
 def stratified_split(df: DataFrame, stratum: str, share: float = 0.8, seed: int = RANDOM_STATE) -> DataFrame:
     """EX10: random split within each stratum by a seeded hash rank (no sampling drift)."""
     h = df.withColumn("_h", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
-    r = two_level_rank(h, [stratum], [F.col("_h").asc(), F.col("id").asc()], rank_col="_pos")
+    r = rank_rows(h, [stratum], [F.col("_h").asc(), F.col("id").asc()], rank_col="_pos")
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     j = r.join(F.broadcast(n), stratum)  # one row per stratum
     return j.withColumn("fold", F.when(F.col("_pos") <= F.floor(F.col("_n") * F.lit(share)), F.lit("train"))

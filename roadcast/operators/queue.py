@@ -6,9 +6,9 @@ when the budget is exhausted, the walk has a closed form:
 
     allocated_i = least(requested_i, greatest(0, budget - sum(requested_j, j ranked before i)))
 
-so allocation is a ranked exclusive running sum - computed by
-:func:`two_level_rank` (balanced even for one enormous queue) - followed by
-a projection. Budgets come from a per-queue table (broadcast: one row per
+so allocation is a ranked exclusive running sum followed by a projection.
+The running sum uses one window per queue while every queue is bounded, and
+:func:`two_level_rank` (balanced even for one enormous queue) otherwise. Budgets come from a per-queue table (broadcast: one row per
 queue) or a constant.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from roadcast import config as C
 from roadcast.functions import expressions as X
-from roadcast.operators.ranking import two_level_rank, window_rank
+from roadcast.operators.ranking import rank_rows, two_level_rank, window_rank
 
 
 
@@ -45,10 +45,7 @@ def queue_input(rec: DataFrame) -> DataFrame:
 def severity_score(tier: Column) -> Column:
     """QU2: Low 1 / Medium 2 / High 3 / Unknown 0.5, case-insensitive; other 0.5."""
     t = F.initcap(F.coalesce(tier.cast("string"), F.lit("Unknown")))
-    expr = None
-    for label, s in C.QUEUE_SEVERITY_SCORE.items():
-        expr = F.when(t == label, F.lit(s)) if expr is None else expr.when(t == label, F.lit(s))
-    return expr.otherwise(F.lit(0.5))
+    return X.lookup(C.QUEUE_SEVERITY_SCORE, t, F.lit(0.5))
 
 
 def closure_score(p: Column) -> Column:
@@ -103,12 +100,13 @@ def queue_rejects(q: DataFrame) -> DataFrame:
 
 def allocate(q: DataFrame, budgets: DataFrame | None = None,
              officers: int = C.QUEUE_DEFAULT_OFFICERS, barricades: int = C.QUEUE_DEFAULT_BARRICADES,
-             two_level: bool = True) -> DataFrame:
+             two_level: bool | None = None) -> DataFrame:
     """QU6-QU8, QU11: rank, greedy grants (closed form), coverage and risk text."""
     s = scored(q).where(F.col("_valid")).withColumns({
         "officers_requested": F.col("_officers"), "barricades_requested": F.col("_barricades"),
         "evidence_count": F.col("_evidence")})
-    rank = two_level_rank if two_level else window_rank
+    # None: choose by the largest queue; True / False force a strategy (tests).
+    rank = rank_rows if two_level is None else (two_level_rank if two_level else window_rank)
     r = rank(s, ["queue_id"], order_cols(), ["officers_requested", "barricades_requested"])
     if budgets is not None:
         r = r.join(F.broadcast(budgets.select("queue_id", "total_officers", "total_barricades")), "queue_id", "left")

@@ -69,3 +69,26 @@ def window_rank(df: DataFrame, partition_cols: list[str], order_cols: list,
         rank_col: F.row_number().over(w),
         **{f"{before_prefix}{c}": F.coalesce(F.sum(c).over(prev), F.lit(0)) for c in sum_cols},
     })
+
+
+# A window partition of up to this many rows is sorted by one task comfortably.
+SINGLE_TASK_MAX_ROWS = 2_000_000
+
+
+def rank_rows(df: DataFrame, partition_cols: list[str], order_cols: list, sum_cols: list[str] = (),
+              rank_col: str = "rank", before_prefix: str = "before_",
+              max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+    """Rank / prefix sums, choosing the plan from the largest partition size.
+
+    One aggregate counts the rows of the biggest partition key (a single
+    number reaches the driver). Bounded partitions use the plain window
+    (one shuffle); a partition above ``max_rows`` - or an unpartitioned
+    ranking of that many rows - goes through :func:`two_level_rank`.
+    """
+    if partition_cols:
+        biggest = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    else:
+        biggest = df.count()
+    if biggest is None or biggest <= max_rows:
+        return window_rank(df, partition_cols, order_cols, sum_cols, rank_col, before_prefix)
+    return two_level_rank(df, partition_cols, order_cols, sum_cols, rank_col, before_prefix)

@@ -1,7 +1,8 @@
 """Chronological benchmarks and metrics (VA1-VA6, VA10-VA16, VA18).
 
-* splits rank rows globally by time with :func:`two_level_rank` (no
-  single-partition window) and cut at ``floor(n * share)``;
+* splits rank rows globally by time and cut at ``floor(n * share)``; above
+  a bounded row count the rank is the two-level form (no single-partition
+  window), see :func:`rank_rows`;
 * labels and rule predictions reuse the tier-chain join against a
   train-only baseline - no per-row loop;
 * the threshold sweep aggregates scores into one bucket per threshold
@@ -20,7 +21,7 @@ from roadcast.functions import expressions as X
 from roadcast.operators import baseline as BL
 from roadcast.operators import forecast as FC
 from roadcast.operators.match import baselines_from_grains, tiered_match
-from roadcast.operators.ranking import two_level_rank
+from roadcast.operators.ranking import rank_rows
 
 CLASSES = ["Low", "Medium", "High"]
 
@@ -37,7 +38,7 @@ def chrono_split(df: DataFrame, cuts: list[tuple[str, float]], last: str,
                  time_col: str = "start_datetime") -> DataFrame:
     """Rank by (time, id); rows up to ``floor(n * share)`` go to each named fold."""
     n = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranked = two_level_rank(df, [], [F.col(time_col).asc(), F.col("id").asc()], rank_col="split_pos")
+    ranked = rank_rows(df, [], [F.col(time_col).asc(), F.col("id").asc()], rank_col="split_pos")
     r = attach_scalar(ranked, n)
     fold = None
     for name, share in cuts:
@@ -216,7 +217,7 @@ def binary_metrics(scored: DataFrame, threshold: Column) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """VA14: step-wise average precision, tied scores grouped."""
     hist = scored.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    r = two_level_rank(hist, [], [F.col("score").desc()], ["pos", "neg"], rank_col="_k")
+    r = rank_rows(hist, [], [F.col("score").desc()], ["pos", "neg"], rank_col="_k")
     r = r.withColumns({"ctp": F.col("before_pos") + F.col("pos"), "cfp": F.col("before_neg") + F.col("neg")})
     terms = r.select((F.col("pos").cast("double") * (F.col("ctp") / (F.col("ctp") + F.col("cfp")))).alias("t"),
                      "pos")

@@ -16,5 +16,19 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Plain parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Parquet scan; Catalyst prunes columns and pushes filters into it."""
+    return spread_small_scan(spark.read.parquet(table_path(sf_dir, name)))
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores.
+
+    A parquet file is split by row group, so a small table stored as one
+    row group is read by one task and every narrow step after it (cleaning,
+    grain expansion, partial aggregation) would run single-threaded. A large
+    multi-file table already has many splits and is returned unchanged.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

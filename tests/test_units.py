@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadcast.functions import expressions as X
 from roadcast.operators import deploy as DP
 from roadcast.operators.median import grouped_exact_median
-from roadcast.operators.ranking import two_level_rank, window_rank
+from roadcast.operators.ranking import rank_rows, two_level_rank, window_rank
 
 
 def one(spark, expr, value, dtype):
@@ -83,3 +83,16 @@ def test_extract_vms(spark):
     df = spark.createDataFrame([(text,), ("no message here",)], "t string")
     got = [r[0] for r in df.select(DP.extract_vms(F.col("t"))).collect()]
     assert got == ["DIVERSION: MG ROAD CLOSED", "See advisory text"]
+
+
+def test_rank_rows_switches_plans(spark):
+    rows = [("a" if i % 4 else "b", i % 13, i, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "q string, score int, idx long, req int")
+    order = [F.col("score").desc(), F.col("idx").asc()]
+    want = sorted(map(tuple, window_rank(df, ["q"], order, ["req"]).select("idx", "rank", "before_req").collect()))
+    for limit in (10, 10_000):
+        got = rank_rows(df, ["q"], order, ["req"], max_rows=limit).select("idx", "rank", "before_req").collect()
+        assert sorted(map(tuple, got)) == want
+    g = rank_rows(df, [], order, ["req"], max_rows=10).select("idx", "rank").collect()
+    w = window_rank(df, [], order, ["req"]).select("idx", "rank").collect()
+    assert sorted(map(tuple, g)) == sorted(map(tuple, w))
