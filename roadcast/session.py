@@ -35,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.ui.enabled", "false")
+    # checkpoint files of DataFrames that went out of scope are removed
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
