@@ -196,3 +196,34 @@ def model_export(spark, sf_dir):
     s = _closure_folds(spark, sf_dir)
     model = ML.export_model(s, CLOSURE_CATS, ["weekend_int"], scratch(spark, "closure-model"))
     return model.transform(s).select("id", ML.vector_to_array("probability")[1].alias("score"))
+
+
+@register("model_lift")
+def model_lift(spark, sf_dir):
+    """VA18: forest vs cause-rate lift (F1, PR-AUC) and balanced-vs-standard Medium recall (rows-only)."""
+    from roadcast.plans.q_validate import _scored
+
+    def tuned(scored):
+        sweep = VA.threshold_sweep(scored.where(F.col("fold") == "validation"))
+        best = sweep.where(F.col("is_best")).select(VA.threshold_value(F.col("threshold_index")).alias("_t"))
+        test = scored.where(F.col("fold") == "test")
+        m = VA.binary_metrics(VA.attach_scalar(test, best), F.col("_t")).select("f1")
+        ap = VA.average_precision(test).select(F.col("average_precision").alias("pr_auc"))
+        return VA.attach_scalar(m, ap)
+
+    from roadcast.operators.sizing import materialize
+    # Model outputs are checkpointed once: the forests are not re-applied per metric.
+    rf = tuned(materialize(rf_closure_scores(spark, sf_dir)))
+    base = tuned(materialize(_scored(spark, sf_dir)))
+    lift = VA.attach_scalar(rf.select(F.col("f1").alias("rf_f1"), F.col("pr_auc").alias("rf_pr_auc")),
+                            base.select(F.col("f1").alias("base_f1"), F.col("pr_auc").alias("base_pr_auc")))
+    sev = materialize(rf_severity(spark, sf_dir))
+    std = VA.class_report(sev, "true_severity", "rf_prediction").where(F.col("label") == "Medium")
+    bal = VA.class_report(sev, "true_severity", "rf_balanced_prediction").where(F.col("label") == "Medium")
+    recall = VA.attach_scalar(std.select(F.col("recall").alias("std_recall")),
+                              bal.select(F.col("recall").alias("bal_recall")))
+    out = VA.attach_scalar(lift, recall)
+    return out.select(
+        F.expr("stack(3, 'f1', base_f1, rf_f1, rf_f1 - base_f1, 'pr_auc', base_pr_auc, rf_pr_auc, "
+               "rf_pr_auc - base_pr_auc, 'medium_recall', std_recall, bal_recall, bal_recall - std_recall) "
+               "as (metric, reference, candidate, lift)"))
