@@ -121,7 +121,8 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incoming_from_events(read_table(spark, sf_dir, "events"))
+    # Forecast requests go straight from the scan into broadcast joins: no exchange.
+    return incoming_from_events(read_table(spark, sf_dir, "events", spread=False))
 
 
 def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spread_small_scan(spark.read.parquet(table_path(sf_dir, name)))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    ``spread=False`` keeps the scan's own partitioning (request-side inputs
+    that must reach their broadcast joins without any exchange).
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_small_scan(df) if spread else df
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:
