@@ -63,3 +63,82 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
        ((copies + CASE WHEN size > 0 AND rest > 0 AND 2 * ahead + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM a
 """
+
+
+def _license_sql() -> str:
+    """Every phrase and notice at every place of the word list, without an index."""
+    from roadcast.llm.license_scan import BASE, NOTICES
+    templates = BASE + NOTICES
+
+    def words(text: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+
+    def places(phrase: str) -> str:
+        n = len(phrase.split())
+        return f"list_filter(range(0, len(w) - {n - 1}), lambda i: w[i + 1:i + {n}] = {words(phrase)})"
+
+    def share(k: int, notice: str, phrase: str) -> str:
+        n, lead = notice.split(), phrase.split()
+        lead = next(i for i in range(len(n)) if n[i:i + len(lead)] == lead)
+        one = " + ".join(f"coalesce((w[a{k}[i] + {j - lead + 1}] = '{x}' AND a{k}[i] + {j - lead} >= 0)::INT, 0)" for j, x in enumerate(n))
+        return f"coalesce(list_max(list_transform(range(1, len(a{k}) + 1), lambda i: ({one}) / {float(len(n))}::DOUBLE)), 0.0::DOUBLE)"
+
+    def labels(ks) -> str:
+        held = ", ".join(f"CASE WHEN len(a{k}) > 0 THEN '{templates[k].label}' END" for k in ks)
+        return f"array_to_string(list_sort(list_distinct(list_filter([{held}], lambda x: x IS NOT NULL))), ',')"
+
+    at = ", ".join(f"{places(t.phrase)} AS a{k}" for k, t in enumerate(templates))
+    base = "flatten([" + ", ".join(f"a{k}" for k in range(len(BASE))) + "])"
+    score = ", ".join(share(k, t.notice, t.phrase) for k, t in enumerate(templates))
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, {at} FROM d),
+b AS (SELECT *, {base} AS base FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(base)::BIGINT AS n_base, list_min(base)::BIGINT AS first_word, list_max(base)::BIGINT AS last_word,
+       {labels(range(len(BASE)))} AS base_labels, {labels(range(len(templates)))} AS labels, greatest({score}) AS score
+FROM b
+"""
+
+
+def _secret_sql() -> str:
+    from roadcast.llm.secret_scan import BASE_KINDS, KINDS, LIVE_OWNERS, OPAQUE_NEEDS, PLACEHOLDER
+
+    def quoted(s: str) -> str:
+        return s.replace("'", "''")
+
+    def matches(kind: str) -> str:
+        pattern, group, least = KINDS[kind]
+        order = list(KINDS).index(kind)
+        p = quoted(pattern)
+        more = "".join(f" AND regexp_matches(hit, '{x}')" for x in OPAQUE_NEEDS) if kind == "opaque" else ""
+        return f"""
+  SELECT id, t, owner, repo, list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS s,
+         {order} AS ord, length(hit) AS n, '{kind}' AS kind, val
+  FROM (SELECT id, t, owner, repo, gaps, hits, unnest(range(1, len(hits) + 1)) AS k, unnest(hits) AS hit, unnest(vals) AS val
+        FROM (SELECT *, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS vals FROM d
+              WHERE regexp_matches(t, '{p}')))
+  WHERE length(val) >= {least}{more}"""
+
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{k}'), 0)::BIGINT AS n_{k}" for k in BASE_KINDS)
+    names = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    text = "kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT, ',' ORDER BY s, ord"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, coalesce(source, 'null') AS owner,
+         concat_ws('/', source, lang) AS repo FROM documents),
+m AS ({" UNION ALL ".join(matches(k) for k in KINDS)}),
+o AS (SELECT val, count(DISTINCT owner) AS owners FROM m GROUP BY val),
+c AS (SELECT m.*, owners <= {LIVE_OWNERS} AND NOT regexp_matches(m.val, '{quoted(PLACEHOLDER)}') AS live FROM m JOIN o USING (val)),
+g AS (
+  SELECT id, {counts}, string_agg({text}) FILTER (kind IN ({names})) AS base, string_agg({text}) FILTER (kind IN ({names}) OR live) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM c GROUP BY id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN g USING (id)
+"""
+
+
+ORACLES["op5_license_index"] = _license_sql()
+ORACLES["op7_secret_owners"] = _secret_sql()

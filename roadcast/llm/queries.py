@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import legacy_archive, pareto_mix, topk
+from roadcast.llm import bpe, legacy_archive, license_scan, pareto_mix, secret_scan, topk
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -27,6 +27,33 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_archive.round_trip(table(spark, sf_dir, "pages")).drop("uri", "date")
 
 
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Ids of every text and the text they decode to, as counts and digests."""
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe.decoded(bpe.encoded(docs, path), path)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, further shapes by ownership."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_topk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all vectors for every 20th vector."""
