@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import bpe, legacy_archive, license_scan, pareto_mix, secret_scan, topk
+from roadcast.llm import bpe, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -61,6 +61,12 @@ def op8_topk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("id") % 20 == 0), vectors, 20)
 
 
+@_query
+def op9_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
