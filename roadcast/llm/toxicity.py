@@ -57,8 +57,8 @@ def _letter_codes() -> np.ndarray:
     """Code 1..26 of a..z, 27..30 of other letters, 0 of what only makes a gap, for code points below 0x250."""
     codes = np.zeros(0x250, dtype=np.int32)
     for c in range(0x250):
-        ch = SPELLINGS.get(chr(c), chr(c).lower())
-        codes[c] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch[0]) % 4 if ch.isalpha() else 0
+        ch = SPELLINGS.get(chr(c), chr(c).lower()[0])
+        codes[c] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) % 4 if ch.isalpha() else 0
     return codes
 
 
