@@ -42,8 +42,8 @@ from pyspark.sql.functions import pandas_udf
 
 LAMBDA, LETTERS, SPAN, WINDOW, STRIDE = 0.7, 4, 7, 24, 12
 FLOOR, POWER = 0.4, 3
-LANDMARKS, CLEAN_LANDMARKS, CANDIDATES, UNLIKE = 72, 8, 1500, 0.7
-DOCS_PER_CLASS, SENTENCES, ROUNDS, WORST = 4000, 6, 4, 3
+LANDMARKS, CLEAN_LANDMARKS, CANDIDATES, UNLIKE = 72, 8, 400, 0.7
+DOCS_PER_CLASS, SENTENCES, ROUNDS, WORST = 3000, 4, 4, 3
 KEPT_WORDS = 200_000
 FOLDS = 5
 
@@ -122,7 +122,8 @@ def normalised(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     used, column = np.unique(feature, return_inverse=True)
     out = np.zeros((len(words), len(used)))
     out[row, column] = weight
-    return used, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out /= np.maximum(np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(words))), 1e-12)[:, None]
+    return used, out
 
 
 def _sharpened(similarity: np.ndarray) -> np.ndarray:
@@ -287,14 +288,15 @@ def _landmarks(sample: DataFrame) -> list[str]:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
     """Weights and bias (last) of the primal support vector machine with squared hinge loss, by Newton steps."""
-    z = np.c_[x, np.ones(len(x))]
+    z = np.c_[x, np.ones(len(x), dtype=x.dtype)]
     ridge = penalty * weight.sum() * np.eye(z.shape[1])
     ridge[-1, -1] *= 1e-3
     w = np.zeros(z.shape[1])
     active = np.ones(len(z), dtype=bool)
     for _ in range(40):
-        a = z[active] * weight[active][:, None]
-        w = np.linalg.solve(ridge + a.T @ z[active], a.T @ y[active])
+        some = z[active].astype(np.float64)
+        a = some * weight[active][:, None]
+        w = np.linalg.solve(ridge + a.T @ some, a.T @ y[active])
         now = y * (z @ w) < 1
         if (now == active).all():
             break
@@ -345,8 +347,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     label = np.array([t for t, _, _ in rows])
     if len(set(label.tolist())) < 2:
         return None
-    plain = [np.frombuffer(s, dtype="<f4").reshape(-1, len(landmarks)).astype(float) for _, _, s in rows]
-    bags = [(b if len(b) else np.zeros((1, len(landmarks)))) @ model.root for b in plain]
+    plain = [np.frombuffer(s, dtype="<f4").reshape(-1, len(landmarks)) for _, _, s in rows]
+    root = model.root.astype(np.float32)
+    bags = [(b if len(b) else np.zeros((1, len(landmarks)), dtype=np.float32)) @ root for b in plain]
     clean = np.concatenate([b for b, t in zip(bags, label) if not t])
     toxic = np.concatenate([b for b, t in zip(bags, label) if t])
     sizes = np.array([len(b) for b, t in zip(bags, label) if t])
