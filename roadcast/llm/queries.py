@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import bpe, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity
+from roadcast.llm import bpe, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity, wrapper
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -27,6 +27,12 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_archive.round_trip(table(spark, sf_dir, "pages")).drop("uri", "date")
 
 
+@_query
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Ids of every text and the text they decode to, as counts and digests."""
     import public_tokenizers
