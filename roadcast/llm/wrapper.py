@@ -359,6 +359,8 @@ def _traced(table: list[list[float]]) -> list[tuple[int, int]]:
 
 def _aligned(x: list, y: list, cache: dict) -> list[tuple[int, int]]:
     """Pairs of children in an alignment of the highest score."""
+    if len(x) == len(y) == 1:
+        return [(0, 0)] if x[0][0] == y[0][0] else []
     xs = _texts(x)
     ys = xs and _texts(y)
     if xs and ys:
