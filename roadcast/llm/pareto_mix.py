@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadcast.llm.shared import SPACED_WORD, cut
+from roadcast.llm.shared import SPACED_WORD, cut, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -76,7 +76,6 @@ def _boundary(rows: DataFrame, level: str, before) -> DataFrame:
 
 def _sized(docs: DataFrame, *keep: str) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    # the columns of docs may have any further names, so the computed ones sit in one struct
     return docs.select(*map(F.col, keep), F.struct(F.col("doc_id").alias("doc_id"), words.alias("size"), _key().alias("key")).alias("_mix"))
 
 
@@ -134,7 +133,7 @@ def sampled(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all where it takes none); texts aren't shuffled."""
-    rows = _sized(docs, *docs.columns)
-    rows = rows.select(F.struct(*docs.columns).alias("_row"), "_mix.*")
+    rows = packed(docs)
+    rows = _sized(rows.select("_row", "_row.doc_id", "_row.text", "_row.source"), "_row").select("_row", "_mix.*")
     rows = _decided(rows, thresholds(docs)).where("taken_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "taken_copies"))).select("_row.*")
+    return unpacked(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "taken_copies"))))

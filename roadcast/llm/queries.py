@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import bpe, flat_graph, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity, wrapper
+from roadcast.llm import bpe, flat_graph, jaccard_join, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity, wrapper
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -83,3 +83,9 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors."""
     return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+@_query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))

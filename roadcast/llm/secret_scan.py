@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadcast.llm.shared import cut
+from roadcast.llm.shared import cut, packed
 
 # The base kinds in their order, with patterns and least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -130,7 +130,7 @@ def redacted(docs: DataFrame, live_mark: str = "[SECRET]", copied_mark: str = "[
     Rows without candidates pass through; only rows with some meet the spans, by id and text.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = packed(docs).select("_row", "_row.doc_id", F.coalesce("_row.text", F.lit("")).alias("text"))
     any_kind = F.lit(False)
     for pattern, _, _ in KINDS.values():
         any_kind = any_kind | F.col("text").rlike(pattern)
@@ -151,4 +151,4 @@ def redacted(docs: DataFrame, live_mark: str = "[SECRET]", copied_mark: str = "[
     fixed = F.when(F.size(kept) > 0, text).otherwise(F.col("_row.text"))
     some = some.select("_row", fixed.alias("text"))
     out = rows.where(~any_kind).select("_row", F.col("_row.text").alias("text")).unionByName(some)
-    return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns))

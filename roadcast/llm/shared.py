@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadcast.session import ensure_checkpoint_dir
 
@@ -33,3 +34,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns in one struct, _row, so that computed columns can't clash with any of its names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")

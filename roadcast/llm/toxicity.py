@@ -40,6 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from roadcast.llm.shared import packed, unpacked
+
 LAMBDA, LETTERS, SPAN, WINDOW, STRIDE = 0.7, 4, 7, 24, 12
 FLOOR, POWER = 0.4, 3
 LANDMARKS, CLEAN_LANDMARKS, CANDIDATES, UNLIKE = 72, 8, 400, 0.7
@@ -397,6 +399,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with their columns."""
-    columns = [F.col(c) for c in docs.columns]
-    rows = docs.withColumn("__toxicity", score_column(docs.sparkSession, model))
-    return rows.where(F.col("__toxicity") < 0.5).select(*columns)
+    rows = packed(docs).withColumn("_text", F.col("_row.text"))
+    rows = rows.withColumn("_score", score_column(docs.sparkSession, model, "_text"))
+    return unpacked(rows.where(F.col("_score") < 0.5))
