@@ -92,7 +92,7 @@ def shingle_sets(texts: list[bytes], ngram: int = NGRAM) -> list[np.ndarray]:
     ends = np.cumsum(lengths + 1)  # of each text with its separator
     cuts = np.searchsorted(start, ends)
     first = np.r_[0, cuts[:-1]]
-    odd = [np.uint64(2 * k + 1) * _M2 + np.uint64(k) for k in range(ngram)]
+    odd = np.array([((2 * k + 1) * int(_M2) + k) % (1 << 64) for k in range(ngram)], dtype=np.uint64)
     n = len(words) - ngram + 1
     rolled = np.zeros(max(n, 0), dtype=np.uint64)
     for k in range(ngram):
@@ -103,10 +103,8 @@ def shingle_sets(texts: list[bytes], ngram: int = NGRAM) -> list[np.ndarray]:
         if b - a >= ngram:
             out.append(np.unique(rolled[a:b - ngram + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for k in range(b - a):
-                whole = whole + words[a + k] * odd[k]
-            out.append(_mixed(np.array([whole], dtype=np.uint64)))
+            whole = (words[a:b] * odd[:b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(_mixed(whole + np.full(1, b - a, dtype=np.uint64)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
