@@ -49,8 +49,8 @@ from roadcast.llm.shared import cut, packed, unpacked
 
 NGRAM, PERCENT = 3, 90
 RARITY_BITS, CHUNK = 20, 4096
-SMALL, BLOCK, CELLS = 24, 512, 64
-PORTION = 2 << 20
+SMALL, BLOCK, CELLS = 24, 512, 256
+PORTION = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -166,14 +166,14 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sid, prefix) of every row; prefix in the global order."""
+    """(doc_id, n, sid, prefix, cells) of every row; prefix in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for b in batches:
             for at, texts in _portions(b.column(1)):
-                ns, sids, prefixes = [], [], []
+                ns, sids, prefixes, cells = [], [], [], []
                 for s in shingle_sets(texts):
                     p = prefix_length(len(s))
                     ns.append(len(s))
@@ -183,10 +183,11 @@ def shingled(docs: DataFrame) -> DataFrame:
                         rank = table[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
                         kept = s[np.argsort(rank, kind="stable")[:p]].astype("<u8").tobytes()
                     prefixes.append(kept)
+                    cells.append(cell_counts(s).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(ns, pa.int64()), pa.array(sids, pa.binary()),
-                                                  pa.array(prefixes, pa.binary())], ["doc_id", "n", "sid", "prefix"])
+                                                  pa.array(prefixes, pa.binary()), pa.array(cells, pa.binary())], ["doc_id", "n", "sid", "prefix", "cells"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid binary, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid binary, prefix binary, cells binary")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -259,20 +260,18 @@ def cell_counts(s: np.ndarray) -> np.ndarray:
 
 
 def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, n, cells, members) of the wanted nodes (rep, sid), from their texts."""
+    """(rep, members) of the wanted nodes (rep, sid), from their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in _portions(b.column(1)):
                 sets = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array([cell_counts(s).tobytes() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
-                    ["rep", "own", "n", "cells", "members"])
+                    [b.column(0).slice(at, len(texts)), pa.array([fingerprint(s) for s in sets], pa.binary()),
+                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["rep", "sid", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").distinct(), "rep")
-    found = texts.select("rep", "text").mapInArrow(run, "rep long, own binary, n int, cells binary, members binary")
-    sids = wanted.select("rep", "sid").distinct()
-    return found.join(sids, (found["rep"] == sids["rep"]) & (found["own"] == sids["sid"])).select(found["rep"], "n", "cells", "members").dropDuplicates(["rep"])
+    found = texts.select("rep", "text").mapInArrow(run, "rep long, sid binary, members binary")
+    return found.join(wanted, ["rep", "sid"], "left_semi").select("rep", "members")
 
 
 def _differ_too_much(an: np.ndarray, bn: np.ndarray, difference: np.ndarray) -> np.ndarray:
@@ -280,9 +279,9 @@ def _differ_too_much(an: np.ndarray, bn: np.ndarray, difference: np.ndarray) ->
     return (100 + PERCENT) * difference.astype(np.int64) > (100 - PERCENT) * (an.astype(np.int64) + bn.astype(np.int64))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: suffix filter, then the whole sets."""
-    light = cut(sets.select("rep", "n", "cells"), "cells")
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: suffix filter, then the whole sets, which only the pairs left need."""
+    light = nodes.select("rep", F.col("n").cast("int").alias("n"), "cells")
     ab = pairs.join(light.toDF("a", "an", "ac"), "a").join(light.toDF("b", "bn", "bc"), "b")
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +293,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
     left = cut(ab.mapInArrow(filtered, "a long, b long"), "candidates")
-    members = sets.select("rep", "members")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    members = cut(_node_sets(docs, cut(nodes.select("rep", "sid").join(wanted, "rep"), "wanted")), "sets")
     both = left.join(members.toDF("a", "am"), "a").join(members.toDF("b", "bm"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +309,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(verify, "a long, b long"), "links")
 
 
-def _across(postings: DataFrame, sets: DataFrame, group: DataFrame) -> DataFrame:
+def _across(postings: DataFrame, nodes: DataFrame, group: DataFrame) -> DataFrame:
     """Candidates between documents of different components in the same large posting."""
-    rows = postings.join(sets.select("rep", "cells"), "rep").join(group.toDF("rep", "component"), "rep", "left")
+    rows = postings.join(nodes.select("rep", "n", "cells"), ["rep", "n"]).join(group.toDF("rep", "component"), "rep", "left")
     rows = cut(rows.withColumn("component", F.coalesce("component", "rep")), "large-postings")
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
     mixed = cut(mixed.select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "mixed-postings")
@@ -340,19 +340,17 @@ def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...)."""
     rows = cut(shingled(docs), "shingled")
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = cut(usable.groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")), "set-nodes")
+    first = F.min_by(F.struct("prefix", "cells"), "doc_id")
+    nodes = cut(usable.groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), first.alias("f")).select("sid", "n", "rep", "f.*"), "set-nodes")
     postings = cut(_postings(nodes), "postings")
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     large_tokens = cut(held.where(F.col("held") > SMALL).select("token"), "large-tokens")
     large = cut(postings.join(large_tokens, "token"), "large")
     small = postings.join(large_tokens, "token", "left_anti")
     pairs = cut(_small_pairs(small).unionByName(_star_pairs(large)).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(large.select("rep")).distinct()
-    wanted = cut(nodes.select("rep", "sid").join(wanted, "rep"), "wanted")
-    sets = cut(_node_sets(docs, wanted), "sets")
-    links = _verified(pairs, sets)
-    more = cut(_across(large, sets, components(links)).distinct(), "pairs")
-    links = links.unionByName(_verified(more, sets))
+    links = _verified(pairs, nodes, docs)
+    more = cut(_across(large, nodes, components(links)).distinct(), "pairs")
+    links = links.unionByName(_verified(more, nodes, docs)).distinct()
     # rows that share an id are one document even if their texts differ
     shared_ids = nodes.join(rows.select("sid", F.col("doc_id").alias("other")).distinct(), "sid").where("other <> rep").select(
         F.col("rep").alias("a"), F.col("other").alias("b")).join(_several_texts(usable).withColumnRenamed("doc_id", "b"), "b").select("a", "b")
