@@ -37,7 +37,7 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     """Ids of every text and the text they decode to, as counts and digests."""
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
-    both = bpe.decoded(bpe.encoded(docs, path), path)
+    both = bpe.coded(docs, path)
     return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

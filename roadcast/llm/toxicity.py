@@ -161,8 +161,8 @@ class Model:
     def similar(self, words: list[str]) -> dict[str, np.ndarray]:
         """Words with a similarity of FLOOR or more to some landmark, and all their similarities."""
         out: dict[str, np.ndarray] = {}
-        for lo in range(0, len(words), 4000):
-            out.update(self._similar(words[lo:lo + 4000]))
+        for lo in range(0, len(words), 2000):
+            out.update(self._similar(words[lo:lo + 2000]))
         return out
 
     def _similar(self, words: list[str]) -> dict[str, np.ndarray]:
@@ -176,10 +176,15 @@ class Model:
             least += (feature > 0) * np.float32(weight * weight)
         bound, least = np.add.reduceat(bound, starts), np.sqrt(np.add.reduceat(least, starts))
         rows = np.flatnonzero((least > 0) & (bound >= 0.999 * FLOOR * least))
-        if not len(rows):
-            return {}
-        words, owner = [words[i] for i in owner[rows]], owner[rows]
+        out: dict[str, np.ndarray] = {}
         cuts = np.r_[starts, n]
+        for lo in range(0, len(rows), 300):
+            for word, sims in self._exact([words[i] for i in owner[rows[lo:lo + 300]]], flat, cuts, rows[lo:lo + 300], index):
+                out[word] = np.maximum(out[word], sims) if word in out else sims
+        return out
+
+    def _exact(self, words: list[str], flat: np.ndarray, cuts: np.ndarray, rows: np.ndarray, index: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        """(word, similarities) of the windows ``rows`` that have any."""
         part = np.concatenate([flat[cuts[i]:cuts[i + 1]] for i in rows] + [np.zeros(SPAN, dtype=np.int32)])
         sizes = np.diff(cuts)[rows]
         row, feature, weight = features(part, np.repeat(np.arange(len(rows)), sizes))
@@ -191,11 +196,8 @@ class Model:
             first = np.flatnonzero(np.r_[True, np.diff(row[known]) != 0])
             sims[row[known][first]] = np.add.reduceat(self.table[at[known]] * weight[known][:, None], first, axis=0)
         sims /= norm[:, None]
-        sims = _sharpened(sims)
-        out: dict[str, np.ndarray] = {}
-        for i in np.flatnonzero(sims.any(axis=1)):
-            out[words[i]] = np.maximum(out[words[i]], sims[i]) if words[i] in out else sims[i]
-        return out
+        sims = _sharpened(sims).astype(np.float32)
+        return [(words[i], sims[i].copy()) for i in np.flatnonzero(sims.any(axis=1))]
 
     def summary(self, margins: np.ndarray, n_chars: int) -> np.ndarray:
         """The worst margins (that of a sentence without any similar word, where there are fewer), the length, 1."""
