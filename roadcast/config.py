@@ -96,3 +96,72 @@ ADVISORY_DIVERSION_LINE = (
 GENERIC_LOCATION_HINT = "near event start location (coordinates available in ASTRAM record)"
 DEFAULT_STATION = "local Traffic Police Station"
 DRAFT_MARK = "*** DRAFT — officer review and sign-off required ***"
+SEVERITY_CAPTIONS = {
+    "duration": "Based on duration history",
+    "closure_priority": "Based on closure rate & priority (limited duration data)",
+}
+SEVERITY_CAPTION_OTHER = "Insufficient historical data for duration or closure prediction"
+
+# Fixed sentences of the officer's rationale, with named slots.
+RATIONALE_OPENING = "This recommendation is for a reported {cause} event{place}. "
+RATIONALE_PLACE = " on {corridor}"
+RATIONALE_BY_DURATION = (
+    "Based on {evidence} similar historical events ({timed} with recorded resolution times), "
+    "the typical event of this type lasts approximately {length}. "
+    "This duration estimate drove the {tier} severity classification. "
+)
+RATIONALE_LENGTH = "{minutes} minutes"
+RATIONALE_NO_LENGTH = "an unknown duration"
+RATIONALE_BY_CLOSURE = (
+    "Severity was assessed from historical road closure rate ({rate}) and event priority, rather than from "
+    "duration, because only {timed} historical record(s) with timing data exist for this event type — too few "
+    "to produce a reliable duration estimate at this sample size.{figure} "
+)
+RATIONALE_FIGURE = (
+    " A raw duration figure of {minutes} minutes is on record but is based on only {timed} historical records "
+    "and is likely distorted by administrative-lag closures (events marked closed days after the road actually "
+    "cleared). It has NOT been used to determine severity."
+)
+RATIONALE_NO_RATE = "unknown"
+RATIONALE_CONFIDENCE = "Overall data confidence for this prediction: '{confidence}'. "
+RATIONALE_CLOSURE_CONFIRMED = (
+    "Road closure has been confirmed for this event, which increases both staffing and barricade requirements. "
+)
+RATIONALE_CLOSURE_LIKELY = (
+    "Historical data shows a {rate} chance of road closure for similar events, so a precautionary staffing "
+    "uplift has been applied. "
+)
+RATIONALE_OFFICERS = "A minimum of {officers} officers is recommended. "
+RATIONALE_BARRICADE = "Physical barricading is recommended. "
+RATIONALE_NO_BARRICADE = (
+    "Barricading is not indicated at this severity level, but can be escalated if conditions change on site. "
+)
+SOFT_BUMP_NOTE = (
+    "Personnel count increased by {extra} because historical road closure rate ({rate}) exceeds the "
+    "{threshold}% soft threshold."
+)
+
+# Fixed lines of the advisory and the sign board, with named slots.
+ADVISORY_TITLE = "Traffic Advisory: {event} at {place} — {date}"
+ADVISORY_CLOSED = (
+    "Vehicular movement on {place} between {window} is expected to be restricted. "
+    "A full road closure/diversion is recommended based on historical pattern."
+)
+ADVISORY_OPEN = (
+    "Vehicular movement on {place} between {window} is expected to be slow-moving but unrestricted. "
+    "Slow down and expect minor delays."
+)
+ADVISORY_STAFF = "Recommend coordinating with {station} beat officers; estimated additional personnel: {officers}."
+ADVISORY_STATION = "{name} Traffic Police Station"
+ADVISORY_STARS = "*" * 52
+ADVISORY_LAYOUT = "\n".join([
+    "{title}", "{rule}", "", "{movement}", "", ADVISORY_DIVERSION_LINE, "", "VMS SIGNBOARD MESSAGE:", "[ {sign} ]", "",
+    "{staff}", "", ADVISORY_STARS, DRAFT_MARK, ADVISORY_STARS,
+])
+SIGN_CLOSED = "DIVERSION: {road} CLOSED {span}. SEEK ALTERNATE ROUTE"
+SIGN_OPEN = "ALERT: {event} ON {road} {span}. EXPECT DELAYS."
+
+# Columns whose values stand for "no value" in the cleaned log, and the columns of the quality summary.
+DQ_KEY_COLUMNS = ["event_type", "event_cause", "requires_road_closure", "start_datetime",
+                  "effective_end_datetime", "priority", "corridor", "zone",
+                  "police_station", "junction", "latitude", "longitude"]

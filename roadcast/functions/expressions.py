@@ -23,6 +23,13 @@ def lookup(mapping: dict, key: Column, default: Column) -> Column:
     return F.coalesce(F.element_at(m, key), default)
 
 
+def filled(template: Column, slots: dict[str, Column]) -> Column:
+    """A fixed text with its {name} slots replaced, in the order given (free text last)."""
+    for name, value in slots.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
+    return template
+
+
 # --- time -------------------------------------------------------------------
 
 def parse_timestamp(c: Column, data_type: str) -> Column:
@@ -163,10 +170,7 @@ def confidence_class(label: Column) -> Column:
 
 
 def basis_caption(basis: Column) -> Column:
-    return (F.when(basis == "duration", F.lit("Severity driven by historical duration"))
-            .when(basis == "closure_priority",
-                  F.lit("Severity driven by closure rate and priority (thin duration sample)"))
-            .otherwise(F.lit("Insufficient history — officer judgment")))
+    return lookup(C.SEVERITY_CAPTIONS, basis, F.lit(C.SEVERITY_CAPTION_OTHER))
 
 
 # --- deployment ----------------------------------------------------------------

@@ -15,9 +15,7 @@ from roadcast.functions import expressions as X
 
 TS_COLUMNS = ["start_datetime", "end_datetime", "closed_datetime", "resolved_datetime"]
 
-DQ_KEY_COLUMNS = ["event_type", "event_cause", "requires_road_closure", "start_datetime",
-                  "effective_end_datetime", "priority", "corridor", "zone",
-                  "police_station", "junction", "latitude", "longitude"]
+DQ_KEY_COLUMNS = C.DQ_KEY_COLUMNS
 
 
 def null_tokens(raw: DataFrame) -> DataFrame:

@@ -21,51 +21,35 @@ def _corridor_named(c: Column) -> Column:
     return c.isNotNull() & ~F.lower(c).isin("non-corridor", "none", "")
 
 
+def _rationale_texts() -> dict[str, str]:
+    """Whole paragraphs with slots, one for each severity basis, closure state and barricade decision."""
+    basis = {"duration": C.RATIONALE_BY_DURATION, "figure": C.RATIONALE_BY_CLOSURE.replace("{figure}", C.RATIONALE_FIGURE),
+             "closure": C.RATIONALE_BY_CLOSURE.replace("{figure}", "")}
+    closure = {"confirmed": C.RATIONALE_CLOSURE_CONFIRMED, "likely": C.RATIONALE_CLOSURE_LIKELY, "none": ""}
+    barricade = {"true": C.RATIONALE_BARRICADE, "false": C.RATIONALE_NO_BARRICADE}
+    return {f"{b}|{c}|{r}": C.RATIONALE_OPENING + basis[b] + C.RATIONALE_CONFIDENCE + closure[c] + C.RATIONALE_OFFICERS + barricade[r]
+            for b in basis for c in closure for r in barricade}
+
+
 def rationale(df: DataFrame) -> Column:
-    """DP5: plain-language rationale, two wordings by severity basis."""
-    dur, rate = F.col("expected_duration_minutes"), F.col("road_closure_probability")
-    corridor_in = F.col("corridor_input")
-    intro = F.concat(F.lit("This recommendation is for a reported "),
-                     F.replace(F.col("event_cause"), F.lit("_"), F.lit(" ")), F.lit(" event"),
-                     F.when(_corridor_named(corridor_in), F.concat(F.lit(" on "), corridor_in)).otherwise(F.lit("")),
-                     F.lit(". "))
-    dur_str = F.when(dur.isNotNull(), F.concat(X.whole(dur), F.lit(" minutes"))).otherwise(F.lit("an unknown duration"))
-    by_duration = F.concat(
-        F.lit("Based on "), F.col("evidence_count").cast("string"), F.lit(" similar historical events ("),
-        F.col("duration_count").cast("string"), F.lit(" with recorded resolution times), "),
-        F.lit("the typical event of this type lasts approximately "), dur_str, F.lit(". "),
-        F.lit("This duration estimate drove the "), F.col("severity_tier"), F.lit(" severity classification. "))
-    rc_str = F.when(rate.isNotNull(), X.pct0(rate)).otherwise(F.lit("unknown"))
-    dur_note = F.when(dur.isNotNull(), F.concat(
-        F.lit(" A raw duration figure of "), X.whole(dur), F.lit(" minutes is on record but is based on only "),
-        F.col("duration_count").cast("string"),
-        F.lit(" historical records and is likely distorted by administrative-lag closures "
-              "(events marked closed days after the road actually cleared). "
-              "It has NOT been used to determine severity."))).otherwise(F.lit(""))
-    by_closure = F.concat(
-        F.lit("Severity was assessed from historical road closure rate ("), rc_str,
-        F.lit(") and event priority, rather than from duration, because only "),
-        F.col("duration_count").cast("string"),
-        F.lit(" historical record(s) with timing data exist for this event type — too few to produce "
-              "a reliable duration estimate at this sample size."), dur_note, F.lit(" "))
-    basis = F.when(F.col("severity_basis") == "duration", by_duration).otherwise(by_closure)
-    confidence = F.concat(F.lit("Overall data confidence for this prediction: '"),
-                          F.col("confidence_label"), F.lit("'. "))
-    closure_note = (F.when(F.col("requires_road_closure").eqNullSafe(True),
-                           F.lit("Road closure has been confirmed for this event, which increases both "
-                                 "staffing and barricade requirements. "))
-                    .when(F.coalesce(rate >= F.lit(C.CLOSURE_PROB_SOFT_THRESHOLD), F.lit(False)),
-                          F.concat(F.lit("Historical data shows a "), X.pct0(rate),
-                                   F.lit(" chance of road closure for similar events, so a precautionary "
-                                         "staffing uplift has been applied. ")))
-                    .otherwise(F.lit("")))
-    barricade_note = F.when(F.col("barricade_recommended"), F.lit("Physical barricading is recommended. ")) \
-        .otherwise(F.lit("Barricading is not indicated at this severity level, but can be escalated "
-                         "if conditions change on site. "))
-    deployment = F.concat(closure_note, F.lit("A minimum of "),
-                          F.col("recommended_personnel_count").cast("string"),
-                          F.lit(" officers is recommended. "), barricade_note)
-    return F.concat(intro, basis, confidence, deployment)
+    """DP5: plain-language rationale: a paragraph chosen by its three states, then filled."""
+    minutes, rate, corridor = F.col("expected_duration_minutes"), F.col("road_closure_probability"), F.col("corridor_input")
+    likely = F.coalesce(rate >= F.lit(C.CLOSURE_PROB_SOFT_THRESHOLD), F.lit(False))
+    state = F.concat_ws(
+        "|",
+        F.when(F.col("severity_basis") == "duration", "duration").when(minutes.isNotNull(), "figure").otherwise("closure"),
+        F.when(F.col("requires_road_closure").eqNullSafe(True), "confirmed").when(likely, "likely").otherwise("none"),
+        F.col("barricade_recommended").cast("string"))
+    length = F.when(minutes.isNotNull(), C.RATIONALE_LENGTH).otherwise(C.RATIONALE_NO_LENGTH)
+    place = F.when(_corridor_named(corridor), C.RATIONALE_PLACE).otherwise("")
+    return X.filled(X.lookup(_rationale_texts(), state, F.lit(None).cast("string")), {
+        "length": length, "place": place,
+        "evidence": F.col("evidence_count"), "timed": F.col("duration_count"), "tier": F.col("severity_tier"),
+        "minutes": F.when(minutes.isNotNull(), X.whole(minutes)).otherwise(""),
+        "rate": F.when(rate.isNotNull(), X.pct0(rate)).otherwise(C.RATIONALE_NO_RATE),
+        "officers": F.col("recommended_personnel_count"), "confidence": F.col("confidence_label"),
+        "cause": F.replace(F.col("event_cause"), F.lit("_"), F.lit(" ")), "corridor": F.coalesce(corridor, F.lit("")),
+    })
 
 
 def recommend(fc: DataFrame, with_text: bool = True) -> DataFrame:
@@ -87,9 +71,9 @@ def recommend(fc: DataFrame, with_text: bool = True) -> DataFrame:
             "rationale": rationale(df),
             "recommendation_notes": F.array_compact(F.array(F.when(
                 X.soft_bump(rate, F.coalesce(flag, F.lit(False))),
-                F.concat(F.lit(f"Personnel count increased by {C.CLOSURE_PROB_SOFT_EXTRA} because historical "
-                               "road closure rate ("), X.pct0(rate),
-                         F.lit(f") exceeds the {int(C.CLOSURE_PROB_SOFT_THRESHOLD * 100)}% soft threshold."))))),
+                X.filled(F.lit(C.SOFT_BUMP_NOTE), {
+                    "extra": F.lit(C.CLOSURE_PROB_SOFT_EXTRA), "rate": X.pct0(rate),
+                    "threshold": F.lit(int(C.CLOSURE_PROB_SOFT_THRESHOLD * 100))})))),
         })
     return df
 
@@ -117,51 +101,44 @@ def advisory_window(df: DataFrame, start: str = "planned_start") -> DataFrame:
     })
 
 
+def _given(c: Column) -> Column:
+    return F.when(c.isNotNull() & (c != ""), c)
+
+
+def _closed() -> Column:
+    return F.col("barricade_recommended") | F.coalesce(F.col("requires_road_closure"), F.lit(False))
+
+
 def vms_message(df: DataFrame, start: str = "planned_start") -> Column:
     """AD2: sign-board text, upper case, at most 100 characters."""
-    s, dur = F.col(start), F.col("expected_duration_minutes")
-    corr = F.when(F.col("corridor_input").isNotNull() & (F.col("corridor_input") != ""),
-                  F.upper("corridor_input")).otherwise(F.lit("ROAD"))
-    vms_time = F.when(_has_window(dur), F.concat(F.date_format(s, "hh:mma"), F.lit("-"),
-                                                 F.date_format(_plus_minutes(s, dur), "hh:mma"))) \
-        .otherwise(F.concat(F.lit("FROM "), F.date_format(s, "hh:mma")))
-    closed = F.col("barricade_recommended") | F.coalesce(F.col("requires_road_closure"), F.lit(False))
-    text = F.when(closed, F.concat(F.lit("DIVERSION: "), corr, F.lit(" CLOSED "), vms_time,
-                                   F.lit(". SEEK ALTERNATE ROUTE"))) \
-        .otherwise(F.concat(F.lit("ALERT: "), F.upper(F.replace(F.col("event_cause"), F.lit("_"), F.lit(" "))),
-                            F.lit(" ON "), corr, F.lit(" "), vms_time, F.lit(". EXPECT DELAYS.")))
-    return F.upper(F.when(F.length(text) > C.VMS_MAX_CHARS,
-                          F.concat(F.substring(text, 1, C.VMS_MAX_CHARS - 3), F.lit("..."))).otherwise(text))
+    begin, minutes = F.col(start), F.col("expected_duration_minutes")
+    clock = "hh:mma"
+    until = F.date_format(_plus_minutes(begin, minutes), clock)
+    span = F.when(_has_window(minutes), F.concat_ws("-", F.date_format(begin, clock), until)) \
+        .otherwise(F.concat(F.lit("FROM "), F.date_format(begin, clock)))
+    text = X.filled(F.when(_closed(), C.SIGN_CLOSED).otherwise(C.SIGN_OPEN), {
+        "span": span, "event": F.replace(F.col("event_cause"), F.lit("_"), F.lit(" ")),
+        "road": F.coalesce(_given(F.col("corridor_input")), F.lit("ROAD"))})
+    cut = F.concat(F.left(text, F.lit(C.VMS_MAX_CHARS - 3)), F.lit("..."))
+    return F.upper(F.when(F.length(text) > C.VMS_MAX_CHARS, cut).otherwise(text))
 
 
 def advisory(rec: DataFrame, stations: DataFrame, start: str = "planned_start") -> DataFrame:
     """AD3: the advisory text block per incident (station from BL6)."""
-    st = broadcast_if_small(stations.select(F.col("corridor").alias("_st_corridor"),
-                                            F.col("police_station").alias("_st_station")))
-    df = rec.join(st, rec["corridor_input"] == st["_st_corridor"], "left")
-    named = F.col("corridor_input").isNotNull() & (F.col("corridor_input") != "") \
-        & (F.col("corridor_input") != "Non-corridor") & F.col("_st_station").isNotNull()
-    station = F.when(named, F.concat(F.col("_st_station"), F.lit(" Traffic Police Station"))) \
-        .otherwise(F.lit(C.DEFAULT_STATION))
-    df = advisory_window(df, start).withColumns({"vms_message": vms_message(df, start), "_station": station})
-    loc = F.coalesce(F.when(F.col("corridor_input") != "", F.col("corridor_input")), F.lit("Non-corridor"))
-    closed = F.col("barricade_recommended") | F.coalesce(F.col("requires_road_closure"), F.lit(False))
-    closure_stmt = F.concat(F.lit("Vehicular movement on "), loc, F.lit(" between "), F.col("time_range"),
-                            F.when(closed, F.lit(" is expected to be restricted. A full road closure/diversion "
-                                                 "is recommended based on historical pattern."))
-                            .otherwise(F.lit(" is expected to be slow-moving but unrestricted. "
-                                             "Slow down and expect minor delays.")))
-    title = F.concat(F.lit("Traffic Advisory: "), X.title_words(F.col("event_cause")), F.lit(" at "), loc,
-                     F.lit(" — "), F.date_format(F.col(start), "yyyy-MM-dd"))
-    personnel_line = F.concat(F.lit("Recommend coordinating with "), F.col("_station"),
-                              F.lit(" beat officers; estimated additional personnel: "),
-                              F.col("recommended_personnel_count").cast("string"), F.lit("."))
-    stars = F.lit("*" * 52)
-    text = F.concat_ws("\n", title, F.repeat(F.lit("="), F.length(title)), F.lit(""), closure_stmt, F.lit(""),
-                       F.lit(C.ADVISORY_DIVERSION_LINE), F.lit(""),
-                       F.concat(F.lit("VMS SIGNBOARD MESSAGE:\n[ "), F.col("vms_message"), F.lit(" ]")),
-                       F.lit(""), personnel_line, F.lit(""), stars, F.lit(C.DRAFT_MARK), stars)
-    return df.withColumn("advisory_text", text).drop("_st_corridor", "_st_station", "_station")
+    beats = broadcast_if_small(stations.select(F.col("corridor").alias("_beat_corridor"), F.col("police_station").alias("_beat")))
+    df = rec.join(beats, rec["corridor_input"] == beats["_beat_corridor"], "left")
+    corridor = _given(F.col("corridor_input"))
+    beat = F.when(corridor != "Non-corridor", X.filled(F.lit(C.ADVISORY_STATION), {"name": F.col("_beat")}))
+    place = F.coalesce(corridor, F.lit("Non-corridor"))
+    df = advisory_window(df, start).withColumns({"vms_message": vms_message(df, start)})
+    title = X.filled(F.lit(C.ADVISORY_TITLE), {"date": F.date_format(F.col(start), "yyyy-MM-dd"),
+                                               "event": X.title_words(F.col("event_cause")), "place": place})
+    text = X.filled(F.lit(C.ADVISORY_LAYOUT), {
+        "movement": F.when(_closed(), C.ADVISORY_CLOSED).otherwise(C.ADVISORY_OPEN), "staff": F.lit(C.ADVISORY_STAFF),
+        "rule": F.repeat(F.lit("="), F.length(title)), "window": F.col("time_range"),
+        "officers": F.col("recommended_personnel_count"), "station": F.coalesce(beat, F.lit(C.DEFAULT_STATION)),
+        "title": title, "sign": F.col("vms_message"), "place": place})
+    return df.withColumn("advisory_text", text).drop("_beat_corridor", "_beat")
 
 
 def extract_vms(text: Column) -> Column:

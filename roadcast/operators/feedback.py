@@ -2,8 +2,8 @@
 
 Keeping two reference behaviours apart (see SURVEY S12):
 * :func:`accept` - a submission is refused when its outcome key is already
-  in the log, whatever its status (``status_upgrade=False``), so a verified
-  resubmission of an unverified outcome is refused;
+  in the log, whatever its status, so a verified resubmission of an
+  unverified outcome is refused;
 * :func:`feedback_events` - the refresh keeps verified rows first and then
   the first row per key.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from roadcast import config as C
 from roadcast.functions import expressions as X
 from roadcast.operators import baseline as BL
-from roadcast.operators.sizing import broadcast_if_small
+from roadcast.operators.sizing import broadcast_if_small, materialize
 
 FEEDBACK_SCHEMA = ["timestamp", "event_datetime", "event_cause", "corridor", "actual_duration_minutes",
                    "actual_requires_road_closure", "priority", "verified_by", "verification_status"]
@@ -119,7 +119,8 @@ def submissions(log: DataFrame) -> DataFrame:
     """FB3 over a whole log in order: each row accepted iff no earlier row has its key."""
     k = keyed(log)
     order_cols = _order_cols(k)
-    firsts = k.groupBy("feedback_key").agg(F.min(F.struct(*order_cols)).alias("_first"))
+    # A stored table: the join has a plain exchange on either side, so a key submitted very often is split at run time.
+    firsts = materialize(k.groupBy("feedback_key").agg(F.min(F.struct(*order_cols)).alias("_first")), "firsts")
     j = k.join(firsts, "feedback_key")
     return j.withColumn("accepted", F.struct(*order_cols) == F.col("_first")).drop("_first")
 

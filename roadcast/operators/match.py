@@ -1,7 +1,8 @@
 """Incoming incidents -> tier chain fine -> coarse -> cause_only -> no_data.
 
-The incoming side is never shuffled: the three baseline grains are small,
-materialised once, counted, and broadcast behind that count. Each tier is a
+The three baseline grains are written once, each as a table of its own, so
+the planner decides per tier by bytes: coarse and cause grains have a handful
+of rows and are always broadcast; while the fine one is too, the incoming side is not shuffled. Each tier is a
 left equi-join; the chosen tier is ``coalesce`` over one STRUCT per tier, so
 the fields of different tiers can never mix.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from roadcast import config as C
 from roadcast.functions import expressions as X
 from roadcast.operators import baseline as B
-from roadcast.operators.sizing import BROADCAST_MAX_ROWS, materialize
+from roadcast.operators.sizing import materialize
 
 STAT_FIELDS = ["median_duration_minutes", "road_closure_rate", "event_count",
                "duration_count", "priority_mode"]
@@ -28,38 +29,20 @@ class Baselines:
     fine: DataFrame
     coarse: DataFrame
     cause: DataFrame
-    rows: int | None = None
 
 
-def prepare_baselines(clean: DataFrame, materialise: bool = True,
-                      max_rows: int = BROADCAST_MAX_ROWS) -> Baselines:
-    """Aggregate all grains once; checkpoint + count; broadcast under the limit."""
-    return baselines_from_grains(B.all_grains(clean), materialise, max_rows)
+def prepare_baselines(clean: DataFrame) -> Baselines:
+    """Aggregate all grains once."""
+    return baselines_from_grains(B.all_grains(clean))
 
 
-def baselines_from_grains(grains: DataFrame, materialise: bool = True,
-                          max_rows: int = BROADCAST_MAX_ROWS) -> Baselines:
-    """Split a grain-tagged aggregate (e.g. a refreshed one) into the three tiers."""
-    n = None
-    if materialise:
-        grains = materialize(grains)
-        n = grains.count()
-    hint = (lambda d: F.broadcast(d)) if (n is not None and n <= max_rows) else (lambda d: d)
+def baselines_from_grains(grains: DataFrame) -> Baselines:
+    """Split a grain-tagged aggregate (e.g. a refreshed one) into three stored tiers, each joined by its own size."""
+    grains = materialize(grains, "grains")
     return Baselines(
-        fine=hint(B.fine_baseline(grains)),
-        coarse=hint(B.coarse_baseline(grains).where(F.col("duration_count") >= C.MIN_EVENTS)),
-        cause=hint(B.cause_baseline(grains)),
-        rows=n,
-    )
-
-
-def baselines_from_table(table: DataFrame, cause: DataFrame) -> Baselines:
-    """Use a stored BL4 table plus a cause table (e.g. a refreshed version)."""
-    return Baselines(
-        fine=F.broadcast(table.where(F.col("match_level") == "fine")),
-        coarse=F.broadcast(table.where((F.col("match_level") == "coarse")
-                                       & (F.col("duration_count") >= C.MIN_EVENTS))),
-        cause=F.broadcast(cause),
+        fine=materialize(B.fine_baseline(grains), "fine"),
+        coarse=materialize(B.coarse_baseline(grains).where(F.col("duration_count") >= C.MIN_EVENTS), "coarse"),
+        cause=materialize(B.cause_baseline(grains), "cause"),
     )
 
 

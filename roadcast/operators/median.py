@@ -67,4 +67,4 @@ def grouped_exact_median(df: DataFrame, keys: list[str], value: str,
     at = lambda r: (F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_cum"))
     res = cand.groupBy(*keys).agg(F.max(F.when(at("_r1"), F.col("_v"))).alias("_m1"),
                                   F.max(F.when(at("_r2"), F.col("_v"))).alias("_m2"))
-    return res.select(*keys, (F.col("_m1") + (F.col("_m2") - F.col("_m1")) * F.lit(0.5)).alias(out))
+    return res.select(*keys, ((F.col("_m1") + F.col("_m2")) / F.lit(2.0)).alias(out))

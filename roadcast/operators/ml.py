@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from roadcast.functions import expressions as X
 from roadcast.operators.ranking import rank_rows
+from roadcast.operators.sizing import materialize
 
 # FIXED VALUES: severity keywords searched in description + comment (case-insensitive substring).
 SEVERITY_TERMS = [
@@ -104,7 +105,7 @@ def stratified_split(df: DataFrame, stratum: str, share: float = 0.8, seed: int
     h = df.withColumn("_h", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
     r = rank_rows(h, [stratum], [F.col("_h").asc(), F.col("id").asc()], rank_col="_pos")
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    j = r.join(F.broadcast(n), stratum)  # one row per stratum
+    j = r.join(materialize(n, "strata"), stratum)
     return j.withColumn("fold", F.when(F.col("_pos") <= F.floor(F.col("_n") * F.lit(share)), F.lit("train"))
                         .otherwise(F.lit("test"))).drop("_h", "_pos", "_n")
 

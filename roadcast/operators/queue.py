@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from roadcast import config as C
 from roadcast.functions import expressions as X
-from roadcast.operators.ranking import rank_rows, two_level_rank, window_rank
+from roadcast.operators.ranking import rank_rows
+from roadcast.operators.sizing import materialize
 
 
 
@@ -99,17 +100,14 @@ def queue_rejects(q: DataFrame) -> DataFrame:
 
 
 def allocate(q: DataFrame, budgets: DataFrame | None = None,
-             officers: int = C.QUEUE_DEFAULT_OFFICERS, barricades: int = C.QUEUE_DEFAULT_BARRICADES,
-             two_level: bool | None = None) -> DataFrame:
+             officers: int = C.QUEUE_DEFAULT_OFFICERS, barricades: int = C.QUEUE_DEFAULT_BARRICADES) -> DataFrame:
     """QU6-QU8, QU11: rank, greedy grants (closed form), coverage and risk text."""
     s = scored(q).where(F.col("_valid")).withColumns({
         "officers_requested": F.col("_officers"), "barricades_requested": F.col("_barricades"),
         "evidence_count": F.col("_evidence")})
-    # None: choose by the largest queue; True / False force a strategy (tests).
-    rank = rank_rows if two_level is None else (two_level_rank if two_level else window_rank)
-    r = rank(s, ["queue_id"], order_cols(), ["officers_requested", "barricades_requested"])
+    r = rank_rows(s, ["queue_id"], order_cols(), ["officers_requested", "barricades_requested"])
     if budgets is not None:
-        r = r.join(F.broadcast(budgets.select("queue_id", "total_officers", "total_barricades")), "queue_id", "left")
+        r = r.join(materialize(budgets.select("queue_id", "total_officers", "total_barricades"), "budgets"), "queue_id", "left")
     else:
         r = r.withColumns({"total_officers": F.lit(officers), "total_barricades": F.lit(barricades)})
 

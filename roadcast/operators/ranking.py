@@ -6,13 +6,13 @@ values with balanced tasks:
 
 1. range-partition on (partition keys, order keys) - the order must end in a
    unique key, so the sampled boundaries split even a single hot partition
-   key; the result is checkpointed so every later read sees the same ranges;
+   key; the result is written so every later read sees the same ranges;
 2. per (range, key): row count and column sums - a table of at most
    (ranges + keys) rows;
 3. offsets: running totals of step 2 over earlier ranges of the same key;
 4. rank / prefix sums inside each (range, key) slice plus its offset.
 
-Equal to the single-window result (checked by the tests).
+One strategy at every size; equal to the single-window result (checked by the tests).
 """
 
 from __future__ import annotations
@@ -21,74 +21,51 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadcast.operators.sizing import materialize, sized
+from roadcast.operators.sizing import materialize
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def two_level_rank(df: DataFrame, partition_cols: list[str], order_cols: list,
-                   sum_cols: list[str] = (), rank_col: str = "rank", before_prefix: str = "before_",
-                   n_ranges: int | None = None) -> DataFrame:
-    """Add 1-based ``rank_col`` and exclusive prefix sums ``before_<c>`` per partition."""
-    spark = df.sparkSession
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def rank_rows(df: DataFrame, partition_cols: list[str], order_cols: list, sum_cols: list[str] = (),
+              rank_col: str = "rank", before_prefix: str = "before_", n_ranges: int | None = None) -> DataFrame:
+    """Add 1-based ``rank_col`` and exclusive prefix sums ``before_<c>`` per partition; null keys are a partition too."""
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition_cols)
     order = [_c(c) for c in order_cols]
-    # The range boundaries are sampled by a job of their own: keep the input
-    # for the two passes (sample, shuffle) instead of computing it twice.
+    # The boundaries are sampled by a job of their own: the input is kept for
+    # the two passes (sample, shuffle) instead of being computed twice.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     r = materialize(src.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-                    .withColumn("_rp", F.spark_partition_id()))
+                    .withColumn("_rp", F.spark_partition_id()), "ranges")
     src.unpersist()
     tot = r.groupBy("_rp", *keys).agg(F.count(F.lit(1)).alias("_n"),
                                       *[F.sum(c).alias(f"_s_{c}") for c in sum_cols])
     earlier = Window.partitionBy(*keys).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_rp", *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_n"),
-                      *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}")
-                        for c in sum_cols])
-    offs, _ = sized(offs)
-    j = r.join(offs, on=["_rp", *keys], how="inner") if keys else r.join(offs, on=["_rp"], how="inner")
+    offs = materialize(tot.select(
+        F.col("_rp").alias("_o_rp"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off_n"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sum_cols]), "offsets")
+    same = r["_rp"] == offs["_o_rp"]
+    for k in keys:
+        same = same & r[k].eqNullSafe(offs[f"_o_{k}"])
     inner = Window.partitionBy("_rp", *keys).orderBy(*order)
     inner_prev = inner.rowsBetween(Window.unboundedPreceding, -1)
-    out = j.withColumns({
+    out = r.join(offs, same).withColumns({
         rank_col: F.col("_off_n") + F.row_number().over(inner),
         **{f"{before_prefix}{c}": F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inner_prev), F.lit(0))
            for c in sum_cols},
     })
-    return out.drop("_rp", "_off_n", *[f"_off_{c}" for c in sum_cols])
+    return out.drop("_rp", "_o_rp", "_off_n", *[f"_o_{k}" for k in keys], *[f"_off_{c}" for c in sum_cols])
 
 
 def window_rank(df: DataFrame, partition_cols: list[str], order_cols: list,
                 sum_cols: list[str] = (), rank_col: str = "rank", before_prefix: str = "before_") -> DataFrame:
-    """Single-window reference form (for small partitions and for tests)."""
+    """Single-window form: what the tests compare with."""
     w = Window.partitionBy(*partition_cols).orderBy(*[_c(c) for c in order_cols])
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumns({
         rank_col: F.row_number().over(w),
         **{f"{before_prefix}{c}": F.coalesce(F.sum(c).over(prev), F.lit(0)) for c in sum_cols},
     })
-
-
-# A window partition of up to this many rows is sorted by one task comfortably.
-SINGLE_TASK_MAX_ROWS = 2_000_000
-
-
-def rank_rows(df: DataFrame, partition_cols: list[str], order_cols: list, sum_cols: list[str] = (),
-              rank_col: str = "rank", before_prefix: str = "before_",
-              max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
-    """Rank / prefix sums, choosing the plan from the largest partition size.
-
-    One aggregate counts the rows of the biggest partition key (a single
-    number reaches the driver). Bounded partitions use the plain window
-    (one shuffle); a partition above ``max_rows`` - or an unpartitioned
-    ranking of that many rows - goes through :func:`two_level_rank`.
-    """
-    if partition_cols:
-        biggest = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    else:
-        biggest = df.count()
-    if biggest is None or biggest <= max_rows:
-        return window_rank(df, partition_cols, order_cols, sum_cols, rank_col, before_prefix)
-    return two_level_rank(df, partition_cols, order_cols, sum_cols, rank_col, before_prefix)

@@ -1,35 +1,31 @@
-"""Materialise-then-decide helpers for broadcast joins.
-
-A side is broadcast only after its row count is known: the small side is
-first cut from its lineage with a reliable ``checkpoint()`` (written to the
-cluster's ``spark.checkpoint.dir``), counted from the checkpoint files, and
-hinted for broadcast only under a row limit. Above the limit the join is
-left to the planner (sort-merge on the join keys; AQE may still re-plan).
+"""Cutting lineage with written tables.
+
+A side table is written to the cluster's shared folder and read back. The
+files survive executor loss, and their size is what Spark's planner sees: it
+broadcasts a side under ``spark.sql.autoBroadcastJoinThreshold`` and otherwise
+sort-merges, where both sides are then plain exchanges whose skewed
+partitions adaptive execution can split. No row count, no hint, and each side
+is decided by its own bytes.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from roadcast.session import ensure_checkpoint_dir
 
-# ~120 bytes per baseline row -> 500k rows is ~60 MB per executor copy.
-BROADCAST_MAX_ROWS = 500_000
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local checkpoint): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, int]:
-    """Materialise ``df`` and return (maybe-broadcast frame, row count)."""
-    m = materialize(df)
-    n = m.count()
-    return (F.broadcast(m) if n <= max_rows else m), n
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once and read back (never a local checkpoint)."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return sized(df, max_rows)[0]
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A side table of known size: the planner broadcasts it if its bytes are few."""
+    return materialize(df, "side")

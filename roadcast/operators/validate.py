@@ -22,6 +22,7 @@ from roadcast.operators import baseline as BL
 from roadcast.operators import forecast as FC
 from roadcast.operators.match import baselines_from_grains, tiered_match
 from roadcast.operators.ranking import rank_rows
+from roadcast.operators.sizing import materialize
 
 CLASSES = ["Low", "Medium", "High"]
 
@@ -152,7 +153,7 @@ def cause_rate_scores(split: DataFrame) -> DataFrame:
     rates = train.groupBy("event_cause").agg(F.avg("y").alias("_rate"))
     glob = train.agg(F.avg("y").alias("_global"))
     other = split.where(F.col("fold") != "train")
-    j = attach_scalar(other.join(F.broadcast(rates), "event_cause", "left"), glob)
+    j = attach_scalar(other.join(materialize(rates, "rates"), "event_cause", "left"), glob)
     return j.select("id", "fold", "y", "event_cause", F.coalesce("_rate", "_global").alias("score"))
 
 

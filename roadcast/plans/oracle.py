@@ -39,8 +39,10 @@ select event_id as incident_id, ts as planned_start,
        when event_id % 500 = 44 then 'vip_movement' else event_type end as event_cause,
   case when event_id % 60 = 4 then 'new_road' when user_id % 16 = 0 then null
        else concat('corridor_', cast(user_id % 16 as varchar)) end as corridor,
-  case when k % 3 = 0 then null else (k % 7 = 0) end as requires_road_closure
-from (select *, {K} as k from events) where event_id % 20 = 4
+  case when k % 3 = 0 then null else (k % 7 = 0) end as requires_road_closure,
+  case when event_id % 9 = 0 then concat('junction_', cast(k as varchar)) when event_id % 9 = 1 then 'Unknown' end as junction,
+  case when event_id % 4 = 0 then repeat(concat('address line ', cast(k as varchar), ' '), 9) when event_id % 4 = 1 then '  ' end as address
+from (select *, {K} as k from events)
 """
 
 FEEDBACK = f"""
@@ -54,7 +56,7 @@ select event_id * 2 + d as log_seq, ts + to_seconds(86400 + 60 * d) as logged_at
   case when k % 8 < 4 then 'verified' when k % 8 = 4 then 'Verified ' when k % 8 = 5 then 'disputed'
        when k % 8 = 6 then 'pending' end as verification_status
 from (select *, {K} as k from events) cross join (select 0 as d union all select 1 as d)
-where event_id % 50 = 9 and (d = 0 or event_id % 200 = 9)
+where d = 0 or event_id % 200 = 9
 """
 
 HOUR_BUCKET = ("case when {h} >= 0 and {h} < 6 then 'night' when {h} >= 6 and {h} < 12 then 'morning' "
@@ -99,6 +101,17 @@ def rnd(x: str, digits: int) -> str:
     return f"(round_even(({x}) * {scale}, 0) / {scale} + 0.0::double)"
 
 
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def filled(template: str, slots: dict[str, str]) -> str:
+    """SQL that replaces the {name} slots of a text expression, in the order given."""
+    for name, value in slots.items():
+        template = f"replace({template}, '{{{name}}}', cast({value} as varchar))"
+    return template
+
+
 def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
     body = ",\n".join(f"{name} as ({sql})" for name, sql in ctes)
     return f"with {body}\n{final}"
@@ -118,7 +131,7 @@ select {k}, count(id) as event_count,
   {rnd(f"count(*) filter (where coalesce(requires_road_closure, false))::double / count(*)", 4)} as road_closure_rate,
   {dc} as duration_count,
   {rnd(f"sum(round(duration_minutes * 60000000.0::double)::bigint) filter (where has_duration)::double / {dur_count} / 60000000.0::double", 2)} as mean_duration_minutes,
-  {rnd("median(duration_minutes) filter (where has_duration)", 2)} as median_duration_minutes
+  {rnd("(quantile_disc(duration_minutes, 0.5) filter (where has_duration) - quantile_disc(-duration_minutes, 0.5) filter (where has_duration)) / 2.0::double", 2)} as median_duration_minutes
 from {src} where {notnull} group by {k}
 """
     modes = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roadcast import config as C
 from roadcast.operators import baseline as BL
 from roadcast.operators import deploy as DP
 from roadcast.plans import context as ctx
@@ -21,7 +22,9 @@ PERSONNEL = (f"(case when severity_tier = 'Low' and not {HARD} then 2 when sever
              f"then 2 else 0 end)")
 BARRICADE = ("(severity_tier in ('Medium', 'High') or coalesce(road_closure_probability >= 0.25::double, false) "
              "or requires_road_closure is not distinct from true)")
-LOCATION = ("case when corridor is not null and lower(trim(corridor)) not in ('', 'non-corridor') then 'along ' || corridor "
+LOCATION = ("case when junction is not null and lower(trim(junction)) not in ('', 'unknown') then junction || ' junction' "
+            "when address is not null and trim(address) <> '' then 'near ' || substr(address, 1, 80) "
+            "when corridor is not null and lower(trim(corridor)) not in ('', 'non-corridor') then 'along ' || corridor "
             "else 'near event start location (coordinates available in ASTRAM record)' end")
 REC_CTES = O.FORECAST_CTES + [("rec", f"""
 select *, {PERSONNEL} as recommended_personnel_count, {BARRICADE} as barricade_recommended,
@@ -38,6 +41,43 @@ VMS_RAW = (f"case when barricade_recommended or {HARD} then 'DIVERSION: ' || {CO
 VMS = f"upper(case when length({VMS_RAW}) > 100 then substr({VMS_RAW}, 1, 97) || '...' else {VMS_RAW} end)"
 
 
+RATE = "format('{:.0f}%', road_closure_probability * 100)"
+LIKELY = "coalesce(road_closure_probability >= 0.40::double, false)"
+PLACE = "coalesce(nullif(corridor, ''), 'Non-corridor')"
+_BASIS = (f"case when severity_basis = 'duration' then {O.literal(C.RATIONALE_BY_DURATION)} when expected_duration_minutes is not null "
+          f"then {O.literal(C.RATIONALE_BY_CLOSURE.replace('{figure}', C.RATIONALE_FIGURE))} "
+          f"else {O.literal(C.RATIONALE_BY_CLOSURE.replace('{figure}', ''))} end")
+_CLOSURE = (f"case when requires_road_closure is not distinct from true then {O.literal(C.RATIONALE_CLOSURE_CONFIRMED)} "
+            f"when {LIKELY} then {O.literal(C.RATIONALE_CLOSURE_LIKELY)} else '' end")
+_BARRIER = f"case when barricade_recommended then {O.literal(C.RATIONALE_BARRICADE)} else {O.literal(C.RATIONALE_NO_BARRICADE)} end"
+RATIONALE = O.filled(f"({O.literal(C.RATIONALE_OPENING)} || {_BASIS} || {O.literal(C.RATIONALE_CONFIDENCE)} || {_CLOSURE} || "
+                     f"{O.literal(C.RATIONALE_OFFICERS)} || {_BARRIER})", {
+    "length": f"case when expected_duration_minutes is null then {O.literal(C.RATIONALE_NO_LENGTH)} else {O.literal(C.RATIONALE_LENGTH)} end",
+    "place": f"case when corridor is not null and lower(corridor) not in ('non-corridor', 'none', '') then {O.literal(C.RATIONALE_PLACE)} else '' end",
+    "evidence": "evidence_count", "timed": "duration_count", "tier": "severity_tier",
+    "minutes": "coalesce(format('{:.0f}', expected_duration_minutes), '')", "rate": f"coalesce({RATE}, 'unknown')",
+    "officers": "recommended_personnel_count", "confidence": "confidence_label", "cause": "replace(event_cause, '_', ' ')",
+    "corridor": "coalesce(corridor, '')"})
+SOFT_NOTE = O.filled(O.literal(C.SOFT_BUMP_NOTE), {"extra": "2", "rate": RATE, "threshold": "40"})
+WINDOW = (f"case when {HAS_WIN} then strftime(planned_start, '%I:%M %p') || ' to ' || strftime({END_TS}, '%I:%M %p') "
+          "else 'starting at ' || strftime(planned_start, '%I:%M %p') end")
+EVENT_TITLE = "array_to_string(list_transform(string_split(event_cause, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+TITLE = O.filled(O.literal(C.ADVISORY_TITLE), {"date": "strftime(planned_start, '%Y-%m-%d')", "event": EVENT_TITLE, "place": PLACE})
+ADVISORY = O.filled(O.literal(C.ADVISORY_LAYOUT), {
+    "movement": f"case when barricade_recommended or {HARD} then {O.literal(C.ADVISORY_CLOSED)} else {O.literal(C.ADVISORY_OPEN)} end",
+    "staff": O.literal(C.ADVISORY_STAFF), "rule": f"repeat('=', length({TITLE}))", "window": WINDOW,
+    "officers": "recommended_personnel_count",
+    "station": (f"case when corridor is not null and corridor not in ('', 'Non-corridor') and beat is not null "
+                f"then beat || ' Traffic Police Station' else {O.literal(C.DEFAULT_STATION)} end"),
+    "title": TITLE, "sign": VMS, "place": PLACE})
+#: The most frequent station of each corridor, the first of them by name.
+BEATS = """
+select corridor as beat_corridor, police_station as beat from (
+  select corridor, police_station, row_number() over (partition by corridor order by count(*) desc, police_station) as rn
+  from clean where corridor is not null and police_station is not null group by corridor, police_station) where rn = 1
+"""
+
+
 def recommend_df(spark, sf_dir, with_text=True):
     return DP.recommend(forecast_df(spark, sf_dir), with_text=with_text)
 
@@ -78,11 +118,13 @@ def recommend_batch(spark, sf_dir):
         "barricade_location_hint")
 
 
-@register("rationale")
+@register("rationale", W(REC_CTES, f"""
+select incident_id, {RATIONALE} as rationale, {O.literal(C.DIVERSION_DISCLAIMER)} as diversion_suggestion,
+  case when not {HARD} and {LIKELY} then {SOFT_NOTE} else '' end as recommendation_notes from rec"""))
 def rationale(spark, sf_dir):
-    """DP5/DP6: rationale paragraph and diversion disclaimer (rows-only)."""
+    """DP5/DP6: rationale paragraph, diversion disclaimer and notes (joined by line ends)."""
     return recommend_df(spark, sf_dir).select("incident_id", "rationale", "diversion_suggestion",
-                                               "recommendation_notes")
+                                               F.array_join("recommendation_notes", "\n").alias("recommendation_notes"))
 
 
 @register("advisory_window", W(REC_CTES, f"""
@@ -100,9 +142,10 @@ def vms_message(spark, sf_dir):
     return r.select("incident_id", DP.vms_message(r).alias("vms_message"))
 
 
-@register("advisory_batch")
+@register("advisory_batch", W(REC_CTES + [("beats", BEATS)], f"""
+select incident_id, {ADVISORY} as advisory_text from rec left join beats on corridor = beat_corridor"""))
 def advisory_batch(spark, sf_dir):
-    """AD3: advisory text block per incident (rows-only)."""
+    """AD3: advisory text block per incident."""
     return advisory_df(spark, sf_dir).select("incident_id", "advisory_text")
 
 

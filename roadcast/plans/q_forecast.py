@@ -205,9 +205,9 @@ def confidence_class(spark, sf_dir):
 
 
 @register("basis_caption", W(O.FORECAST_CTES, """
-select incident_id, case when severity_basis = 'duration' then 'Severity driven by historical duration'
-  when severity_basis = 'closure_priority' then 'Severity driven by closure rate and priority (thin duration sample)'
-  else 'Insufficient history — officer judgment' end as basis_caption from fc"""))
+select incident_id, case when severity_basis = 'duration' then 'Based on duration history'
+  when severity_basis = 'closure_priority' then 'Based on closure rate & priority (limited duration data)'
+  else 'Insufficient historical data for duration or closure prediction' end as basis_caption from fc"""))
 def basis_caption(spark, sf_dir):
     """FC11: caption by severity basis."""
     return forecast_df(spark, sf_dir).select(

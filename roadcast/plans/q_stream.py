@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from roadcast.operators import baseline as BL
 from roadcast.plans import context as ctx
 from roadcast.plans import oracle as O
-from roadcast.plans.q_deploy import BARRICADE, LOCATION, PERSONNEL
+from roadcast.plans.q_deploy import BARRICADE, PERSONNEL, REC_CTES
+from roadcast.plans.q_feedback import REFRESH_CTES
 from roadcast.plans.registry import register
 from roadcast.streaming import replay as RP
 
@@ -56,14 +57,17 @@ def replay_gaps(spark, sf_dir):
     return RP.replay_gaps(_replayed(spark, sf_dir))
 
 
-@register("replay_stream")
+@register("replay_stream", W(REC_CTES, """
+select incident_id, planned_start, event_cause, match_corridor as corridor, match_level, severity_tier,
+  recommended_personnel_count, barricade_recommended from rec"""))
 def replay_stream(spark, sf_dir):
     """ST2: the incoming incidents scored by a Structured Streaming query (availableNow)."""
     scored, _ = RP.replay_stream(spark, ctx.incoming(spark, sf_dir), ctx.clean(spark, sf_dir))
     return scored
 
 
-@register("feedback_stream")
+@register("feedback_stream", W(REFRESH_CTES, f"""
+select {O.BASELINE_SELECT} from r_bl_fine union all select {O.BASELINE_SELECT} from r_bl_coarse"""))
 def feedback_stream(spark, sf_dir):
     """ST5: baseline after folding the feedback stream batch by batch (last version, BL4 rows)."""
     grains = RP.feedback_stream(spark, ctx.feedback(spark, sf_dir), ctx.clean(spark, sf_dir))

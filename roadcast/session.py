@@ -4,7 +4,8 @@ The engine relies on: UTC session zone (timestamps are UTC instants, IST is
 derived explicitly), adaptive execution (runtime coalescing and skew-join
 splitting), and a reliable checkpoint directory for cutting lineage. On a
 cluster the checkpoint directory comes from ``spark.checkpoint.dir``; a local
-temporary folder is only used when nothing is configured (tests, laptops).
+temporary folder is only used when nothing is configured and the master is
+local (tests, laptops), and is an error on a cluster.
 """
 
 from __future__ import annotations
@@ -68,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="roadcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -71,9 +71,8 @@ def raw_incidents_from_events(events: DataFrame) -> DataFrame:
 
 
 def incoming_from_events(events: DataFrame) -> DataFrame:
-    """Forecast requests: every 20th event; ``planned_start`` is IST wall clock."""
-    e = events.where(F.col("event_id") % 20 == 4).select(
-        "event_id", "user_id", "event_type", "ts", _k().alias("k"))
+    """Forecast requests: every event; ``planned_start`` is IST wall clock."""
+    e = events.select("event_id", "user_id", "event_type", "ts", _k().alias("k"))
     eid, uid, k = F.col("event_id"), F.col("user_id"), F.col("k")
     return e.select(
         eid.alias("incident_id"),
@@ -85,12 +84,16 @@ def incoming_from_events(events: DataFrame) -> DataFrame:
         F.when(eid % 60 == 4, F.lit("new_road")).otherwise(_corridor_of(uid)).alias("corridor"),
         F.when(k % 3 == 0, F.lit(None).cast("boolean")).otherwise(k % 7 == 0)
          .alias("requires_road_closure"),
+        F.when(eid % 9 == 0, F.concat(F.lit("junction_"), k.cast("string"))).when(eid % 9 == 1, F.lit("Unknown"))
+         .alias("junction"),
+        F.when(eid % 4 == 0, F.repeat(F.concat(F.lit("address line "), k.cast("string"), F.lit(" ")), F.lit(9)))
+         .when(eid % 4 == 1, F.lit("  ")).alias("address"),
     )
 
 
 def feedback_log_from_events(events: DataFrame) -> DataFrame:
     """Feedback log with duplicates, bad numbers, blank priorities, mixed status."""
-    e = events.where(F.col("event_id") % 50 == 9).select(
+    e = events.select(
         "event_id", "user_id", "event_type", "value",
         F.col("ts").cast("timestamp").alias("ts"), _k().alias("k"))
     # d = 1 duplicates every 200th event once (a resubmission one minute later).
@@ -121,8 +124,7 @@ def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Forecast requests go straight from the scan into broadcast joins: no exchange.
-    return incoming_from_events(read_table(spark, sf_dir, "events", spread=False))
+    return incoming_from_events(read_table(spark, sf_dir, "events"))
 
 
 def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:

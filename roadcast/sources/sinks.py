@@ -2,8 +2,8 @@
 
 * cleaned incidents are written partitioned by start date, so date-bounded
   reads prune whole folders;
-* baselines are written as immutable versions plus a small pointer file; a
-  reader resolves the pointer once, so it never sees half a refresh;
+* baselines are written as immutable versions; a reader takes the last one
+  that was written to its end, so it never sees half a refresh;
 * the feedback log is appended only with outcomes that passed the
   ``left_anti`` key check, one folder per append (a retried append replaces
   its own folder);
@@ -20,9 +20,16 @@ from pyspark.sql import functions as F
 from roadcast.operators import feedback as FB
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark reads, sorted; none if it doesn't exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def write_clean(clean: DataFrame, path: str) -> None:
-    """SC3: cleaned incidents, one folder per start date."""
-    (clean.withColumn("start_date", F.to_date("start_datetime_ist"))
+    """SC3: cleaned incidents, one folder per start date; the rows of a date are rebalanced first, so a date has few files."""
+    (clean.withColumn("start_date", F.to_date("start_datetime_ist")).hint("rebalance", "start_date")
      .write.mode("overwrite").partitionBy("start_date").parquet(path))
 
 
@@ -32,25 +39,25 @@ def write_dropped(dropped: DataFrame, path: str) -> None:
 
 
 def write_baseline_version(spark: SparkSession, table: DataFrame, root: str, version: str) -> str:
-    """SC5: write ``root/v=<version>`` then point ``root/CURRENT`` at it."""
+    """SC5: write ``root/v=<version>``. A version counts once its success mark is there, so nothing is ever overwritten in use."""
     path = os.path.join(root, f"v={version}")
     table.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(path,)], "path string").write.mode("overwrite").text(os.path.join(root, "CURRENT"))
     return path
 
 
 def read_current_baseline(spark: SparkSession, root: str) -> DataFrame:
-    """Resolve the version pointer (one short line) and read that version."""
-    path = spark.read.text(os.path.join(root, "CURRENT")).first()[0]
-    return spark.read.parquet(path)
+    """The last version by name that was written to its end."""
+    done = [v for v in children(spark, root) if v.startswith("v=") and "_SUCCESS" in children(spark, os.path.join(root, v))]
+    return spark.read.parquet(os.path.join(root, done[-1]))
 
 
 def append_feedback(spark: SparkSession, new: DataFrame, log_path: str, batch_id: str) -> DataFrame:
-    """SC8: append outcomes not yet logged (FB3); returns the accepted rows."""
-    try:
-        existing = spark.read.parquet(log_path).drop("batch")
-    except Exception:  # noqa: BLE001 - first append, no log yet
-        existing = None
+    """SC8: append outcomes not yet logged (FB3); returns the accepted rows.
+
+    A batch that is appended again is compared with the other batches only, and replaces its own folder.
+    """
+    others = [name for name in children(spark, log_path) if name.startswith("batch=") and name != f"batch={batch_id}"]
+    existing = spark.read.parquet(*[os.path.join(log_path, name) for name in others]) if others else None
     accepted = FB.accept(new, existing).select(*new.columns)
     part = os.path.join(log_path, f"batch={batch_id}")
     accepted.write.mode("overwrite").parquet(part)
@@ -66,4 +73,5 @@ def metrics_long(run: str, model: str, wide: DataFrame, label: str = "all") -> D
 
 
 def write_metrics(report: DataFrame, path: str) -> None:
-    report.write.mode("append").partitionBy("run").parquet(path)
+    """SC10: a run that is written again replaces its own folder."""
+    report.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run").parquet(path)

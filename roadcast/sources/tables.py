@@ -15,25 +15,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it.
-
-    ``spread=False`` keeps the scan's own partitioning (request-side inputs
-    that must reach their broadcast joins without any exchange).
-    """
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread_small_scan(df) if spread else df
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores.
-
-    A parquet file is split by row group, so a small table stored as one
-    row group is read by one task and every narrow step after it (cleaning,
-    grain expansion, partial aggregation) would run single-threaded. A large
-    multi-file table already has many splits and is returned unchanged.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan; Catalyst prunes columns and pushes filters into it, and its splits are left to Spark."""
+    return spark.read.parquet(table_path(sf_dir, name))

@@ -28,8 +28,9 @@ from roadcast.operators import baseline as BL
 from roadcast.operators import deploy as DP
 from roadcast.operators import feedback as FB
 from roadcast.operators import forecast as FC
-from roadcast.operators.match import Baselines, baselines_from_grains, prepare_baselines
+from roadcast.operators.match import Baselines, prepare_baselines
 from roadcast.session import ensure_checkpoint_dir
+from roadcast.sources.sinks import append_feedback, children
 
 REPLAY_COUNT = 15
 FEED_SIZE = 8
@@ -90,68 +91,66 @@ def write_stream_source(df: DataFrame, path: str, day_col: str) -> None:
 
 
 def replay_stream(spark: SparkSession, incoming: DataFrame, clean: DataFrame,
-                  files_per_trigger: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Run the replay as a Structured Streaming query; returns (scored, latest-8)."""
+                  files_per_trigger: int = 8, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run the replay as a Structured Streaming query; returns (scored, latest-8).
+
+    ``folder`` holds source, sink, feed versions and the query's checkpoint; called again with it, the query goes on
+    where it stopped. All state is what is stored there.
+    """
     base = prepare_baselines(clean)
-    src, sink, feed, ckpt = (scratch(spark, p) for p in ("replay-src", "replay-sink", "replay-feed", "replay-ckpt"))
-    write_stream_source(incoming, src, "planned_start")
+    folder = folder or scratch(spark, "replay")
+    src, sink, feed, ckpt = (os.path.join(folder, p) for p in ("source", "sink", "feed", "checkpoint"))
+    if "_SUCCESS" not in children(spark, src):
+        write_stream_source(incoming, src, "planned_start")
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    versions: list[str] = []
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_incidents(batch.drop("_day"), base)
-        # one sink partition per micro-batch: a replayed batch overwrites itself
-        scored.write.mode("overwrite").parquet(os.path.join(sink, f"batch={batch_id}"))
-        prev = spark.read.parquet(versions[-1]) if versions else None
-        merged = scored if prev is None else prev.unionByName(scored)
-        out = os.path.join(feed, f"v{batch_id:06d}")
-        latest(merged).write.mode("overwrite").parquet(out)
-        versions.append(out)
+        # one sink folder and one feed version per micro-batch: a batch that runs again reads what came before
+        # it and overwrites only its own
+        part = os.path.join(sink, f"batch={batch_id}")
+        score_incidents(batch.drop("_day"), base).write.mode("overwrite").parquet(part)
+        merged = spark.read.parquet(part)
+        earlier = [v for v in children(spark, feed) if v < f"v{batch_id:06d}"]
+        if earlier:
+            merged = spark.read.parquet(os.path.join(feed, earlier[-1])).unionByName(merged)
+        latest(merged).write.mode("overwrite").parquet(os.path.join(feed, f"v{batch_id:06d}"))
 
     q = (stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     scored = spark.read.parquet(sink).drop("batch")
-    last = spark.read.parquet(versions[-1]) if versions else scored.limit(0)
+    versions = children(spark, feed)
+    last = spark.read.parquet(os.path.join(feed, versions[-1])) if versions else scored.limit(0)
     return scored, last
 
 
 # --- ST5: verified outcomes as a stream -----------------------------------------------
 
 def feedback_stream(spark: SparkSession, log: DataFrame, clean: DataFrame,
-                    files_per_trigger: int = 8) -> DataFrame:
-    """Fold a feedback stream into versioned baselines; returns the last version."""
-    src, log_dir, base_dir, ckpt = (scratch(spark, p) for p in ("fb-src", "fb-log", "fb-base", "fb-ckpt"))
-    write_stream_source(log, src, "event_datetime")
+                    files_per_trigger: int = 8, folder: str | None = None) -> DataFrame:
+    """Fold a feedback stream into versioned baselines; returns the last version. ``folder``: as in :func:`replay_stream`."""
+    folder = folder or scratch(spark, "feedback")
+    src, log_dir, base_dir, ckpt = (os.path.join(folder, p) for p in ("source", "log", "baselines", "checkpoint"))
+    if "_SUCCESS" not in children(spark, src):
+        write_stream_source(log, src, "event_datetime")
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    v0 = os.path.join(base_dir, "v_initial")
-    BL.all_grains(clean).write.parquet(v0)
-    versions = [v0]
-    written: list[str] = []
+    first = "v-initial"  # sorts before the numbered versions
+    if "_SUCCESS" not in children(spark, os.path.join(base_dir, first)):
+        BL.all_grains(clean).write.mode("overwrite").parquet(os.path.join(base_dir, first))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("_day")
-        existing = spark.read.parquet(log_dir).drop("batch") if written else None
-        # The log is a table with one partition per micro-batch: rewriting a
-        # batch after a restart replaces it instead of appending twice.
-        part = os.path.join(log_dir, f"batch={batch_id}")
-        FB.accept(batch, existing).select(*batch.columns).write.mode("overwrite").parquet(part)
-        written.append(part)
-        new_events = FB.feedback_events(spark.read.parquet(part))
-        all_events = FB.feedback_events(spark.read.parquet(log_dir).drop("batch"))
-        old = spark.read.parquet(versions[-1])
-        refreshed = FB.refresh_baseline(old, clean, all_events, touched_events=new_events)
-        out = os.path.join(base_dir, f"v{batch_id:06d}")
-        refreshed.write.mode("overwrite").parquet(out)
-        versions.append(out)
+        # a log folder and a version per micro-batch: a batch that runs again is compared with the others and
+        # replaces its own
+        added = append_feedback(spark, batch.drop("_day"), log_dir, str(batch_id))
+        before = [v for v in children(spark, base_dir) if v < f"v{batch_id:06d}"]
+        all_events = FB.feedback_events(spark.read.parquet(*[os.path.join(log_dir, p) for p in children(spark, log_dir)]))
+        old = spark.read.parquet(os.path.join(base_dir, before[-1]))
+        refreshed = FB.refresh_baseline(old, clean, all_events, touched_events=FB.feedback_events(added))
+        refreshed.write.mode("overwrite").parquet(os.path.join(base_dir, f"v{batch_id:06d}"))
 
     q = (stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(versions[-1])
-
-
-def baselines_at(spark: SparkSession, version_path: str) -> Baselines:
-    return baselines_from_grains(spark.read.parquet(version_path))
+    return spark.read.parquet(os.path.join(base_dir, children(spark, base_dir)[-1]))
