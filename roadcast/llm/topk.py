@@ -8,7 +8,7 @@ than FAN_IN * k rows of a query.
 
 Scores are exact: components are floor(64 * x) of x as a double; the product
 runs in float64 while every partial sum is below 2**53 and in Python integers
-beyond. Ties go to the smaller id.
+beyond; a score that 64 bits can't hold becomes the nearest long. Ties go to the smaller id.
 
 Cases: rows with a null id, a null vector, or null or non-finite components
 take no part; vectors of another length than the query's don't meet it; of

@@ -101,9 +101,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, block, fan):
 
 
 def test_top_k_of_few_and_huge(spark):
-    v = topk.quantised(spark.createDataFrame([(20, [1e9, 1e9], 0, "", 1), (21, [-3e7, 5.0], 0, "", 1)], "vec_id long, embedding array<double>, label int, rank string, n long"))
+    schema = "vec_id long, embedding array<double>, label int, rank string, n long"
+    v = topk.quantised(spark.createDataFrame([(20, [1e8, 1e8], 0, "", 1), (21, [-3e5, 5.0], 0, "", 1)], schema))
     got = topk.top_k(v.where("id % 20 = 0"), v, 20).collect()
-    assert [tuple(r) for r in got] == [(20, 1, 21, 64 * 10**9 * 64 * (-3 * 10**7) + 64 * 10**9 * 320)]
+    assert [tuple(r) for r in got] == [(20, 1, 21, 64 * 10**8 * 64 * (-3 * 10**5) + 64 * 10**8 * 320)]  # beyond 2**53
+    v = topk.quantised(spark.createDataFrame([(20, [1e9, 1e9], 0, "", 1), (21, [-3e7, 5.0], 0, "", 1)], schema))
+    assert [r.score for r in topk.top_k(v.where("id % 20 = 0"), v, 20).collect()] == [-2**63]  # beyond 64 bits: the nearest long
     assert topk.top_k(v.limit(0), v, 20).count() == 0
 
 
