@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadcast.operators import queue as QU
+from roadcast.operators.ranking import window_rank
 
 COLS = ["event_id", "severity_tier", "road_closure_probability", "evidence_count", "confidence_label",
         "match_level", "officers_requested", "barricades_requested"]
@@ -25,8 +26,8 @@ def queue(spark, rows):
     return spark.createDataFrame(data, schema)
 
 
-def run(spark, rows, officers, barricades, two_level=True):
-    a = QU.allocate(queue(spark, rows), officers=officers, barricades=barricades, two_level=two_level)
+def run(spark, rows, officers, barricades):
+    a = QU.allocate(queue(spark, rows), officers=officers, barricades=barricades)
     return sorted(a.collect(), key=lambda r: r["rank"])
 
 
@@ -78,7 +79,7 @@ def greedy(rows, officers, barricades):
     return out
 
 
-def test_closed_form_equals_loop(spark):
+def test_closed_form_equals_loop(spark, monkeypatch):
     rnd = random.Random(7)
     rows = [(f"e{i}", rnd.choice(["Low", "Medium", "High", "Unknown"]), rnd.choice([None, 0.1, 0.5, 0.9]),
              rnd.randint(0, 30), rnd.choice(["High confidence", "Moderate confidence"]), "fine",
@@ -87,7 +88,9 @@ def test_closed_form_equals_loop(spark):
         got = run(spark, rows, *budget)
         want = greedy(got, *budget)
         assert {r["event_id"]: (r["officers_allocated"], r["barricades_allocated"]) for r in got} == want
-        single = run(spark, rows, *budget, two_level=False)
+        with monkeypatch.context() as m:
+            m.setattr(QU, "rank_rows", window_rank)
+            single = run(spark, rows, *budget)
         assert [r["event_id"] for r in single] == [r["event_id"] for r in got]
 
 
