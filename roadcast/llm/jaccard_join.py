@@ -368,10 +368,11 @@ def _several_texts(rows: DataFrame) -> DataFrame:
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the first of their group, one row for repeated ids; rows without an id stay."""
-    keep = joined(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    keep = cut(keep.select(F.col("doc_id").alias("_id"), "_rows"), "kept")
-    rows = packed(docs)
-    found = rows.withColumn("_id", F.col("_row.doc_id").cast("long")).join(keep, "_id")
-    once = found.where("_rows = 1")
-    again = found.where("_rows > 1").dropDuplicates(["_id"])
-    return unpacked(once.select("_row").unionByName(again.select("_row")).unionByName(rows.where("_row.doc_id IS NULL")))
+    # ids that go are fewer than those that stay, so the texts meet only these and the repeated ids
+    ids = cut(joined(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("component_id").alias("component"), F.count(F.lit(1)).alias("held")), "groups")
+    gone = cut(ids.where("doc_id <> component OR held > 1").select(F.col("doc_id").alias("_id")), "gone")
+    again = cut(ids.where("doc_id = component AND held > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    rows = packed(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
+    once = rows.join(gone, "_id", "left_anti").select("_row")
+    return unpacked(once.unionByName(rows.join(again, "_id", "left_semi").dropDuplicates(["_id"]).select("_row")))
