@@ -44,8 +44,8 @@ from roadcast.llm.shared import packed, unpacked
 
 LAMBDA, LETTERS, SPAN, WINDOW, STRIDE = 0.7, 4, 7, 24, 12
 FLOOR, POWER = 0.4, 3
-LANDMARKS, CLEAN_LANDMARKS, CANDIDATES, UNLIKE = 72, 8, 400, 0.7
-DOCS_PER_CLASS, SENTENCES, ROUNDS, WORST = 3000, 4, 4, 3
+LANDMARKS, CLEAN_LANDMARKS, CANDIDATES, UNLIKE = 72, 8, 1500, 0.7
+DOCS_PER_CLASS, SENTENCES, ROUNDS, WORST = 4000, 6, 4, 3
 KEPT_WORDS = 200_000
 FOLDS = 5
 
@@ -117,17 +117,40 @@ def _rows(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
 
 
-def normalised(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features that words (of one window each) have, and their unit rows over these."""
+def _unit_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The features that words (of one window each) have, and their unit rows over these as (row, column, weight)."""
     flat, starts, _ = word_codes([w[:WINDOW] for w in words])
     row, feature, weight = features(flat, _rows(flat, starts))
     used, column = np.unique(feature, return_inverse=True)
+    norm = np.maximum(np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(words))), 1e-12)
+    return used, row, column, weight / norm[row]
+
+
+def normalised(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that words (of one window each) have, and their unit rows over these."""
+    used, row, column, weight = _unit_rows(words)
     out = np.zeros((len(words), len(used)))
     out[row, column] = weight
-    out /= np.maximum(np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(words))), 1e-12)[:, None]
     return used, out
 
 
+def unlike(words: list[str], count: int) -> list[int]:
+    """Numbers of the first ``count`` words that are each less than UNLIKE similar to those taken before; no dense matrix of all words."""
+    used, row, column, weight = _unit_rows(words)
+    usable = np.bincount(row, minlength=len(words)) > 0
+    nearest, one, taken = np.zeros(len(words)), np.zeros(len(used)), []
+    for i in range(len(words)):
+        if len(taken) == count:
+            break
+        if usable[i] and nearest[i] < UNLIKE:
+            taken.append(i)
+            own = slice(*np.searchsorted(row, [i, i + 1]))
+            one[column[own]] = weight[own]
+            nearest = np.maximum(nearest, np.bincount(row, weights=weight * one[column], minlength=len(words)))
+            one[column[own]] = 0
+    return taken
+
+
 def _sharpened(similarity: np.ndarray) -> np.ndarray:
     return np.where(similarity < FLOOR, 0.0, similarity ** POWER)
 
@@ -281,12 +304,7 @@ def _landmarks(sample: DataFrame) -> list[str]:
     words_ = [r["word"] for r in typical.collect()]
     if not words_:
         return []
-    _, unit = normalised(words_)
-    taken: list[int] = []
-    for i in range(len(words_)):
-        if unit[i].any() and len(taken) < LANDMARKS and (not taken or (unit[taken] @ unit[i]).max() < UNLIKE):
-            taken.append(i)
-    chosen = [words_[i] for i in taken]
+    chosen = [words_[i] for i in unlike(words_, LANDMARKS)]
     return chosen + [r["word"] for r in common.collect() if r["word"] not in chosen] if chosen else []
 
 

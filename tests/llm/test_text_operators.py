@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -224,6 +225,30 @@ def test_toxicity_without_labels(spark):
     assert toxicity.without_toxic(docs, None).columns == docs.columns
 
 
+def test_rare_insults_become_landmarks_beside_many_spellings(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spellings = [f"worthlessnessworthless{a}{b}" for a in letters for b in letters][:600]
+    rows = [(" ".join(spellings), 1)] * 5 + [("moron", 1)] * 3 + [("thon ere andsha", 0)] * 4
+    landmarks = toxicity._landmarks(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "moron" in landmarks and sum(w in spellings for w in landmarks) < 20
+
+
+def test_landmarks_of_many_candidates_equal_the_dense_choice_in_little_memory():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(3, 24))) for _ in range(500)]
+    words = [w + s for w in words for s in ("", "e", "x")]
+    _, unit = toxicity.normalised(words[:300])
+    dense = []
+    for i in range(300):
+        if unit[i].any() and len(dense) < 72 and (not dense or (unit[dense] @ unit[i]).max() < toxicity.UNLIKE):
+            dense.append(i)
+    assert toxicity.unlike(words[:300], 72) == dense
+    tracemalloc.start()
+    assert len(toxicity.unlike(words, 72)) == 72
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 # ---- mixing ----
 
 def brute_targets(sizes):
