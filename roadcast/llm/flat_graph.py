@@ -13,8 +13,10 @@
    medoids with a beam of BEAM, then the range expands: all visited nodes at or
    near the threshold are expanded until none is left.
 6. Visited pairs are verified by cosine in double precision. A pair is counted
-   in the first shard that both have, so once. Tasks return numbers of links per
-   query and a spanning forest of their links, never all pairs.
+   in the first shard that both have, and a pair that only a later shard's search
+   found is added to that, so each counts once. Tasks return a spanning forest of
+   all their links and, per query, the number of links and the ids of those whose
+   nodes share several shards (large shards: in portions by the ids' hash).
 7. Recall is audited: AUDIT queries, chosen by a hash, are compared with all
    nodes by brute force. While it is below RECALL, another centroid is added to
    the overlap and the search is repeated, up to MOST_OVERLAP.
@@ -229,7 +231,9 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
     nodes = cut(assigned(nodes, centres, overlap), "graph-nodes")
     each = nodes.withColumn("shard", F.explode("shards"))
     sizes = {r["shard"]: r["n"] for r in each.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_SHARDS rows a vector length
-    parts = F.create_map(*[F.lit(x) for s, n in sorted(sizes.items()) for x in (s, -(-n // PART))]) if sizes else F.create_map(F.lit(""), F.lit(1))
+    n_parts = {s: 1 << (-(-n // PART) - 1).bit_length() for s, n in sizes.items()}
+    most = max(n_parts.values(), default=1)  # powers of two: a portion of the ids is within one part of the largest shards
+    parts = F.create_map(*[F.lit(x) for s, n in sorted(n_parts.items()) for x in (s, n)]) if sizes else F.create_map(F.lit(""), F.lit(1))
     blocks = F.create_map(*[F.lit(x) for s, n in sorted(sizes.items()) for x in (s, -(-n // QUERIES))]) if sizes else F.create_map(F.lit(""), F.lit(1))
     members = each.withColumn("part", F.pmod(F.xxhash64("rep"), F.element_at(parts, F.col("shard"))).cast("int"))
 
@@ -241,14 +245,14 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
 
     lists = members.select("shard", "part", "rep", "unit").groupBy("shard", "part").applyInPandas(build, "rep long, near array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    full = members.join(cut(united, "graph-lists"), "rep")
+    full = members.join(cut(united, "graph-lists"), "rep").withColumn("portion", F.pmod(F.xxhash64("rep"), F.lit(most)).cast("int"))
     full = full.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("shard")) - 1)))
     asked = each.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.element_at(blocks, F.col("shard"))).cast("int"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("shard")) - 1)))
 
     def search(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(index):
-            return pd.DataFrame({"rep": [], "other": [], "n": []}).astype("int64")
+            return pd.DataFrame({c: pd.Series([], dtype="int64" if c not in ("own", "more") else object) for c in ("rep", "other", "n", "portion", "own", "more")})
         index, queries = index.sort_values("rep"), queries.sort_values("rep")
         ids, x = index["rep"].to_numpy(), _matrix(index["unit"].tolist())
         asked_ids = queries["rep"].to_numpy()
@@ -260,22 +264,41 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
         q, v, _ = range_search(x, lists, _matrix(queries["unit"].tolist()), threshold, len(ids))
         keep = asked_ids[q] != ids[v]
         q, v = q[keep], v[keep]
-        # a pair counts in the first shard that both are in
+        # a pair counts in the first shard that both are in; what other shards find is compared with that
         theirs, mine = index["shards"].tolist(), queries["shards"].tolist()
-        first = np.array([min(set(mine[a]).intersection(theirs[b])) == key[0] for a, b in zip(q, v)], dtype=bool)
-        q, v = q[first], v[first]
-        copies = index["copies"].to_numpy()
-        n = np.bincount(q, weights=copies[v], minlength=len(asked_ids)).astype(np.int64)
-        some = np.flatnonzero(n)
+        shared = [set(mine[a]).intersection(theirs[b]) for a, b in zip(q, v)]
+        first = np.array([min(k) == key[0] for k in shared], dtype=bool)
+        several = np.array([len(k) > 1 for k in shared], dtype=bool)
+        some, at = np.unique(q * most + index["portion"].to_numpy()[v], return_inverse=True)
+        n = np.bincount(at, weights=index["copies"].to_numpy()[v] * first, minlength=len(some)).astype(np.int64)
+
+        def others(which: np.ndarray) -> list[np.ndarray]:
+            held = ids[v[which]][np.argsort(at[which], kind="stable")]
+            return np.split(held, np.cumsum(np.bincount(at[which], minlength=len(some)))[:-1]) if len(some) else []
+
         node, root = roots(asked_ids[q], ids[v]) if len(q) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         tree = node != root
-        return pd.DataFrame({"rep": np.r_[asked_ids[some], node[tree]], "other": np.r_[asked_ids[some], root[tree]],
-                             "n": np.r_[n[some], np.zeros(int(tree.sum()), dtype=np.int64)]})
+        asking, none, zero = asked_ids[some // most], [[]] * int(tree.sum()), np.zeros(int(tree.sum()), dtype=np.int64)
+        return pd.DataFrame({"rep": np.r_[asking, node[tree]], "other": np.r_[asking, root[tree]], "n": np.r_[n, zero],
+                             "portion": np.r_[some % most, zero], "own": pd.Series(others(first & several) + none, dtype=object),
+                             "more": pd.Series(others(~first) + none, dtype=object)})
 
     keys = ("shard", "part", "block")
     left = asked.select(*(F.col(c).alias(c) for c in (*keys, "rep", "unit", "shards"))).groupBy(*keys)  # columns of their own
-    right = full.select(*keys, "rep", "unit", "shards", "copies", "near").groupBy(*keys)
-    return cut(left.cogroup(right).applyInPandas(lambda key, a, b: search(key, a, b), "rep long, other long, n long"), "graph-links")
+    right = full.select(*keys, "rep", "unit", "shards", "copies", "near", "portion").groupBy(*keys)
+    found = cut(left.cogroup(right).applyInPandas(lambda key, a, b: search(key, a, b), "rep long, other long, n long, portion long, own array<long>, more array<long>"), "graph-found")
+    return cut(_counted(found, nodes), "graph-links")
+
+
+def _counted(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rep, other, n) of what the shards' searches found, each pair counted once whichever shards found it."""
+    asking = found.where("rep = other").groupBy("rep", "portion").agg(
+        F.sum("n").alias("n"), F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("more")).alias("more"))
+    asking = cut(asking.select("rep", "n", F.array_except("more", "own").alias("missed")), "graph-counts")
+    missed = asking.select("rep", F.explode("missed").alias("other")).join(nodes.select(F.col("rep").alias("other"), "copies"), "other")
+    return found.where("rep <> other").select("rep", "other", "n").unionByName(
+        asking.select("rep", F.col("rep").alias("other"), "n")).unionByName(
+        missed.select("rep", F.col("rep").alias("other"), F.col("copies").alias("n")))
 
 
 def audited_recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float:

@@ -73,6 +73,31 @@ def test_robust_graph_search_recall_and_parts(spark, monkeypatch):
     assert got >= 0.98 * (len(truth) - 700)
 
 
+def test_a_later_shard_repairs_what_the_first_one_misses(spark, monkeypatch):
+    angle = np.r_[np.linspace(0, 0.2, 30), np.linspace(2.0, 2.2, 20)]
+    x = np.c_[np.cos(angle), np.sin(angle)]
+    rows = [(i, 1 + i % 3, 2, v.astype("<f8").tobytes()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "rep long, copies long, d int, unit binary")
+    centres = {2: np.array([[np.cos(a), np.sin(a)] for a in (0.1, 1.05, 2.1)])}  # shards of 30, 50 and 20 nodes
+    whole, miss = G.range_search, [30]
+
+    def search(x, *args):
+        q, v, s = whole(x, *args)
+        keep = np.full(len(q), len(x) not in miss) | (q % 2 == 0)
+        return q[keep], v[keep], s[keep]
+
+    monkeypatch.setattr(G, "range_search", search)
+    links = G._links(nodes, 0.99, 2, centres).collect()
+    near = (x @ x.T >= 0.99) & ~np.eye(50, dtype=bool)
+    want = {i: sum(rows[j][1] for j in np.flatnonzero(near[i])) for i in range(50)}
+    got = dict.fromkeys(range(50), 0)
+    for r in links:
+        if r.rep == r.other:
+            got[r.rep] += r.n
+    assert got == want
+    assert {r.rep for r in links if r.rep != r.other} | {r.other for r in links if r.rep != r.other} == set(range(50))
+
+
 def test_no_vectors(spark):
     assert G.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     one = G.near_duplicates(spark.createDataFrame([(1, None, 0, "r", 1)], VECTORS)).collect()
