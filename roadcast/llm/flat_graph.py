@@ -17,9 +17,13 @@
    found is added to that, so each counts once. Tasks return a spanning forest of
    all their links and, per query, the number of links and the ids of those whose
    nodes share several shards (large shards: in portions by the ids' hash).
-7. Recall is audited: AUDIT queries, chosen by a hash, are compared with all
-   nodes by brute force. While it is below RECALL, another centroid is added to
-   the overlap and the search is repeated, up to MOST_OVERLAP.
+7. Recall is audited by distinct links, whatever their copies: AUDIT nodes,
+   chosen by a hash, are compared with all nodes by brute force, and four times
+   as many until AUDIT_LINKS links are seen, all nodes were asked or MOST_AUDIT
+   were. If links are rarer than that, as many nodes that the search found linked
+   are asked too. While recall is below RECALL, another centroid is added to the
+   overlap, up to MOST_OVERLAP; then overlap and beam double, until every node is
+   in all shards and every search visits its whole part, which is exact.
 
 Cases: null, zero, and vectors with null or non-finite components, and rows
 with a null id, link with nothing; vectors of different length don't link;
@@ -44,7 +48,7 @@ OVERLAP, MOST_OVERLAP, SHARD, PART, QUERIES = 2, 5, 1500, 2048, 2048
 SAMPLE, MOST_SHARDS, ITERATIONS = 8192, 1024, 8
 CLOSE, RANDOM, DEGREE, ALPHA = 32, 8, 16, 1.2
 BEAM, EXPAND, SLACK, MEDOIDS = 24, 4, 0.05, 3
-AUDIT, RECALL = 64, 0.98
+AUDIT, MOST_AUDIT, AUDIT_LINKS, RECALL = 64, 4096, 400, 0.98
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -174,7 +178,7 @@ def _entries(x: np.ndarray, table: np.ndarray, rng: np.random.Generator) -> np.n
         reached[front] = True
 
 
-def range_search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, threshold: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def range_search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarray, threshold: float, seed: int = 0, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine) of visited rows at or above the threshold."""
     n = len(x)
     width = max(1, max((len(a) for a in neighbours), default=1))
@@ -200,10 +204,10 @@ def range_search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarra
 
         visit(np.repeat(np.arange(m), len(entries)), np.tile(entries, m))
         live = np.arange(m)
-        beam = min(BEAM, n)
+        width_of_beam = min(beam, n)
         while len(live):
             own = sims[live]
-            worst = -np.partition(-own, beam - 1, axis=1)[:, beam - 1]
+            worst = -np.partition(-own, width_of_beam - 1, axis=1)[:, width_of_beam - 1]
             ready = np.where(opened[live] | (own < np.maximum(worst, -1.5)[:, None]), -3.0, own)
             take = min(EXPAND, n)
             best = np.argpartition(-ready, take - 1, axis=1)[:, :take]
@@ -226,8 +230,8 @@ def range_search(x: np.ndarray, neighbours: list[np.ndarray], queries: np.ndarra
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int, np.ndarray]) -> DataFrame:
-    """(rep, other, n): rows with other = rep hold a number of links, the others a spanning forest of links."""
+def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int, np.ndarray], beam: int = BEAM) -> DataFrame:
+    """(rep, other, n, pairs): rows with other = rep hold numbers of links, with copies and without, the others a spanning forest of links."""
     nodes = cut(assigned(nodes, centres, overlap), "graph-nodes")
     each = nodes.withColumn("shard", F.explode("shards"))
     sizes = {r["shard"]: r["n"] for r in each.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_SHARDS rows a vector length
@@ -252,7 +256,7 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
 
     def search(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(index):
-            return pd.DataFrame({c: pd.Series([], dtype="int64" if c not in ("own", "more") else object) for c in ("rep", "other", "n", "portion", "own", "more")})
+            return pd.DataFrame({c: pd.Series([], dtype="int64" if c not in ("own", "more") else object) for c in ("rep", "other", "n", "pairs", "portion", "own", "more")})
         index, queries = index.sort_values("rep"), queries.sort_values("rep")
         ids, x = index["rep"].to_numpy(), _matrix(index["unit"].tolist())
         asked_ids = queries["rep"].to_numpy()
@@ -261,7 +265,7 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
             at = np.searchsorted(ids, near)
             at = at[at < len(ids)]
             lists.append(at[np.isin(ids[at], near)])
-        q, v, _ = range_search(x, lists, _matrix(queries["unit"].tolist()), threshold, len(ids))
+        q, v, _ = range_search(x, lists, _matrix(queries["unit"].tolist()), threshold, len(ids), beam)
         keep = asked_ids[q] != ids[v]
         q, v = q[keep], v[keep]
         # a pair counts in the first shard that both are in; what other shards find is compared with that
@@ -270,6 +274,7 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
         first = np.array([min(k) == key[0] for k in shared], dtype=bool)
         several = np.array([len(k) > 1 for k in shared], dtype=bool)
         some, at = np.unique(q * most + index["portion"].to_numpy()[v], return_inverse=True)
+        pairs = np.bincount(at, weights=first, minlength=len(some)).astype(np.int64)
         n = np.bincount(at, weights=index["copies"].to_numpy()[v] * first, minlength=len(some)).astype(np.int64)
 
         def others(which: np.ndarray) -> list[np.ndarray]:
@@ -279,52 +284,70 @@ def _links(nodes: DataFrame, threshold: float, overlap: int, centres: dict[int,
         node, root = roots(asked_ids[q], ids[v]) if len(q) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         tree = node != root
         asking, none, zero = asked_ids[some // most], [[]] * int(tree.sum()), np.zeros(int(tree.sum()), dtype=np.int64)
-        return pd.DataFrame({"rep": np.r_[asking, node[tree]], "other": np.r_[asking, root[tree]], "n": np.r_[n, zero],
+        return pd.DataFrame({"rep": np.r_[asking, node[tree]], "other": np.r_[asking, root[tree]], "n": np.r_[n, zero], "pairs": np.r_[pairs, zero],
                              "portion": np.r_[some % most, zero], "own": pd.Series(others(first & several) + none, dtype=object),
                              "more": pd.Series(others(~first) + none, dtype=object)})
 
     keys = ("shard", "part", "block")
     left = asked.select(*(F.col(c).alias(c) for c in (*keys, "rep", "unit", "shards"))).groupBy(*keys)  # columns of their own
     right = full.select(*keys, "rep", "unit", "shards", "copies", "near", "portion").groupBy(*keys)
-    found = cut(left.cogroup(right).applyInPandas(lambda key, a, b: search(key, a, b), "rep long, other long, n long, portion long, own array<long>, more array<long>"), "graph-found")
+    found = cut(left.cogroup(right).applyInPandas(lambda key, a, b: search(key, a, b), "rep long, other long, n long, pairs long, portion long, own array<long>, more array<long>"), "graph-found")
     return cut(_counted(found, nodes), "graph-links")
 
 
 def _counted(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, other, n) of what the shards' searches found, each pair counted once whichever shards found it."""
+    """(rep, other, n, pairs) of what the shards' searches found, each pair counted once whichever shards found it."""
     asking = found.where("rep = other").groupBy("rep", "portion").agg(
-        F.sum("n").alias("n"), F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("more")).alias("more"))
-    asking = cut(asking.select("rep", "n", F.array_except("more", "own").alias("missed")), "graph-counts")
+        F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("more")).alias("more"))
+    asking = cut(asking.select("rep", "n", "pairs", F.array_except("more", "own").alias("missed")), "graph-counts")
     missed = asking.select("rep", F.explode("missed").alias("other")).join(nodes.select(F.col("rep").alias("other"), "copies"), "other")
-    return found.where("rep <> other").select("rep", "other", "n").unionByName(
-        asking.select("rep", F.col("rep").alias("other"), "n")).unionByName(
-        missed.select("rep", F.col("rep").alias("other"), F.col("copies").alias("n")))
+    return found.where("rep <> other").select("rep", "other", "n", "pairs").unionByName(
+        asking.select("rep", F.col("rep").alias("other"), "n", "pairs")).unionByName(
+        missed.select("rep", F.col("rep").alias("other"), F.col("copies").alias("n"), F.lit(1).cast("long").alias("pairs")))
 
 
-def audited_recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT nodes, found by brute force over all nodes, that ``links`` counts."""
-    asked = nodes.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(AUDIT).select("rep", "d", "unit").collect()
-    if not asked:
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["rep"], r["d"], bytes(r["unit"])) for r in asked])
+def _true_links(nodes: DataFrame, asked: list, threshold: float) -> dict[int, int]:
+    """Numbers of other nodes that link with each node of ``asked`` that has any, by brute force over all nodes."""
+    dims = {d: [r for r in asked if r["d"] == d] for d in {r["d"] for r in asked}}
+    shared = nodes.sparkSession.sparkContext.broadcast({d: (np.array([r["rep"] for r in rs]), _matrix([bytes(r["unit"]) for r in rs])) for d, rs in dims.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        total = {d: np.zeros(len(reps), dtype=np.int64) for d, (reps, _) in shared.value.items()}
         for b in batches:
-            ids, copies, dims = (b.column(c).to_numpy() for c in ("rep", "copies", "d"))
-            for d in {q[1] for q in shared.value}:
-                at = np.flatnonzero(dims == d)
-                if len(at):
+            ids, dims = (b.column(c).to_numpy() for c in ("rep", "d"))
+            for d, (reps, q) in shared.value.items():
+                every = np.flatnonzero(dims == d)
+                for lo in range(0, len(every), 1024):
+                    at = every[lo:lo + 1024]
                     x = _matrix([b.column("unit")[int(i)].as_py() for i in at])
-                    for rep, _, unit in (q for q in shared.value if q[1] == d):
-                        hit = (x @ np.frombuffer(unit, dtype="<f8") >= threshold) & (ids[at] != rep)
-                        total[rep] = total.get(rep, 0) + int(copies[at][hit].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["rep", "n"])
+                    total[d] += ((x @ q.T >= threshold) & (ids[at][:, None] != reps)).sum(axis=0)
+        some = [(int(rep), int(n)) for d, (reps, _) in shared.value.items() for rep, n in zip(reps, total[d]) if n]
+        yield pa.RecordBatch.from_arrays([pa.array([rep for rep, _ in some], pa.int64()), pa.array([n for _, n in some], pa.int64())], ["rep", "n"])
+
+    found = nodes.select("rep", "d", "unit").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    return {r["rep"]: r["n"] for r in found.collect()}
+
 
-    true = {r["rep"]: r["n"] for r in nodes.select("rep", "copies", "d", "unit").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()}
-    got = {r["rep"]: r["n"] for r in links.where(F.col("rep").isin([r["rep"] for r in asked])).groupBy("rep").agg(F.sum("n").alias("n")).collect()}
-    wanted = sum(true.values())
-    return sum(min(got.get(k, 0), n) for k, n in true.items()) / wanted if wanted else 1.0
+def audited_recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
+    """Share of the distinct links of the asked nodes, found by brute force over all nodes, that ``links`` counts."""
+    def first(rows: DataFrame, count: int) -> list:
+        return rows.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(count).select("rep", "d", "unit").collect()
+
+    counted = links.where("rep = other").groupBy("rep").agg(F.sum("pairs").alias("pairs"))
+    count = AUDIT
+    while True:
+        asked = first(nodes, count)
+        true = _true_links(nodes, asked, threshold) if asked else {}
+        if sum(true.values()) >= AUDIT_LINKS or len(asked) < count or count >= MOST_AUDIT:
+            break
+        count *= 4
+    if sum(true.values()) < AUDIT_LINKS and len(asked) == count:  # links are rare: nodes that have some
+        more = first(nodes.join(counted.where("pairs > 0").select("rep"), "rep", "left_semi"), MOST_AUDIT)
+        true |= _true_links(nodes, more, threshold) if more else {}
+    if not true:
+        return 1.0
+    got = {r["rep"]: r["pairs"] for r in counted.where(F.col("rep").isin(list(true))).collect()}
+    return sum(min(got.get(k, 0), n) for k, n in true.items()) / sum(true.values())
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -334,13 +357,18 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("d").alias("d"), F.first("unit").alias("unit")), "graph-distinct")
     plain = nodes.select("rep", "copies", "d", "unit")
     centres = centroids(plain, plain.count())
-    overlap = OVERLAP
+    overlap, beam, shards = OVERLAP, BEAM, max(map(len, centres.values()), default=1)
     while True:
-        links = _links(plain, threshold, overlap, centres)
+        links = _links(plain, threshold, overlap, centres, beam)
         recall = audited_recall(plain, links, threshold)
-        if recall >= RECALL or overlap == MOST_OVERLAP:
+        if recall >= RECALL:
             break
-        overlap += 1
+        if overlap >= shards and beam >= 2 * PART:
+            raise RuntimeError(f"recall of {recall} although all shards were searched whole")
+        if overlap < MOST_OVERLAP:
+            overlap += 1
+        else:
+            overlap, beam = 2 * overlap, 2 * beam
     counts = links.where("rep = other").groupBy("rep").agg(F.sum("n").alias("linked"))
     group = components(links.where("rep <> other").select("rep", "other"))
     result = nodes.select("key", "rep", "copies").join(counts, "rep", "left").join(group, F.col("rep") == F.col("node"), "left")

@@ -98,6 +98,35 @@ def test_a_later_shard_repairs_what_the_first_one_misses(spark, monkeypatch):
     assert {r.rep for r in links if r.rep != r.other} | {r.other for r in links if r.rep != r.other} == set(range(50))
 
 
+def test_audit_sees_rare_links_and_counts_them_without_copies(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1:3], x[5] = x[0], x[4]
+    for i in (0, 4):
+        x[i] += 0.001
+    rows = [(i, 10**6 if i < 3 else 1, 32, v.astype("<f8").tobytes()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "rep long, copies long, d int, unit binary")
+    schema = "rep long, other long, n long, pairs long"
+    assert G.audited_recall(nodes, spark.createDataFrame([], schema), 0.95) == 0.0
+    hot = spark.createDataFrame([(i, i, 2 * 10**6, 2) for i in range(3)], schema)
+    assert G.audited_recall(nodes, hot, 0.95) == 6 / 8
+
+
+def test_search_widens_until_the_audit_passes(spark, monkeypatch):
+    whole = G.range_search
+
+    def search(x, neighbours, queries, threshold, seed=0, beam=24):
+        q, v, s = whole(x, neighbours, queries, threshold, seed, beam)
+        keep = np.full(len(q), beam > 24) | (q % 2 == 0)
+        return q[keep], v[keep], s[keep]
+
+    monkeypatch.setattr(G, "range_search", search)
+    monkeypatch.setattr(G, "MOST_OVERLAP", 2)
+    rows = vector_rows()
+    got = G.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert min(r.recall for r in got) >= G.RECALL
+
+
 def test_no_vectors(spark):
     assert G.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     one = G.near_duplicates(spark.createDataFrame([(1, None, 0, "r", 1)], VECTORS)).collect()
