@@ -6,8 +6,10 @@ element, role and class words). The trees of one host are aligned by simple
 tree matching: children are matched in order so that the most nodes agree, by
 dynamic programming, subtrees of equal shape without recursion. The aligned
 trees accumulate in a wrapper whose text slots know how many pages have them
-and whether their text is always the same. Slots with the same text on most
-pages of a host are template; varying slots are content.
+and their most common texts (TEXTS counters, Misra-Gries, with the number that
+each may be too low). Slots with the same text on most pages of a host are
+template; varying slots are content. Where the counters leave it open, a further
+pass counts the host's pages.
 
 Distribution: every task merges its own pages into one wrapper per host, so a
 host with a third of all pages is spread over all tasks; the partial wrappers
@@ -70,6 +72,7 @@ MIN_PAGES, MOST_PAGES, MOST_TEXT = 6, 0.5, 0.3
 CELLS = 60_000
 NODES = 200_000
 PARTS = 64
+TEXTS = 4
 BROADCAST_BYTES = 8 << 20
 
 
@@ -243,7 +246,7 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], bool]:
     return out, marked
 
 
-# ---- wrappers: [label, pages, children] and slots [label "", pages, hash or None] ----
+# ---- wrappers: [label, pages, children] and slots ["#", pages, hash]; of several texts: ["#", pages, commonest hash or None, [[hash, count]], lost] ----
 
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) << 16 | len(text) & 0xFFFF
@@ -388,11 +391,27 @@ def _aligned_pairs(x: list, y: list, cache: dict) -> list[tuple[int, int]]:
     return _traced(table)
 
 
+def _merged_slot(a: list, b: list) -> list:
+    """Both slots' pages and texts: counts of the TEXTS most common ones, each at most ``lost`` too low."""
+    if len(a) == len(b) == 3 and a[2] == b[2]:
+        return ["#", a[1] + b[1], a[2]]
+    counts = dict(a[3]) if len(a) > 3 else {a[2]: a[1]}
+    for text, n in b[3] if len(b) > 3 else ((b[2], b[1]),):
+        counts[text] = counts.get(text, 0) + n
+    lost = (a[4] if len(a) > 3 else 0) + (b[4] if len(b) > 3 else 0)
+    if len(counts) > TEXTS:
+        less = sorted(counts.values())[-1 - TEXTS]
+        counts = {text: n - less for text, n in counts.items() if n > less}
+        lost += less
+    most, text = max(((n, text) for text, n in counts.items()), default=(0, None))
+    return ["#", a[1] + b[1], text if most > 1 else None, sorted(map(list, counts.items())), lost]
+
+
 def merge(a: list, b: list, cache: dict | None = None) -> list:
-    """``a`` with the tree ``b`` (of the same label) aligned into it; counts add up, slots of differing texts become None."""
+    """``a`` with the tree ``b`` (of the same label) aligned into it; counts add up."""
     cache = {} if cache is None else cache
     if a[0] == "#":
-        return ["#", a[1] + b[1], a[2] if a[2] == b[2] else None]
+        return _merged_slot(a, b)
     x, y = a[2], b[2]
     if len(x) == len(y) == 1 and x[0][0] == "#" == y[0][0]:
         return [a[0], a[1] + b[1], [merge(x[0], y[0])]]
@@ -406,32 +425,38 @@ def merge(a: list, b: list, cache: dict | None = None) -> list:
 
 
 def constant_part(node: list, pages: int) -> list | None:
-    """The wrapper reduced to the slots with one text on most of a host's pages."""
+    """The wrapper reduced to slots ["#", pages, hash, sure] that have, or may have, one text on most of a host's pages."""
     if node[0] == "#":
-        return node if node[2] is not None and node[1] >= MIN_PAGES and node[1] >= MOST_PAGES * pages else None
+        if node[2] is None:
+            return None
+        count, lost = (dict(node[3])[node[2]], node[4]) if len(node) > 3 else (node[1], 0)
+        need = max(MIN_PAGES, MOST_PAGES * pages)
+        return ["#", node[1], node[2], count >= need] if count + lost >= need else None
     inner = [x for x in (constant_part(c, pages) for c in node[2]) if x]
     return [node[0], node[1], inner] if inner else None
 
 
-def template_slots(page: list, wrapper: list) -> set[int]:
-    """Numbers (in page order) of the page's slots that match a constant slot of the wrapper."""
-    number = {}
+def _slots(node: list) -> list[list]:
+    return [node] if node[0] == "#" else [slot for c in node[2] for slot in _slots(c)]
 
-    def count(node: list) -> None:
-        if node[0] == "#":
-            number[id(node)] = len(number)
-        else:
-            for c in node[2]:
-                count(c)
 
-    count(page)
-    found: set[int] = set()
+def _confirmed(node: list, held: set[int]) -> list | None:
+    """The reduced wrapper without the unsure slots (by identity) that aren't in ``held``."""
+    if node[0] == "#":
+        return node if node[3] or id(node) in held else None
+    inner = [x for x in (_confirmed(c, held) for c in node[2]) if x]
+    return [node[0], node[1], inner] if inner else None
+
+
+def _equal_slots(page: list, wrapper: list) -> list[tuple[list, list]]:
+    """Aligned slots of page and reduced wrapper that have the same text."""
+    found: list[tuple[list, list]] = []
     cache: dict = {}
 
     def walk(a: list, b: list) -> None:
         if a[0] == "#":
             if a[2] == b[2]:
-                found.add(number[id(a)])
+                found.append((a, b))
             return
         for p, q in _aligned(a[2], b[2], cache):
             walk(a[2][p], b[2][q])
@@ -440,6 +465,12 @@ def template_slots(page: list, wrapper: list) -> set[int]:
     return found
 
 
+def template_slots(page: list, wrapper: list) -> set[int]:
+    """Numbers (in page order) of the page's slots that match a constant slot of the wrapper."""
+    number = {id(slot): k for k, slot in enumerate(_slots(page))}
+    return {number[id(a)] for a, _ in _equal_slots(page, wrapper)}
+
+
 def main_text(page: str, wrapper: list | None = None) -> str:
     """Content blocks of a page, one a line."""
     found, marked = blocks(page)
@@ -497,11 +528,43 @@ def induced(pages: DataFrame) -> DataFrame:
     def reduced(frame: pd.DataFrame) -> pd.DataFrame:
         row = joined(frame)
         left = constant_part(json.loads(row["wrapper"].iloc[0]), int(row["pages"].iloc[0])) if row["pages"].iloc[0] >= MIN_PAGES else None
-        return row.assign(wrapper=json.dumps(left))[["host", "pages", "wrapper"]][[left is not None]]
+        sure = left is None or all(slot[3] for slot in _slots(left))
+        return row.assign(wrapper=json.dumps(left), sure=sure)[["host", "pages", "wrapper", "sure"]][[left is not None]]
 
-    parts = pages.select(_host().alias("host"), "html").where("host <> ''").mapInArrow(partial, schema)
+    def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
+        counts: dict[tuple[str, int], int] = {}
+        for b in batches:
+            for host, page, wrapper in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                if host not in known:
+                    tree = json.loads(wrapper)
+                    known[host] = tree, {id(slot): k for k, slot in enumerate(_slots(tree))}
+                tree, number = known[host]
+                for _, slot in _equal_slots(as_wrapper(blocks(page.as_py() or "")[0]), tree):
+                    counts[host, number[id(slot)]] = counts.get((host, number[id(slot)]), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int64()),
+                                          pa.array(list(counts.values()), pa.int64())], ["host", "slot", "n"])
+
+    def settled(wrapper: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(wrapper):
+            return wrapper[["host", "pages", "wrapper"]]
+        tree, n = json.loads(wrapper["wrapper"].iloc[0]), int(wrapper["pages"].iloc[0])
+        slots = _slots(tree)
+        held = {id(slots[k]) for k, m in zip(counts["slot"], counts["n"]) if m >= max(MIN_PAGES, MOST_PAGES * n)}
+        left = _confirmed(tree, held)
+        return wrapper.assign(wrapper=json.dumps(left))[["host", "pages", "wrapper"]][[left is not None]]
+
+    read = pages.select(_host().alias("host"), "html").where("host <> ''")
+    parts = read.mapInArrow(partial, schema)
     parts = parts.groupBy("host", "part").applyInPandas(joined, schema)
-    return parts.groupBy("host").applyInPandas(reduced, "host string, pages long, wrapper string")
+    found = cut(parts.groupBy("host").applyInPandas(reduced, "host string, pages long, wrapper string, sure boolean"), "wrappers-found")
+    unsure = found.where("NOT sure").select("host", "pages", "wrapper")
+    if unsure.isEmpty():
+        return found.select("host", "pages", "wrapper")
+    counts = read.join(unsure.select("host", "wrapper"), "host").mapInArrow(equal, "host string, slot long, n long")
+    counts = counts.groupBy("host", "slot").agg(F.sum("n").alias("n"))
+    unsure = unsure.groupBy("host").cogroup(counts.groupBy("host")).applyInPandas(settled, "host string, pages long, wrapper string")
+    return found.where("sure").select("host", "pages", "wrapper").unionByName(unsure)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
