@@ -4,7 +4,8 @@ Each page becomes a tree without what is never article text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments: by
 element, role and class words). The trees of one host are aligned by simple
 tree matching: children are matched in order so that the most nodes agree, by
-dynamic programming, subtrees of equal shape without recursion. The aligned
+dynamic programming at every size (above CELLS by halves, in linear memory),
+subtrees of equal shape without recursion. The aligned
 trees accumulate in a wrapper whose text slots know how many pages have them
 and their most common texts (TEXTS counters, Misra-Gries, with the number that
 each may be too low). Slots with the same text on most pages of a host are
@@ -38,6 +39,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -287,7 +289,7 @@ def _score(a: list, b: list, cache: dict) -> float:
         if len(x) == len(y) == 1 and x[0][0] == "#" == y[0][0]:
             cache[key] = 1 + _score(x[0], y[0], cache)
         elif len(x) * len(y) > CELLS:
-            cache[key] = 1 + sum(_score(p, q, cache) for p, q in zip(x, y))
+            cache[key] = 1 + float(_last_row(range(len(x)), range(len(y)), _child_weights(x, y, cache))[-1])
         else:
             row = [0.0] * (len(y) + 1)
             for p in x:
@@ -330,7 +332,10 @@ def _aligned_labels(x: tuple[str, ...], y: tuple[str, ...]) -> list[tuple[int, i
 def _plain_pairs(x: tuple[str, ...], y: tuple[str, ...], xs, ys) -> list[tuple[int, int]]:
     """Alignment of plain blocks with labels x and y and texts xs and ys: two nodes agree, or two and a half of equal text."""
     if len(x) * len(y) > CELLS:
-        return [(i, i) for i in range(min(len(x), len(y))) if x[i] == y[i]]
+        xt, yt = (np.array([-1 - k if t is None else t for t in (ts or [None] * n)], dtype=np.int64) for k, ts, n in ((0, xs, len(x)), (1, ys, len(y))))
+        labels = {label: k for k, label in enumerate({*x, *y})}
+        xl, yl = (np.array([labels[label] for label in z]) for z in (x, y))
+        return _halved(len(x), len(y), lambda i, js: np.where(yl[js] == xl[i], np.where(yt[js] == xt[i], 2.5, 2.0), 0.0))
     table = [[0.0] * (len(y) + 1)]
     for i, p in enumerate(x):
         last, row, text = table[-1], [0.0], xs[i] if xs else None
@@ -360,6 +365,39 @@ def _traced(table: list[list[float]]) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def _child_weights(x: list, y: list, cache: dict):
+    return lambda i, js: np.array([_score(x[i], y[j], cache) for j in js])
+
+
+def _last_row(rows, columns, weights) -> np.ndarray:
+    """Best scores of aligning all ``rows`` with each lead of ``columns``; weights(i, js): scores of the pairs, 0 for none."""
+    best, js = np.zeros(len(columns) + 1), np.array(columns, dtype=np.int64)
+    for i in rows:
+        best[1:] = np.maximum(best[1:], best[:-1] + weights(i, js))
+        np.maximum.accumulate(best, out=best)
+    return best
+
+
+def _halved(n: int, m: int, weights) -> list[tuple[int, int]]:
+    """Pairs of an alignment of the highest score of n with m children, in memory linear in them (Hirschberg)."""
+    pairs, todo = [], [(0, n, 0, m)]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        if i1 - i0 == 1:
+            own = weights(i0, np.arange(j0, j1))
+            if own.max() > 0:
+                pairs.append((i0, j0 + int(own.argmax())))
+            continue
+        half = (i0 + i1) // 2
+        lead = _last_row(range(i0, half), range(j0, j1), weights)
+        tail = _last_row(range(i1 - 1, half - 1, -1), range(j1 - 1, j0 - 1, -1), weights)[::-1]
+        cut_at = j0 + int((lead + tail).argmax())
+        todo += [(half, i1, cut_at, j1), (i0, half, j0, cut_at)]
+    return pairs
+
+
 def _aligned(x: list, y: list, cache: dict) -> list[tuple[int, int]]:
     """Pairs of children in an alignment of the highest score."""
     if len(x) == len(y) == 1:
@@ -376,7 +414,7 @@ def _aligned(x: list, y: list, cache: dict) -> list[tuple[int, int]]:
 
 def _aligned_pairs(x: list, y: list, cache: dict) -> list[tuple[int, int]]:
     if len(x) * len(y) > CELLS:
-        return [(i, i) for i in range(min(len(x), len(y))) if x[i][0] == y[i][0]]
+        return _halved(len(x), len(y), _child_weights(x, y, cache))
     table = [[0.0] * (len(y) + 1)]
     for p in x:
         last, row = table[-1], [0.0]

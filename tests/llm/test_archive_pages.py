@@ -1,6 +1,7 @@
 """Legacy archives (op1) and main text (op2)."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -102,6 +103,34 @@ def test_one_deviating_page_leaves_the_template_as_it_is(spark):
     assert all("Half of all" not in got[100 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_long_pages_align_as_short_ones_do(mixed):
+    long = [(("div", "p"), f"item {k}", 0) for k in range(700)]
+    if mixed:
+        long[5] = (("div", "ul", "li"), "in a list", 0)
+    a = W.as_wrapper([*long, (("div", "p"), "All about us", 0), (("div", "h2"), "Contact", 0)])
+    b = W.as_wrapper([*long[:3], (("div", "p"), "inserted", 0), *long[3:], (("div", "p"), "All about us", 0), (("div", "h2"), "Contact", 0)])
+    merged = W.merge(a, b)[2][0][2]
+    assert len(merged) == 703 and [n[1] for n in merged].count(1) == 1
+    assert merged[3][1] == 1 and all(len(n) == 3 for n in W._slots(["", 1, merged]))  # no slot met two texts
+
+
+def test_alignment_by_halves_has_the_score_of_the_table(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(40):
+        x, y = (tuple(rng.choice(["p", "h2", "li"]) for _ in range(rng.randint(2, 14))) for _ in range(2))
+        xs, ys = ([rng.randrange(4) for _ in z] for z in (x, y))
+
+        def score(pairs):
+            assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+            return sum(2.5 if xs[i] == ys[j] else 2 for i, j in pairs if x[i] == y[j])
+
+        whole = score(W._plain_pairs(x, y, xs, ys))
+        monkeypatch.setattr(W, "CELLS", 0)
+        assert score(W._plain_pairs(x, y, xs, ys)) == whole
+        monkeypatch.undo()
+
+
 def test_wrapper_join_without_broadcast_is_the_same(spark, monkeypatch):
     rows = [(i, "https://h/", f"<div><p>fixed</p><p>{'v ' * 20}{i}</p></div>", "t", 1) for i in range(9)]
     df = spark.createDataFrame(rows, PAGES)
