@@ -2,7 +2,8 @@
 
 Each page becomes a tree without what is never article text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments: by
-element, role and class words). The trees of one host are aligned by simple
+element, role and class words; class words don't drop an element that holds the
+marked article or most of the page's text). The trees of one host are aligned by simple
 tree matching: children are matched in order so that the most nodes agree, by
 dynamic programming at every size (above CELLS by halves, in linear memory),
 subtrees of equal shape without recursion. The aligned
@@ -69,6 +70,11 @@ ARTICLE = frozenset(("article", "main"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: A name that starts so tells what a page or an article has or lacks; it isn't the name of the thing.
+_TELLS = re.compile(r"(?i)(?:no|has|have|with|without|hide|show|is|not)[-_]|(?:no|has|with|without|hide|show|is)(?=[A-Z])")
+_MARKED = re.compile(r"""(?i)<(?:article|main)[\s>]|\srole\s*=\s*["']?(?:main|article)\b|\sitemprop\s*=\s*["']?articlebody\b""")
+_NO_TEXT = re.compile(r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+")
 
 MIN_PAGES, MOST_PAGES, MOST_TEXT = 6, 0.5, 0.3
 CELLS = 60_000
@@ -87,26 +93,45 @@ class Element:
         self.tag, self.children, self.dropped, self.article = tag, [], dropped, article
 
 
-def _judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is never article text, and whether it is marked as the article."""
+def _judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is never article text, whether it is marked as the article, and whether its class or id names something else."""
     if tag in DROPPED or (tag == "header" and not inside_article):
-        return True, False
-    article = tag in ARTICLE
+        return True, False, False
+    article, by_name = tag in ARTICLE, False
     if attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value, name = next((v for v in values if v), ""), name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True, False
+                return True, False, False
             if name == "role":
                 if value.lower() in DROPPED_ROLES:
-                    return True, False
+                    return True, False, False
                 article |= value.lower() in ARTICLE
             elif name == "itemprop":
                 article |= value.lower() == "articlebody"
             elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                if any(w.lower() in DROPPED_WORDS for w in _NAME_WORD.findall(value)):
-                    return True, False
-    return False, article
+                by_name |= any(w.lower() in DROPPED_WORDS for token in value.split() if not _TELLS.match(token) for w in _NAME_WORD.findall(token))
+    return False, article, by_name
+
+
+def _holds_the_text(page: str, start: int, end: int, size: int, inside_article: bool) -> bool:
+    """Whether page[start:end] has the only marked article of the page or most of its text, which has ``size`` characters."""
+    if _MARKED.search(page, 0, start) or _MARKED.search(page, end):
+        if not inside_article:  # what is outside the article is left out anyway
+            return False
+    elif _MARKED.search(page, start, end):
+        return True
+    return 2 * len(_NO_TEXT.sub("", page[start:end])) > size
+
+
+def _end_of(page: str, tag: str, at: int) -> int | None:
+    """Where the element of ``tag`` that was opened before ``at`` closes; the end of the page if nothing closes it, None where a later tag may."""
+    level = 1
+    for found in _tag_pattern(tag).finditer(page, at):
+        level += -1 if found[1] else 1
+        if not level:
+            return found.end()
+    return None if tag == "p" or tag in CLOSED_BY else len(page)
 
 
 @lru_cache(256)
@@ -119,6 +144,7 @@ def parse(page: str) -> Element:
     root = Element("html")
     stack, at, n = [root], 0, len(page)
     hidden = depth = 0
+    size = None
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -134,7 +160,9 @@ def parse(page: str) -> Element:
                     stack[-1].children.append("<")
                 at = lt + 1
                 continue
-            break  # a tag cut off at the end
+            m = _OPEN_TAG.match(page, lt)  # quotes that don't pair: the tag ends at the next sign
+            if not m:
+                break  # a tag cut off at the end
         at = m.end()
         if not m[2]:
             continue
@@ -160,7 +188,12 @@ def parse(page: str) -> Element:
                 break
             if open_tag in SCOPE:
                 break
-        dropped, article = _judged(tag, m[3], depth > 0)
+        dropped, article, by_name = _judged(tag, m[3], depth > 0)
+        if by_name and not hidden and not article and tag not in VOID:
+            if size is None:
+                size = len(_NO_TEXT.sub("", page))
+            end = _end_of(page, tag, at)
+            dropped = end is None or not _holds_the_text(page, at, end, size, depth > 0)
         element = Element(tag, dropped, article)
         if not hidden and not dropped:
             stack[-1].children.append(element)

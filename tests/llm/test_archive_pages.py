@@ -69,6 +69,20 @@ def test_main_text_of_odd_pages(page, text):
     assert W.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<p class="a"">one</p><p>two</p>', "one\ntwo"), ("<p>x</p><b it's>y</b><p>two</p><p>three", "x\ny\ntwo\nthree"),
+    ('<div class="content no-sidebar"><p>text</p></div>', "text"), ('<div class="post has-comments"><article><p>text</p></article></div>', "text"),
+    ('<div id="sidebar-layout"><main><p>text</p></main></div>', "text"), ('<div class="menu-page"><p>' + "long text " * 9 + '</p></div><p>end</p>', ("long text " * 9).strip() + "\nend"),
+    ('<p>' + "long text " * 9 + '</p><div class="sidebar"><p>side</p></div>', ("long text " * 9).strip())])
+def test_main_text_keeps_what_follows_bad_quotes_and_telling_names(page, text):
+    assert W.main_text(page) == text
+
+
+def test_comments_marked_as_articles_and_open_adverts_stay_out():
+    assert W.main_text("<article><p>story</p></article><div class='comments'><article>first!</article></div>") == "story"
+    assert W.main_text("<p class='ad'>buy<p>text") == "text"
+
+
 def test_simple_tree_matching_counts_agreeing_nodes():
     a = W.as_wrapper([(("div", "p"), "x", 0), (("div", "h1"), "y", 0)])
     b = W.as_wrapper([(("div", "p"), "z", 0), (("div", "p"), "x", 0), (("div", "h1"), "y", 0)])
