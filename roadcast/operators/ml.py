@@ -8,6 +8,8 @@ encode as all zeros. Forests will not equal scikit-learn's bit for bit.
 
 from __future__ import annotations
 
+import functools
+
 import math
 
 from pyspark.ml import Pipeline
@@ -218,23 +220,42 @@ def soft_vote(train: DataFrame, test: DataFrame, categorical: list[str], numeric
         "score", sum(F.col(f"p_{n}") for n in models) / F.lit(float(len(models))))
 
 
+#: EX11's axes: trees, rate, depth, row and column sampling.
+TUNING_AXES = {"maxIter": [20, 50], "stepSize": [0.05, 0.1], "maxDepth": [3, 5], "subsamplingRate": [0.8, 1.0],
+               "featureSubsetStrategy": ["0.8", "all"]}
+
+
 def cv_tuning(train: DataFrame, categorical: list[str], numeric: list[str], label: str = "y",
-              folds: int = 3) -> DataFrame:
-    """EX11: k-fold cross-validated grid over forest size and depth (area under PR)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+              folds: int = 5, axes: dict[str, list] = TUNING_AXES) -> DataFrame:
+    """EX11: k-fold cross-validated grid of boosted trees over ``axes`` (F1 of the positive class)."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    rf = RandomForestClassifier(seed=RANDOM_STATE)
-    pipe = Pipeline(stages=encoder_stages(categorical, numeric, label) + [rf])
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [50, 100]).addGrid(rf.maxDepth, [5, 8]).build()
+    gbt = GBTClassifier(seed=RANDOM_STATE)
+    pipe = Pipeline(stages=encoder_stages(categorical, numeric, label) + [gbt])
+    grid = ParamGridBuilder()
+    for name, values in axes.items():
+        grid = grid.addGrid(gbt.getParam(name), values)
+    grid = grid.build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=RANDOM_STATE, parallelism=2,
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderPR"))
+                        evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0))
     model = cv.fit(train)
-    rows = [(int(p[rf.numTrees]), int(p[rf.maxDepth]), float(m)) for p, m in zip(grid, model.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, area_under_pr double")
+    rows = [(*(p[gbt.getParam(name)] for name in TUNING_AXES), float(m)) for p, m in zip(grid, model.avgMetrics)]
+    return train.sparkSession.createDataFrame(
+        rows, "max_iter int, step_size double, max_depth int, subsampling_rate double, feature_subset string, f1 double")
+
+
+def out_of_fold_scores(train: DataFrame, categorical: list[str], numeric: list[str], label: str = "y",
+                       folds: int = 5) -> DataFrame:
+    """EX12: every training row's soft-vote score by models fitted on the other folds."""
+    tr = train.withColumn("_fold", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(RANDOM_STATE)), F.lit(folds)))
+    parts = [soft_vote(tr.where(F.col("_fold") != f), tr.where(F.col("_fold") == f), categorical, numeric, label)
+             for f in range(folds)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def stacked_regression(train: DataFrame, test: DataFrame, categorical: list[str], numeric: list[str],
-                       folds: int = 3) -> DataFrame:
+                       folds: int = 5) -> DataFrame:
     """EX8: out-of-fold predictions of boosted trees, forest and linear models, ridge on top."""
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
     bases = {

@@ -175,11 +175,20 @@ def soft_vote(spark, sf_dir):
 
 @register("cv_tuning")
 def cv_tuning(spark, sf_dir):
-    """EX11: cross-validated forest grid (rows-only)."""
+    """EX11: cross-validated grid of boosted trees (rows-only)."""
     s = _closure_folds(spark, sf_dir)
     return ML.cv_tuning(s.where(F.col("fold") == "train"), CLOSURE_CATS, ["weekend_int"])
 
 
+@register("oof_threshold")
+def oof_threshold(spark, sf_dir):
+    """EX12: F1 over thresholds 0.05..0.94 on out-of-fold soft-vote scores of the train fold (rows-only)."""
+    from roadcast.operators.sizing import materialize
+    s = _closure_folds(spark, sf_dir)
+    scored = ML.out_of_fold_scores(s.where(F.col("fold") == "train"), CLOSURE_CATS, ["weekend_int"])
+    return VA.threshold_sweep(materialize(scored), 0.05, 0.95)
+
+
 @register("stacked_regression")
 def stacked_regression(spark, sf_dir):
     """EX8: stacked duration regressors (rows-only)."""
