@@ -3,12 +3,15 @@
 Candidates are matches of the base kinds (assign, access, hex) and of further
 credential shapes. Every candidate's value is hashed, and over the whole corpus
 each hash is counted by the distinct repositories and owners that hold it:
-values that several owners hold are widely copied examples, values of one or two
-owners that don't look like placeholders are live. Base matches are always
+values that several owners or many repositories hold are widely copied examples,
+values of one or two owners and at most LIVE_REPOSITORIES repositories that don't
+look like placeholders are live. Base matches are always
 reported; a match of a further shape is reported when its value is live.
 
 Here a repository is a (source, lang) pair and an owner is a source; both are
-parameters.
+parameters. A table of one or two sources has no value of several owners, so there
+only the number of repositories tells a copied example from a live value; where
+such a table has few languages too, every value but a placeholder is live.
 
 Spark SQL has no function for match positions, so they come from the lengths of
 the pieces between the matches (split) and of the matches themselves. All of it
@@ -44,6 +47,8 @@ OPAQUE_NEEDS = ("[a-z]", "[A-Z]", "[0-9]")
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|x{4,}|0{8,}|\*{4,}"
 #: A value held by more owners than this is a copied example.
 LIVE_OWNERS = 2
+#: So is one that more repositories than this hold, whoever owns them.
+LIVE_REPOSITORIES = 4
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -102,7 +107,7 @@ def _classified(docs: DataFrame, owner: Column, repository: Column) -> tuple[Dat
     owners = cut(value_owners(rows.select("owner", "repository", F.transform("found", lambda s: s["hash"]).alias("hashes"))), "secret-owners")
     each = rows.select("doc_id", "text_key", F.explode("found").alias("s"))
     each = each.withColumn("hash", F.col("s.hash")).join(owners, "hash")
-    live = (F.col("owners") <= LIVE_OWNERS) & ~F.col("s.placeholder")
+    live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES) & ~F.col("s.placeholder")
     spans = each.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(
         "s.start", "s.ord", "s.end", "s.kind", live.alias("live")))).alias("spans"))
     return rows, cut(spans, "secret-spans")

@@ -134,6 +134,13 @@ def test_values_of_many_owners_are_copied_examples(spark):
     assert [g for g in got if g[0] == 9] == [(9, f"opaque:4:{4 + len(own)}", 1, 0)] * 2
 
 
+def test_values_of_many_repositories_of_one_owner_are_copied_examples(spark):
+    copied, own = "Zx9" + "qWe4" * 8, "Pq7" + "mNb2" * 8
+    rows = [(i, f"see {copied} here", f"l{i}", "s0", 0, 1, "x") for i in range(6)] + [(10 + i, f"see {own} here", f"l{i}", "s0", 0, 1, "x") for i in range(2)]
+    got = {r.doc_id: (r.n_live, r.n_copied) for r in secret_scan.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (0, 1) if i < 10 else (1, 0) for i in got} and len(got) == 8
+
+
 def test_redaction_replaces_reported_spans_only(spark):
     df = docs_of(spark, SECRETS + ["clean text", "an example password=example12345 here"])
     got = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
