@@ -139,6 +139,28 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE
 FROM d LEFT JOIN g USING (id)
 """
 
+ORACLES["op12_decontamination"] = """
+WITH w AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+win AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS words
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM n)),
+place AS (
+  SELECT id, n, s, array_to_string(w[s:s + n - 1], ' ') AS words
+  FROM (SELECT id, w, l.n, unnest(range(1, len(w) - l.n + 2)) AS s FROM w, (SELECT DISTINCT n FROM win) l WHERE len(w) >= l.n)),
+hit AS (SELECT p.id, p.n, p.s, win.item_id FROM place p JOIN win ON p.n = win.n AND p.words = win.words),
+c AS (SELECT id, count(DISTINCT word) AS n_hit FROM (SELECT id, unnest(range(s, s + n)) AS word FROM hit) GROUP BY id),
+h AS (SELECT id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT id, item_id::VARCHAR AS x FROM hit) GROUP BY id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (id) LEFT JOIN h USING (id)
+"""
+
 
 ORACLES["op5_license_index"] = _license_sql()
 ORACLES["op7_secret_owners"] = _secret_sql()

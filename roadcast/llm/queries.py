@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import bpe, flat_graph, jaccard_join, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity, wrapper
+from roadcast.llm import bpe, decontamination, flat_graph, jaccard_join, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity, wrapper
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -89,3 +89,11 @@ def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
