@@ -161,6 +161,33 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM w LEFT JOIN c USING (id) LEFT JOIN h USING (id)
 """
 
+ORACLES["op13_prefix_trie"] = """
+WITH tab AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY n) AS t
+  FROM (SELECT unnest(range(0, 256))::BIGINT AS n)),
+conv AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) % 6 AS h
+  FROM conv, tab),
+reb AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS p
+        FROM h LEFT JOIN conv b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, p[1:d] AS path, len(p) = d AS ends FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM reb)),
+n AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS e
+  FROM m GROUP BY path, d),
+k AS (SELECT *, (SELECT count(*) FROM n c WHERE c.d = n.d + 1 AND c.path[1:n.d] = n.path) AS kids,
+             CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(path[d].t) END AS saved FROM n),
+s AS (SELECT a.path, a.d, sum(b.saved) AS saved, count(*) FILTER (b.kids = 0) AS leaves
+      FROM k a JOIN k b ON b.d >= a.d AND b.path[1:a.d] = a.path GROUP BY a.path, a.d)
+SELECT k.conv_id, k.d::BIGINT AS depth, u.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.kids::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(k.e) AS ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.path = k.path LEFT JOIN n u ON u.d = k.d - 1 AND u.path = k.path[1:k.d - 1]
+"""
+
 
 ORACLES["op5_license_index"] = _license_sql()
 ORACLES["op7_secret_owners"] = _secret_sql()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import bpe, decontamination, flat_graph, jaccard_join, legacy_archive, license_scan, pareto_mix, secret_scan, topk, toxicity, wrapper
+from roadcast.llm import bpe, decontamination, flat_graph, jaccard_join, legacy_archive, license_scan, pareto_mix, prefix_trie, secret_scan, topk, toxicity, wrapper
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -97,3 +97,9 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
