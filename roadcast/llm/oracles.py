@@ -139,6 +139,25 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE
 FROM d LEFT JOIN g USING (id)
 """
 
+ORACLES["op11_k2_treap"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+t AS (SELECT id, doc_id, len(w) AS len, term, count(*) AS tf FROM (SELECT id, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+p AS (
+  SELECT t.id, t.doc_id, t.term, floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * f.df + 1)))::BIGINT
+         * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (100 - 50 + (50 * t.len * c.n) // c.l))) AS part
+  FROM t JOIN f USING (term), c),
+s AS (SELECT item_id, id, doc_id, sum(part)::BIGINT AS score FROM i JOIN p USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 ORACLES["op12_decontamination"] = """
 WITH w AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadcast.llm import bpe, decontamination, flat_graph, jaccard_join, legacy_archive, license_scan, pareto_mix, prefix_trie, secret_scan, topk, toxicity, wrapper
+from roadcast.llm import bpe, decontamination, flat_graph, jaccard_join, k2_treap, legacy_archive, license_scan, pareto_mix, prefix_trie, secret_scan, topk, toxicity, wrapper
 from roadcast.llm.oracles import ORACLES
 from roadcast.llm.shared import table
 
@@ -91,6 +91,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return k2_treap.search_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
