@@ -13,7 +13,7 @@ the score before a term's weight: they depend on the document and on sums over t
 4. Search: an item's terms are rows; a state is a range of documents with the cells of those rows, its bound the sum of
    weight times the cells' maxima. States with the highest bounds are split into the two halves of their range, each row
    going down into its quadrant, until nothing has a bound that reaches the item's k-th best score, which is carried on
-   from block to block of a task. Many items go down at once in flat arrays; at each step an item splits its best STATES.
+   from block to block of a task. TOGETHER items go down at once in flat arrays; at each step an item splits its best STATES.
 5. Tasks give each item's best k, which meet in two rounds of ranking, by tile and then by item.
 
 Items are asked in batches of about ITEM_BYTES of text, one search each, so what is sent to the tasks is bounded.
@@ -41,8 +41,8 @@ from roadcast.llm.shared import cut
 
 #: Terms of UTF-8 text: ASCII letters and digits and every byte of other signs.
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-BLOCK_POSTINGS, BLOCK_DOCS = 1 << 20, 1 << 13
-ITEM_BYTES, STATES, TILES = 4 << 20, 160, 64
+BLOCK_POSTINGS, BLOCK_DOCS = 1 << 19, 1 << 13
+ITEM_BYTES, TOGETHER, STATES, TILES = 4 << 20, 64, 160, 64
 BLOCK = "docs binary, lexicon binary, held binary, levels int, masks array<binary>, tops array<binary>, points array<binary>"
 _BITS = np.array([bin(m).count("1") for m in range(16)], dtype=np.int64)
 
@@ -62,10 +62,6 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return TERM.findall(text.lower()) if text else []  # lower() of bytes maps only A-Z
 
 
-def _column(b: pa.RecordBatch, name: str) -> pa.Array:
-    return b.column(b.schema.get_field_index(name))
-
-
 def measured(docs: DataFrame) -> Corpus:
     """Documents with a term, and all terms with repeats."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,22 +115,42 @@ def quadtree(rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray) -> tupl
     return levels, masks, tops, points
 
 
-def _block(ids: list, counts: list[Counter], sizes: list[int], corpus: Corpus) -> tuple:
-    by_size = sorted(range(len(ids)), key=sizes.__getitem__)
-    number: dict[bytes, int] = {}
-    rows = np.array([number.setdefault(t, len(number)) for d in by_size for t in counts[d]], dtype=np.int64)
-    tf = np.array([f for d in by_size for f in counts[d].values()], dtype=np.int64)
-    columns = np.repeat(np.arange(len(ids)), [len(counts[d]) for d in by_size])
-    norm = np.array([corpus.length_norm(sizes[d]) for d in by_size], dtype=np.int64)[columns]
-    held = np.bincount(rows, minlength=len(number))
-    order = np.argsort(-held, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    words = list(number)
-    levels, masks, tops, points = quadtree(place[rows], columns, (1_000_000_000 * tf) // (1000 * tf + 20 * norm))
-    ids = np.array([[ids[d] is not None, ids[d] or 0] for d in by_size], dtype="<i8")
-    return (ids.tobytes(), b" ".join(words[k] for k in order), held[order].astype("<i4").tobytes(), levels,
-            [m.tobytes() for m in masks], [t.astype("<u4").tobytes() for t in tops], [p.astype("<u8").tobytes() for p in points])
+class _Builder:
+    """A block in the making: terms are numbered as they come, documents kept as numbers and frequencies."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.rows: list[np.ndarray] = []
+        self.tfs: list[np.ndarray] = []
+        self.postings = 0
+
+    def add(self, doc_id: int | None, terms: list[bytes]) -> None:
+        number, counts = self.number, Counter(terms)
+        self.ids.append(doc_id)
+        self.sizes.append(len(terms))
+        self.rows.append(np.array([number.setdefault(t, len(number)) for t in counts], dtype=np.int32))
+        self.tfs.append(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
+        self.postings += len(counts)
+
+    def full(self) -> bool:
+        return self.postings >= BLOCK_POSTINGS or len(self.ids) >= BLOCK_DOCS
+
+    def block(self, corpus: Corpus) -> tuple:
+        by_size = sorted(range(len(self.ids)), key=self.sizes.__getitem__)
+        rows, tf = (np.concatenate([x[d] for d in by_size]) for x in (self.rows, self.tfs))
+        columns = np.repeat(np.arange(len(by_size)), [len(self.rows[d]) for d in by_size])
+        norm = np.array([corpus.length_norm(self.sizes[d]) for d in by_size], dtype=np.int64)[columns]
+        held = np.bincount(rows, minlength=len(self.number))
+        order = np.argsort(-held, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        words = list(self.number)
+        levels, masks, tops, points = quadtree(place[rows], columns, (1_000_000_000 * tf) // (1000 * tf + 20 * norm))
+        ids = np.array([[self.ids[d] is not None, self.ids[d] or 0] for d in by_size], dtype="<i8")
+        return (ids.tobytes(), b" ".join([words[k] for k in order]), held[order].astype("<i4").tobytes(), levels,
+                [m.tobytes() for m in masks], [t.astype("<u4").tobytes() for t in tops], [p.astype("<u8").tobytes() for p in points])
 
 
 def index(docs: DataFrame, corpus: Corpus) -> DataFrame:
@@ -144,20 +160,17 @@ def index(docs: DataFrame, corpus: Corpus) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(_block(ids, counts, sizes, corpus), kinds)], names)
-        ids, counts, sizes, postings = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(some.block(corpus), kinds)], names)
+        some = _Builder()
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+            for doc_id, text in zip(b.column(0), b.column(1).cast(pa.binary())):
                 terms = terms_of(text.as_py())
                 if terms:
-                    ids.append(doc_id)
-                    counts.append(Counter(terms))
-                    sizes.append(len(terms))
-                    postings += len(counts[-1])
-                    if postings >= BLOCK_POSTINGS or len(ids) >= BLOCK_DOCS:
-                        yield row()
-                        ids, counts, sizes, postings = [], [], [], 0
-        if ids:
+                    some.add(doc_id.as_py(), terms)
+                if some.full():
+                    yield row()
+                    some = _Builder()
+        if some.ids:
             yield row()
 
     return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, BLOCK), "k2-blocks")
@@ -189,10 +202,10 @@ class Block:
         self.row = {t: k for k, t in enumerate(row["lexicon"].split(b" "))}
         self.levels = row["levels"]
         self.masks = [np.frombuffer(m, dtype=np.uint8) for m in row["masks"]]
-        self.tops = [np.frombuffer(t, dtype="<u4").astype(np.int64) for t in row["tops"]]
+        self.tops = [np.frombuffer(t, dtype="<u4") for t in row["tops"]]
         self.first, self.point = [], []
         for mask, points in zip(self.masks, row["points"]):
-            self.first.append(np.cumsum(_BITS[mask]) - _BITS[mask])
+            self.first.append((np.cumsum(_BITS[mask]) - _BITS[mask]).astype(np.int32))
             at = np.full(len(mask), -1, dtype=np.int64)
             at[mask == 0] = np.frombuffer(points, dtype="<u8").astype(np.int64)
             self.point.append(at)
@@ -237,14 +250,19 @@ class Ranking:
 
 def search(block: Block, items: list[list[tuple[bytes, int]]], ranking: Ranking) -> None:
     """Adds the block's documents that can be among an item's best k."""
-    asked = [(q, block.row[t], w) for q, terms in enumerate(items) for t, w in terms if t in block.row and w > 0]
-    if not asked:
-        return
+    for lo in range(0, len(items), TOGETHER):
+        asked = [(q, block.row[t], w) for q, terms in enumerate(items[lo:lo + TOGETHER], lo) for t, w in terms if t in block.row and w > 0]
+        if asked:
+            _descend(block, asked, ranking)
+
+
+def _descend(block: Block, asked: list[tuple[int, int, int]], ranking: Ranking) -> None:
+    """Best-first, for all (item, row, weight) together."""
     item_of, rows, weights = (np.array(x, dtype=np.int64) for x in zip(*asked))
     owner, state = np.unique(item_of, return_inverse=True)  # one state for each item: the whole range
     n = len(rows)
     root = block.point[0][0]
-    paths = _Paths(state, rows, weights, np.full(n, block.tops[0][0]), np.full(n, -1 if root >= 0 else 0), np.full(n, 0))
+    paths = _Paths(state, rows, weights, np.full(n, int(block.tops[0][0])), np.full(n, -1 if root >= 0 else 0), np.full(n, 0))
     if root >= 0:  # the block is one point
         paths = paths.take(rows == _squeezed(np.array([root >> 1]))[0])
         paths = paths._replace(column=np.full(len(paths.row), _squeezed(np.array([root]))[0]))
@@ -316,7 +334,7 @@ def _split(block: Block, level: int, item: np.ndarray, low: np.ndarray, paths: _
         point = block.point[level + 1][child]
         down = wide.take(there)
         single = point >= 0
-        down = down._replace(state=2 * down.state + half, top=block.tops[level + 1][child], cell=np.where(single, -1, child),
+        down = down._replace(state=2 * down.state + half, top=block.tops[level + 1][child].astype(np.int64), cell=np.where(single, -1, child),
                              column=np.where(single, _squeezed(point), 0))
         parts.append(down.take(np.flatnonzero(~single | (_squeezed(point >> 1) == down.row))))
     both = _Paths(*(np.concatenate(x) for x in zip(*parts)))

@@ -103,9 +103,12 @@ def test_search_leaves_out_ranges_that_cannot_reach_the_best():
     rng = random.Random(2)
     texts = [[f"w{rng.randrange(2000)}" for _ in range(40)] for _ in range(2000)]
     counts = [Counter(t.encode() for t in text) for text in texts]
+    some = k2_treap._Builder()
+    for d, text in enumerate(texts):
+        some.add(d, [t.encode() for t in text])
     corpus = k2_treap.Corpus(2000, 80_000)
     names = [c.split()[0] for c in k2_treap.BLOCK.split(", ")]
-    block = k2_treap.Block(dict(zip(names, k2_treap._block(list(range(2000)), counts, [40] * 2000, corpus))))
+    block = k2_treap.Block(dict(zip(names, some.block(corpus))))
     df = Counter(t for c in counts for t in c)
     asked = [[(t, corpus.weight(df[t])) for t in counts[7]]]
     scored = []
