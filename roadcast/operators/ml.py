@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadcast.functions import expressions as X
-from roadcast.operators.ranking import rank_rows
+from roadcast.operators.boosting import Model, Setting, boosted, held_out_f1, margin_of
+from roadcast.operators.features import NOT_TRAINED, FeatureTable
 from roadcast.operators.sizing import materialize
 
 # FIXED VALUES: severity keywords searched in description + comment (case-insensitive substring).
@@ -102,16 +103,6 @@ def target_encoding(train: DataFrame, col: str, label: str, smoothing: float = 1
                                          / (F.col("n") + F.lit(smoothing)), 6).alias("encoding"))
 
 
-def stratified_split(df: DataFrame, stratum: str, share: float = 0.8, seed: int = RANDOM_STATE) -> DataFrame:
-    """EX10: random split within each stratum by a seeded hash rank (no sampling drift)."""
-    h = df.withColumn("_h", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
-    r = rank_rows(h, [stratum], [F.col("_h").asc(), F.col("id").asc()], rank_col="_pos")
-    n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    j = r.join(materialize(n, "strata"), stratum)
-    return j.withColumn("fold", F.when(F.col("_pos") <= F.floor(F.col("_n") * F.lit(share)), F.lit("train"))
-                        .otherwise(F.lit("test"))).drop("_h", "_pos", "_n")
-
-
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c), one row per class (broadcast)."""
     c = train.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
@@ -202,22 +193,55 @@ def regression_metrics(pred: DataFrame, y: str = "duration_minutes", p: str = "p
                     .alias("r2"), "mae")
 
 
-def soft_vote(train: DataFrame, test: DataFrame, categorical: list[str], numeric: list[str],
-              label: str = "y") -> DataFrame:
-    """EX9: mean positive-class probability of boosted trees, forest and logistic regression."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    models = {
-        "gbt": GBTClassifier(maxIter=50, maxDepth=5, seed=RANDOM_STATE),
-        "rf": RandomForestClassifier(numTrees=100, maxDepth=8, seed=RANDOM_STATE),
-        "logit": LogisticRegression(maxIter=100, regParam=0.01),
-    }
-    scored = None
-    for name, est in models.items():
-        m = Pipeline(stages=encoder_stages(categorical, numeric, label) + [est]).fit(train)
-        p = m.transform(test).select("id", vector_to_array("probability")[1].alias(f"p_{name}"))
-        scored = p if scored is None else scored.join(p, "id")
-    return test.select("id", "fold", label).join(scored, "id").withColumn(
-        "score", sum(F.col(f"p_{n}") for n in models) / F.lit(float(len(models))))
+def _vote_models():
+    """EX9's members besides boosted trees: forest and logistic regression on the stored vectors."""
+    from pyspark.ml.classification import LogisticRegression
+    names = {"labelCol": "y", "featuresCol": "features"}
+    return [(RandomForestClassifier(numTrees=100, maxDepth=8, seed=RANDOM_STATE, **names), "rf"),
+            (LogisticRegression(maxIter=100, regParam=0.01, **names), "logit")]
+
+
+def _positive(model, name: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with the model's probability of class 1 as ``p_<name>``."""
+    model = model.setPredictionCol(f"_l_{name}").setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}")
+    return model.transform(rows).withColumn(f"p_{name}", vector_to_array(f"_p_{name}")[1]).drop(f"_l_{name}", f"_p_{name}", f"_r_{name}")
+
+
+def _in_parallel(jobs: list, at_once: int = 4) -> list:
+    """Results of fits that Spark may run side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
+def _voted(table: FeatureTable, held_out: list) -> DataFrame:
+    """The rows with score: the mean of three members' probabilities, by models that hold out the row's fold (None: all rows trained)."""
+    models = [Model(Setting(), fold) for fold in held_out]
+    trained = table.rows.where(F.col("fold") >= 0)
+    cached = trained.select("y", "fold", "features").cache()
+    try:
+        jobs = [lambda e=e, fold=fold: e.fit(cached if fold is None else cached.where(F.col("fold") != fold))
+                for fold in held_out for e, _ in _vote_models()]
+        fitted = _in_parallel(jobs)
+    finally:
+        cached.unpersist()
+    _, states = boosted(table.rows, table.widths, models, 50, "log")
+    rows = margin_of(states[50], models, list(range(len(models))))
+    parts = []
+    for k, fold in enumerate(held_out):
+        part = rows if fold is None else rows.where(F.col("fold") == fold)
+        for (_, name), model in zip(_vote_models(), fitted[2 * k:2 * k + 2]):
+            part = _positive(model, name, part)
+        parts.append(part)
+    out = functools.reduce(DataFrame.unionByName, parts)
+    return out.withColumn("p_gbt", F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))).withColumn(
+        "score", (F.col("p_gbt") + F.col("p_rf") + F.col("p_logit")) / F.lit(3.0))
+
+
+def soft_vote(table: FeatureTable, kept: tuple = ()) -> DataFrame:
+    """EX9: (id, kept, y, score) of the rows that aren't trained on; score is the members' mean probability; no join."""
+    scored = _voted(table, [None])
+    return scored.where(F.col("fold") == NOT_TRAINED).select("id", *kept, F.col("y").cast("int").alias("y"), "score")
 
 
 #: EX11's axes: trees, rate, depth, row and column sampling.
@@ -225,67 +249,70 @@ TUNING_AXES = {"maxIter": [20, 50], "stepSize": [0.05, 0.1], "maxDepth": [3, 5],
                "featureSubsetStrategy": ["0.8", "all"]}
 
 
-def cv_tuning(train: DataFrame, categorical: list[str], numeric: list[str], label: str = "y",
-              folds: int = 5, axes: dict[str, list] = TUNING_AXES) -> DataFrame:
-    """EX11: k-fold cross-validated grid of boosted trees over ``axes`` (F1 of the positive class)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    gbt = GBTClassifier(seed=RANDOM_STATE)
-    pipe = Pipeline(stages=encoder_stages(categorical, numeric, label) + [gbt])
-    grid = ParamGridBuilder()
-    for name, values in axes.items():
-        grid = grid.addGrid(gbt.getParam(name), values)
-    grid = grid.build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, seed=RANDOM_STATE, parallelism=2,
-                        evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0))
-    model = cv.fit(train)
-    rows = [(*(p[gbt.getParam(name)] for name in TUNING_AXES), float(m)) for p, m in zip(grid, model.avgMetrics)]
-    return train.sparkSession.createDataFrame(
-        rows, "max_iter int, step_size double, max_depth int, subsampling_rate double, feature_subset string, f1 double")
-
-
-def out_of_fold_scores(train: DataFrame, categorical: list[str], numeric: list[str], label: str = "y",
-                       folds: int = 5) -> DataFrame:
-    """EX12: every training row's soft-vote score by models fitted on the other folds."""
-    tr = train.withColumn("_fold", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(RANDOM_STATE)), F.lit(folds)))
-    parts = [soft_vote(tr.where(F.col("_fold") != f), tr.where(F.col("_fold") == f), categorical, numeric, label)
-             for f in range(folds)]
-    return functools.reduce(DataFrame.unionByName, parts)
+def cv_tuning(table: FeatureTable, folds: int = 5, axes: dict[str, list] = TUNING_AXES) -> DataFrame:
+    """EX11: k-fold cross-validated grid of boosted trees over ``axes`` (mean F1 of the positive class over the folds).
 
+    All points and folds grow in lockstep on one encoded table, each depth in a chain of its own; points that differ in
+    the number of trees share a model.
+    """
+    import itertools
+    share = {c: 1.0 if c == "all" else float(c) for c in axes["featureSubsetStrategy"]}
 
-def stacked_regression(train: DataFrame, test: DataFrame, categorical: list[str], numeric: list[str],
-                       folds: int = 5) -> DataFrame:
-    """EX8: out-of-fold predictions of boosted trees, forest and linear models, ridge on top."""
-    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-    bases = {
-        "gbt": lambda: GBTRegressor(labelCol="log_duration", maxIter=30, maxDepth=5, seed=RANDOM_STATE),
-        "rf": lambda: RandomForestRegressor(labelCol="log_duration", numTrees=50, maxDepth=8, seed=RANDOM_STATE),
-        "lin": lambda: LinearRegression(labelCol="log_duration", regParam=0.1),
-    }
-    tr = train.where(F.col("duration_minutes").isNotNull()).withColumns({
-        "log_duration": F.log1p("duration_minutes"),
-        "_fold": F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(RANDOM_STATE)), F.lit(folds))})
-
-    def predict_all(fit_on, apply_to):
-        out = apply_to.select("id")
-        for name, make in bases.items():
-            m = Pipeline(stages=encoder_stages(categorical, numeric) + [make()]).fit(fit_on)
-            out = out.join(m.transform(apply_to).select("id", F.col("prediction").alias(f"p_{name}")), "id")
+    def grown(depth: int) -> dict[tuple, float]:
+        settings = list(itertools.product(axes["stepSize"], [depth], axes["subsamplingRate"], axes["featureSubsetStrategy"]))
+        models = [Model(Setting(s, d, r, share[c]), fold) for s, d, r, c in settings for fold in range(folds)]
+        _, states = boosted(table.rows, table.widths, models, max(axes["maxIter"]), "log", marks=axes["maxIter"])
+        out = {}
+        for trees in axes["maxIter"]:
+            f1 = {r["model"]: r["f1"] for r in held_out_f1(states[trees], models).collect()}
+            out |= {(trees, *p): sum(f1[k * folds + fold] for fold in range(folds)) / folds for k, p in enumerate(settings)}
         return out
 
-    oof = None
-    for f in range(folds):
-        p = predict_all(tr.where(F.col("_fold") != f), tr.where(F.col("_fold") == f))
-        oof = p if oof is None else oof.unionByName(p)
-    meta_cols = [f"p_{n}" for n in bases]
-    meta_train = oof.join(tr.select("id", "log_duration"), "id")
-    meta = Pipeline(stages=[VectorAssembler(inputCols=meta_cols, outputCol="meta"),
-                            LinearRegression(featuresCol="meta", labelCol="log_duration", regParam=1.0,
-                                             elasticNetParam=0.0)]).fit(meta_train)
-    test_base = predict_all(tr, test)
-    return meta.transform(test_base).select("id", F.expm1("prediction").alias("predicted_minutes")).join(
-        test.select("id", "event_type", "duration_minutes"), "id")
+    found = {}
+    for part in _in_parallel([lambda d=d: grown(d) for d in axes["maxDepth"]]):
+        found |= part
+    points = itertools.product(*(axes[name] for name in TUNING_AXES))
+    return table.rows.sparkSession.createDataFrame(
+        [(*p, float(found[p])) for p in points],
+        "max_iter int, step_size double, max_depth int, subsampling_rate double, feature_subset string, f1 double")
+
+
+def out_of_fold_scores(table: FeatureTable, folds: int = 5) -> DataFrame:
+    """EX12: every training row's soft-vote score by models fitted on the other folds."""
+    return _voted(table, list(range(folds))).select("id", F.col("y").cast("int").alias("y"), "score")
+
+
+def stacked_regression(tables: list[FeatureTable], folds: int = 5) -> DataFrame:
+    """EX8: out-of-fold predictions of boosted trees, forest and linear models, ridge on top; a table for each event type."""
+    return functools.reduce(DataFrame.unionByName, _in_parallel([lambda t=t: _stacked(t, folds) for t in tables]))
+
+
+def _stacked(table: FeatureTable, folds: int) -> DataFrame:
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+    names = {"labelCol": "y", "featuresCol": "features"}
+    bases = [(RandomForestRegressor(numTrees=50, maxDepth=8, seed=RANDOM_STATE, **names), "rf"), (LinearRegression(regParam=0.1, **names), "lin")]
+    held_out = [*range(folds), None]
+    models = [Model(Setting(), fold) for fold in held_out]
+    cached = table.rows.where(F.col("fold") >= 0).select("y", "fold", "features").cache()
+    try:
+        fitted = _in_parallel([lambda e=e, fold=fold: e.fit(cached if fold is None else cached.where(F.col("fold") != fold))
+                               for fold in held_out for e, _ in bases])
+    finally:
+        cached.unpersist()
+    _, states = boosted(table.rows, table.widths, models, 30, "squared")
+    rows = margin_of(states[30], models, list(range(len(models)))).withColumnRenamed("margin", "p_gbt")
+    scored = []
+    for k, fold in enumerate(held_out):
+        part = rows.where(F.col("fold") == (NOT_TRAINED if fold is None else fold))
+        for (_, name), model in zip(bases, fitted[2 * k:2 * k + 2]):
+            part = model.setPredictionCol(f"p_{name}").transform(part)
+        scored.append(part)
+    meta_rows = materialize(functools.reduce(DataFrame.unionByName, scored).drop("features"), "stack")
+    meta_cols = ["p_gbt", "p_rf", "p_lin"]
+    ridge = LinearRegression(featuresCol="meta", labelCol="y", regParam=1.0, elasticNetParam=0.0)
+    meta = Pipeline(stages=[VectorAssembler(inputCols=meta_cols, outputCol="meta"), ridge]).fit(meta_rows.where(F.col("fold") >= 0))
+    out = meta.transform(meta_rows.where(F.col("fold") == NOT_TRAINED))
+    return out.select("id", F.expm1("prediction").alias("predicted_minutes"), "event_type", "duration_minutes")
 
 
 def export_model(train: DataFrame, categorical: list[str], numeric: list[str], path: str, label: str = "y"):

@@ -1,8 +1,7 @@
 """Chronological benchmarks and metrics (VA1-VA6, VA10-VA16, VA18).
 
-* splits rank rows globally by time and cut at ``floor(n * share)``; above
-  a bounded row count the rank is the two-level form (no single-partition
-  window), see :func:`rank_rows`;
+* splits compare rows with the exact (time, id) boundaries of
+  :mod:`roadcast.operators.cuts`; no row is ranked or exchanged for them;
 * labels and rule predictions reuse the tier-chain join against a
   train-only baseline - no per-row loop;
 * the threshold sweep aggregates scores into one bucket per threshold
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from roadcast import config as C
 from roadcast.functions import expressions as X
 from roadcast.operators import baseline as BL
+from roadcast.operators import cuts
 from roadcast.operators import forecast as FC
 from roadcast.operators.match import baselines_from_grains, tiered_match
 from roadcast.operators.ranking import rank_rows
@@ -35,17 +35,16 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 # --- splits -------------------------------------------------------------------
 
-def chrono_split(df: DataFrame, cuts: list[tuple[str, float]], last: str,
+def chrono_split(df: DataFrame, folds: list[tuple[str, float]], last: str,
                  time_col: str = "start_datetime") -> DataFrame:
-    """Rank by (time, id); rows up to ``floor(n * share)`` go to each named fold."""
-    n = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranked = rank_rows(df, [], [F.col(time_col).asc(), F.col("id").asc()], rank_col="split_pos")
-    r = attach_scalar(ranked, n)
-    fold = None
-    for name, share in cuts:
-        cond = F.col("split_pos") <= F.floor(F.col("_total") * F.lit(share))
-        fold = F.when(cond, F.lit(name)) if fold is None else fold.when(cond, F.lit(name))
-    return r.withColumn("fold", fold.otherwise(F.lit(last))).drop("_total")
+    """``fold`` by order of (time, id): the first floor(n * share) rows belong to each named fold; no row is ranked."""
+    hour = F.floor(F.unix_micros(F.col(time_col).cast("timestamp")) / F.lit(3_600_000_000))
+    return cuts.with_fold(df, time_col, "id", hour, folds, last)
+
+
+def split_positions(df: DataFrame, time_col: str = "start_datetime") -> DataFrame:
+    """(id, split_pos): the rank by (time, id) that the cuts stand for."""
+    return rank_rows(df.select("id", time_col), [], [F.col(time_col).asc(), F.col("id").asc()], rank_col="split_pos").select("id", "split_pos")
 
 
 def split_80_20(clean: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def split_70_15_15(clean: DataFrame) -> DataFrame:
 def _as_incoming(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("incident_id"), "event_cause", F.col("corridor").alias("match_corridor"),
                        "is_weekend", "hour_bucket", "requires_road_closure", "duration_minutes", "priority",
-                       "fold", "split_pos")
+                       "fold")
 
 
 def labelled(split: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def labelled(split: DataFrame) -> DataFrame:
         .otherwise(X.severity_by_score(X.closure_priority_score(closure, F.col("priority"))))
     m = m.withColumn("true_severity", X.apply_bump(true_base, flag))
     pred = FC.severity_columns(m)
-    return pred.select("incident_id", "fold", "split_pos", "event_cause", "match_level", "duration_count",
+    return pred.select("incident_id", "fold", "event_cause", "match_level", "duration_count",
                        "true_severity", F.col("severity_tier").alias("rule_prediction"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roadcast.operators import experiment as EX
 from roadcast.operators import ml as ML
 from roadcast.operators import validate as VA
 from roadcast.plans import context as ctx
@@ -79,11 +80,46 @@ def target_encoding(spark, sf_dir):
     return ML.target_encoding(s.where(F.col("fold") == "train"), "event_cause", "y")
 
 
-@register("stratified_split")
+SEVERE = B + [("sev", """
+select *, (coalesce(requires_road_closure, false) or coalesce(duration_minutes >= 60, false))::int as severe_impact from clean"""),
+    ("split", """
+select *, case when row_number() over (partition by severe_impact order by md5(id::varchar || ':42'), id)
+  <= floor(count(*) over (partition by severe_impact) * 0.8::double) then 'train' else 'test' end as which from sev""")]
+
+
+@register("stratified_split", W(SEVERE, "select id, severe_impact, which as fold from split"))
 def stratified_split(spark, sf_dir):
-    """EX10: seeded 80/20 split within each closure stratum (rows-only)."""
-    f = _frame(spark, sf_dir)
-    return ML.stratified_split(f, "closure_int").select("id", "closure_int", "fold")
+    """EX10: seeded 80/20 split within each severe-impact stratum."""
+    return EX.stratified_split(ML.severe_label(ctx.clean(spark, sf_dir)), "severe_impact").select("id", "severe_impact", "fold")
+
+
+def _experiment(spark, sf_dir):
+    """EX1-EX6: the experiments' frame, split 80/20 within the severe-impact strata."""
+    frame = EX.stratified_split(EX.rows(ctx.clean(spark, sf_dir), read_table(spark, sf_dir, "documents")), "severe_impact")
+    return frame.withColumnRenamed("fold", "which")
+
+
+def _oof_sql():
+    each = " union all ".join(f"select '{c}' as \"column\", {c} as category, fold, severe_impact from folded" for c in EX.CATEGORIES)
+    return W(SEVERE + [("folded", """
+select *, corridor || '_' || event_cause as corridor_cause, corridor || '_' || priority as corridor_priority, event_cause || '_' || priority as cause_priority
+from (select * replace (coalesce(priority, 'Unknown') as priority, coalesce(corridor, 'Non-corridor') as corridor, coalesce(event_cause, 'unknown') as event_cause,
+                        coalesce(event_type, 'unplanned') as event_type),
+        (('0x' || substr(md5(id::varchar || ':42'), 1, 8))::bigint % 5)::int as fold from split where which = 'train')"""),
+        ("long", each), ("asked", "select unnest([0, 1, 2, 3, 4, -1]) as f"), ("cats", 'select distinct "column", category from long')], f"""
+select c."column", c.category, a.f as fold, count(l.fold) as n,
+  {O.rnd('(coalesce(sum(l.severe_impact), 0) + 10.0::double * (select avg(severe_impact) from folded where fold <> a.f)) / (count(l.fold) + 10.0::double)', 9)} as encoding
+from cats c cross join asked a left join long l on l."column" = c."column" and l.category = c.category and l.fold <> a.f group by c."column", c.category, a.f""")
+
+
+@register("oof_target_encoding", _oof_sql())
+def oof_target_encoding(spark, sf_dir):
+    """EX5: encodings of all seven categories by severe impact, for each of five folds from the other four (9 dp)."""
+    from roadcast.functions.expressions import np_round
+    from roadcast.operators.features import fold_of
+    frame = EX.stratified_split(ML.severe_label(ML.crossed_features(ML.model_frame(ctx.clean(spark, sf_dir)))), "severe_impact")
+    train = frame.where(F.col("fold") == "train").withColumn("fold", fold_of("id", 5, ML.RANDOM_STATE))
+    return EX.encodings(train, EX.CATEGORIES, "severe_impact", 5).withColumn("encoding", np_round(F.col("encoding"), 9))
 
 
 CATEGORICAL = ["event_cause", "corridor_clean", "hour_bucket"]
@@ -167,44 +203,47 @@ CLOSURE_CATS = ["event_cause", "corridor_clean", "event_type", "priority", "hour
 
 @register("soft_vote")
 def soft_vote(spark, sf_dir):
-    """EX9: soft-vote closure score of three classifiers (rows-only)."""
-    s = _closure_folds(spark, sf_dir)
-    return ML.soft_vote(s.where(F.col("fold") == "train"), s.where(F.col("fold") != "train"), CLOSURE_CATS,
-                        ["weekend_int"]).select("id", "fold", "y", "score")
+    """EX9: soft-vote severe-impact score of three classifiers on the test fold (rows-only)."""
+    return ML.soft_vote(EX.table(_experiment(spark, sf_dir), F.col("severe_impact")))
 
 
 @register("cv_tuning")
 def cv_tuning(spark, sf_dir):
-    """EX11: cross-validated grid of boosted trees (rows-only)."""
-    s = _closure_folds(spark, sf_dir)
-    return ML.cv_tuning(s.where(F.col("fold") == "train"), CLOSURE_CATS, ["weekend_int"])
+    """EX11: cross-validated grid of boosted trees for severe impact (rows-only)."""
+    return ML.cv_tuning(EX.table(_experiment(spark, sf_dir).where(F.col("which") == "train"), F.col("severe_impact")))
 
 
 @register("oof_threshold")
 def oof_threshold(spark, sf_dir):
     """EX12: F1 over thresholds 0.05..0.94 on out-of-fold soft-vote scores of the train fold (rows-only)."""
     from roadcast.operators.sizing import materialize
-    s = _closure_folds(spark, sf_dir)
-    scored = ML.out_of_fold_scores(s.where(F.col("fold") == "train"), CLOSURE_CATS, ["weekend_int"])
+    scored = ML.out_of_fold_scores(EX.table(_experiment(spark, sf_dir).where(F.col("which") == "train"), F.col("severe_impact")))
     return VA.threshold_sweep(materialize(scored), 0.05, 0.95)
 
 
 @register("stacked_regression")
 def stacked_regression(spark, sf_dir):
-    """EX8: stacked duration regressors (rows-only)."""
-    s = _closure_folds(spark, sf_dir).withColumn("closure_int", F.col("y"))
-    cats = ["event_cause", "corridor_clean", "priority", "hour_bucket", "event_type"]
-    return ML.stacked_regression(s.where(F.col("fold") == "train"), s.where(F.col("fold") != "train"), cats,
-                                 ["weekend_int", "closure_int"])
+    """EX8: stacked duration regressors, planned and unplanned apart, on the test fold (rows-only)."""
+    timed = _experiment(spark, sf_dir).where(F.col("duration_minutes").isNotNull())
+    tables = [EX.table(timed.where(F.col("event_type") == t), F.log1p("duration_minutes"), ["event_type", "duration_minutes"])
+              for t in ("planned", "unplanned")]
+    return ML.stacked_regression(tables)
 
 
 @register("model_export")
 def model_export(spark, sf_dir):
-    """EX14/SC9: full-data closure model saved as a pipeline, reloaded and applied (rows-only)."""
+    """EX14/SC9: 3-class severity model of all rows with a duration, saved as a pipeline, reloaded and applied (rows-only)."""
+    from roadcast.operators.sizing import materialize
     from roadcast.streaming.replay import scratch
-    s = _closure_folds(spark, sf_dir)
-    model = ML.export_model(s, CLOSURE_CATS, ["weekend_int"], scratch(spark, "closure-model"))
-    return model.transform(s).select("id", ML.vector_to_array("probability")[1].alias("score"))
+    whole = ctx.clean(spark, sf_dir).where(F.col("has_duration")).withColumn("fold", F.lit("train"))
+    labels = VA.labelled(whole).select(F.col("incident_id").alias("id"), "true_severity")
+    rows = VA.with_corridor_clean(whole, VA.corridor_vocab(whole)).withColumns({
+        "weekend_int": F.col("is_weekend").cast("int"), "closure_int": F.col("requires_road_closure").cast("int")})
+    rows = materialize(rows.select("id", *CATEGORICAL, "weekend_int", "closure_int").join(labels, "id"), "severity-rows")
+    model = ML.export_model(rows, CATEGORICAL, ["weekend_int", "closure_int"], scratch(spark, "severity-model"), "true_severity")
+    names = model.stages[0].labels
+    predicted = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
+    return model.transform(rows).select("id", "true_severity", predicted.alias("predicted"))
 
 
 @register("model_lift")

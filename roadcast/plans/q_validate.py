@@ -81,16 +81,22 @@ def _test_pairs(spark, sf_dir):
     return _labels(spark, sf_dir).where(F.col("fold") == "test")
 
 
-@register("split_80_20", W(B + [("s80", S80)], "select id, start_datetime, split_pos, fold from s80"))
+@register("split_80_20", W(B + [("s80", S80)], "select id, start_datetime, fold from s80"))
 def split_80_20(spark, sf_dir):
-    """VA1: chronological 80/20 split of has-duration rows (two-level global rank)."""
-    return _s80(spark, sf_dir).select("id", "start_datetime", "split_pos", "fold")
+    """VA1: chronological 80/20 split of has-duration rows by exact boundaries."""
+    return _s80(spark, sf_dir).select("id", "start_datetime", "fold")
 
 
-@register("split_70_15_15", W(S70_CTES, "select id, start_datetime, split_pos, fold, y from s70"))
+@register("split_70_15_15", W(S70_CTES, "select id, start_datetime, fold, y from s70"))
 def split_70_15_15(spark, sf_dir):
     """VA2: chronological 70/15/15 split with the closure label."""
-    return _s70(spark, sf_dir).select("id", "start_datetime", "split_pos", "fold", "y")
+    return _s70(spark, sf_dir).select("id", "start_datetime", "fold", "y")
+
+
+@register("split_positions", W(B + [("s80", S80)], "select id, split_pos from s80"))
+def split_positions(spark, sf_dir):
+    """VA1: the rank that the 80/20 split cuts (two-level global rank)."""
+    return VA.split_positions(ctx.clean(spark, sf_dir).where(F.col("has_duration")))
 
 
 @register("true_severity", W(LAB_CTES, "select incident_id, fold, match_level, duration_count, true_severity from lab"))
