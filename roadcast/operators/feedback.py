@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from roadcast import config as C
 from roadcast.functions import expressions as X
 from roadcast.operators import baseline as BL
-from roadcast.operators.sizing import broadcast_if_small, materialize
+from roadcast.operators.sizing import materialize, materialize
 
 FEEDBACK_SCHEMA = ["timestamp", "event_datetime", "event_cause", "corridor", "actual_duration_minutes",
                    "actual_requires_road_closure", "priority", "verified_by", "verification_status"]
@@ -111,7 +111,8 @@ def accept(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     order = F.struct(*[F.col(c) for c in _order_cols(k)])
     first = k.groupBy("feedback_key").agg(F.min_by(F.struct(*k.columns), order).alias("_r")).select("_r.*")
     if existing is not None:
-        first = first.join(keyed(existing).select("feedback_key").distinct(), "feedback_key", "left_anti")
+        logged = existing if "feedback_key" in existing.columns else keyed(existing)  # a stored log keeps its keys
+        first = first.join(logged.select("feedback_key").distinct(), "feedback_key", "left_anti")
     return first
 
 
@@ -158,22 +159,25 @@ def combined_history(clean: DataFrame, events: DataFrame) -> DataFrame:
     return c.unionByName(events, allowMissingColumns=True)
 
 
-def refresh_baseline(old_grains: DataFrame, clean: DataFrame, events: DataFrame,
-                     touched_events: DataFrame | None = None) -> DataFrame:
-    """FB6 (incremental): recompute only the groups the feedback touches.
+#: Causes named in a filter that the scan of the counts can use; with more, a semi join.
+NAMED_CAUSES = 1000
 
-    Medians do not merge, so touched groups are rebuilt from their full
-    history (``left_semi`` on the group keys); untouched groups are carried
-    over from the previous version (``left_anti``).
+
+def refresh_baseline(old_grains: DataFrame, state: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """FB6: (new grains, counts to add to the state) from counted values and the newly verified outcomes.
+
+    ``state`` has the value counts of all incidents so far (:func:`roadcast.operators.baseline.value_counts`; rows of one
+    value add up). Groups that the events touch are computed from the counts of the touched causes, old and new; all
+    others are carried over. The history isn't read.
     """
-    # Touched groups are at most the baseline's groups plus new ones: counted
-    # before they are broadcast.
-    source = events if touched_events is None else touched_events
-    touched = broadcast_if_small(BL.grain_rows(source).select("grain", *BL.KEYS).distinct())
-    rows = BL.grain_rows(combined_history(clean, events))
-    keys = ["grain"] + BL.KEYS
-    cond = [rows[k].eqNullSafe(touched[k]) for k in keys]
-    new = BL.grain_stats(rows.join(touched, cond, "left_semi"))
-    cond_old = [old_grains[k].eqNullSafe(touched[k]) for k in keys]
-    kept = old_grains.join(touched, cond_old, "left_anti")
-    return kept.unionByName(new.select(*old_grains.columns))
+    delta = materialize(BL.value_counts(events), "delta")
+    touched = materialize(BL.touched_groups(delta), "touched")
+    causes = touched.where(F.col("grain") == "cause").select(F.col("event_cause").alias("_cause"))
+    named = [r["_cause"] for r in causes.limit(NAMED_CAUSES + 1).collect()]
+    if len(named) <= NAMED_CAUSES:
+        near = state.where(F.col("event_cause").isin(named))
+    else:
+        near = state.join(causes, state["event_cause"] == causes["_cause"], "left_semi")
+    new = BL.grains_of(near.select(*BL.SOURCE).unionByName(delta), only=touched)
+    kept = old_grains.join(touched, [old_grains[k].eqNullSafe(touched[k]) for k in ["grain", *BL.KEYS]], "left_anti")
+    return kept.unionByName(new.select(*old_grains.columns)), delta

@@ -112,14 +112,14 @@ def combined_history(spark, sf_dir):
 
 
 def refreshed_grains(spark, sf_dir):
-    clean = ctx.clean(spark, sf_dir)
-    return FB.refresh_baseline(BL.all_grains(clean), clean, _events(spark, sf_dir))
+    version = ctx.stored_version(spark, sf_dir)
+    return FB.refresh_baseline(version.grains, version.state, _events(spark, sf_dir))[0]
 
 
 @register("baseline_refreshed", W(REFRESH_CTES, f"""
 select {O.BASELINE_SELECT} from r_bl_fine union all select {O.BASELINE_SELECT} from r_bl_coarse"""))
 def baseline_refreshed(spark, sf_dir):
-    """FB6: refreshed baseline, recomputing only groups touched by feedback."""
+    """FB6: refreshed baseline: value counts of the stored version plus the outcomes', for touched groups."""
     return BL.baseline_table(refreshed_grains(spark, sf_dir))
 
 
@@ -131,8 +131,7 @@ select o.incident_id, o.match_level as match_level_before, n.match_level as matc
 from m_old o join m_new n on o.incident_id = n.incident_id"""))
 def refresh_delta(spark, sf_dir):
     """FB7: forecast tier before and after the refresh, per incident."""
-    clean = ctx.clean(spark, sf_dir)
-    old = MT.prepare_baselines(clean)
+    old = ctx.baselines(spark, sf_dir)
     new = MT.baselines_from_grains(refreshed_grains(spark, sf_dir))
     inc = ctx.incoming(spark, sf_dir)
     a = FCO.forecast(inc, old).select("incident_id", F.col("match_level").alias("match_level_before"),

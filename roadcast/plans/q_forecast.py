@@ -24,13 +24,13 @@ def _grains(spark, sf_dir):
 @register("baseline_fine", W(BLC, f"select {O.BASELINE_SELECT} from bl_fine"))
 def baseline_fine(spark, sf_dir):
     """BL1: fine baseline (corridor, cause, weekend, hour band), >= 5 durations."""
-    return BL.fine_baseline(BL.grain_stats(BL.grain_rows(ctx.clean(spark, sf_dir), ("fine",))))
+    return BL.fine_baseline(BL.all_grains(ctx.clean(spark, sf_dir), ("fine",)))
 
 
 @register("baseline_coarse", W(BLC, f"select {O.BASELINE_SELECT} from bl_coarse"))
 def baseline_coarse(spark, sf_dir):
     """BL2: coarse baseline (cause, weekend, hour band), every group."""
-    return BL.coarse_baseline(BL.grain_stats(BL.grain_rows(ctx.clean(spark, sf_dir), ("coarse",))))
+    return BL.coarse_baseline(BL.all_grains(ctx.clean(spark, sf_dir), ("coarse",)))
 
 
 @register("baseline_cause", W(BLC, """
@@ -38,7 +38,7 @@ select event_cause, median_duration_minutes, road_closure_rate, event_count, dur
 from cause_all"""))
 def baseline_cause(spark, sf_dir):
     """BL3: cause baseline over the whole history."""
-    return BL.cause_baseline(BL.grain_stats(BL.grain_rows(ctx.clean(spark, sf_dir), ("cause",))))
+    return BL.cause_baseline(BL.all_grains(ctx.clean(spark, sf_dir), ("cause",)))
 
 
 @register("baseline_table", W(BLC, f"select {O.BASELINE_SELECT} from bl_table"))
@@ -78,7 +78,7 @@ MATCH_CTES = BLC + [("incoming", O.INCOMING), ("feats", O.FEATS), ("matched", O.
 
 
 def _matched(spark, sf_dir):
-    base = MT.prepare_baselines(ctx.clean(spark, sf_dir))
+    base = ctx.baselines(spark, sf_dir)
     return MT.tiered_match(MT.incoming_features(ctx.incoming(spark, sf_dir)), base)
 
 
@@ -88,7 +88,7 @@ from feats i join bl_fine f on f.corridor = i.match_corridor and f.event_cause =
   and f.is_weekend = i.is_weekend and f.hour_bucket = i.hour_bucket"""))
 def match_fine(spark, sf_dir):
     """MT2: incoming incidents with a fine match."""
-    base = MT.prepare_baselines(ctx.clean(spark, sf_dir))
+    base = ctx.baselines(spark, sf_dir)
     i = MT.incoming_features(ctx.incoming(spark, sf_dir))
     f = base.fine
     j = i.join(f, (i["match_corridor"] == f["corridor"]) & (i["event_cause"] == f["event_cause"])
@@ -103,7 +103,7 @@ from feats i join coarse_all c on c.event_cause = i.event_cause and c.is_weekend
   and c.hour_bucket = i.hour_bucket where c.duration_count >= 5"""))
 def match_coarse(spark, sf_dir):
     """MT3: incoming incidents with a reliable coarse group (>= 5 durations)."""
-    base = MT.prepare_baselines(ctx.clean(spark, sf_dir))
+    base = ctx.baselines(spark, sf_dir)
     i = MT.incoming_features(ctx.incoming(spark, sf_dir))
     c = base.coarse
     j = i.join(c, (i["event_cause"] == c["event_cause"]) & (i["is_weekend"] == c["is_weekend"])
@@ -126,7 +126,7 @@ def match_cause_only(spark, sf_dir):
 select distinct i.event_cause from feats i anti join cause_all k on k.event_cause = i.event_cause"""))
 def match_no_data(spark, sf_dir):
     """MT5: causes of incoming incidents never seen in history (left_anti)."""
-    base = MT.prepare_baselines(ctx.clean(spark, sf_dir))
+    base = ctx.baselines(spark, sf_dir)
     i = MT.incoming_features(ctx.incoming(spark, sf_dir))
     return i.join(base.cause, "event_cause", "left_anti").select("event_cause").distinct()
 
@@ -141,7 +141,7 @@ def tiered_match(spark, sf_dir):
 
 
 def forecast_df(spark, sf_dir, with_notes=False):
-    base = MT.prepare_baselines(ctx.clean(spark, sf_dir))
+    base = ctx.baselines(spark, sf_dir)
     return FC.forecast(ctx.incoming(spark, sf_dir), base, with_notes=with_notes)
 
 

@@ -2,8 +2,7 @@
 
 * cleaned incidents are written partitioned by start date, so date-bounded
   reads prune whole folders;
-* baselines are written as immutable versions; a reader takes the last one
-  that was written to its end, so it never sees half a refresh;
+* baselines are versions of :mod:`roadcast.sources.store`;
 * the feedback log is appended only with outcomes that passed the
   ``left_anti`` key check, one folder per append (a retried append replaces
   its own folder);
@@ -38,27 +37,15 @@ def write_dropped(dropped: DataFrame, path: str) -> None:
     dropped.write.mode("overwrite").parquet(path)
 
 
-def write_baseline_version(spark: SparkSession, table: DataFrame, root: str, version: str) -> str:
-    """SC5: write ``root/v=<version>``. A version counts once its success mark is there, so nothing is ever overwritten in use."""
-    path = os.path.join(root, f"v={version}")
-    table.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_current_baseline(spark: SparkSession, root: str) -> DataFrame:
-    """The last version by name that was written to its end."""
-    done = [v for v in children(spark, root) if v.startswith("v=") and "_SUCCESS" in children(spark, os.path.join(root, v))]
-    return spark.read.parquet(os.path.join(root, done[-1]))
-
-
 def append_feedback(spark: SparkSession, new: DataFrame, log_path: str, batch_id: str) -> DataFrame:
     """SC8: append outcomes not yet logged (FB3); returns the accepted rows.
 
-    A batch that is appended again is compared with the other batches only, and replaces its own folder.
+    A batch that is appended again is compared with the other batches only, and replaces its own folder. The log keeps
+    each outcome's key, so only the new rows are hashed.
     """
     others = [name for name in children(spark, log_path) if name.startswith("batch=") and name != f"batch={batch_id}"]
     existing = spark.read.parquet(*[os.path.join(log_path, name) for name in others]) if others else None
-    accepted = FB.accept(new, existing).select(*new.columns)
+    accepted = FB.accept(new, existing).select(*new.columns, "feedback_key")
     part = os.path.join(log_path, f"batch={batch_id}")
     accepted.write.mode("overwrite").parquet(part)
     return spark.read.parquet(part)

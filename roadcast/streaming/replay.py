@@ -9,7 +9,7 @@ and ``foreachBatch``:
   into a rolling "latest 8" table written as a new version per batch;
 * ST5 - each micro-batch of feedback is keyed, checked against the stored
   log (``left_anti``), appended, and the groups it touches are recomputed
-  into a new baseline version, which the next batch reads.
+  from value counts into a new baseline version, which the next batch reads.
 
 All state lives in files under the session's checkpoint directory (the
 cluster's shared folder), so a restarted query resumes from its own
@@ -30,7 +30,9 @@ from roadcast.operators import feedback as FB
 from roadcast.operators import forecast as FC
 from roadcast.operators.match import Baselines, prepare_baselines
 from roadcast.session import ensure_checkpoint_dir
+from roadcast.operators.sizing import materialize
 from roadcast.sources.sinks import append_feedback, children
+from roadcast.sources.store import BaselineStore
 
 REPLAY_COUNT = 15
 FEED_SIZE = 8
@@ -136,21 +138,22 @@ def feedback_stream(spark: SparkSession, log: DataFrame, clean: DataFrame,
         write_stream_source(log, src, "event_datetime")
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    first = "v-initial"  # sorts before the numbered versions
-    if "_SUCCESS" not in children(spark, os.path.join(base_dir, first)):
-        BL.all_grains(clean).write.mode("overwrite").parquet(os.path.join(base_dir, first))
+    store = BaselineStore(spark, base_dir)
+    if not store.numbers():
+        counts = materialize(BL.value_counts(clean), "value-counts")
+        store.publish(BL.grains_of(counts), counts, note="initial")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        # a log folder and a version per micro-batch: a batch that runs again is compared with the others and
-        # replaces its own
+        # a log folder and a version per micro-batch: a batch that runs again replaces its own log folder, and publishes
+        # only if it hadn't yet; it reads its own rows and the counts of the causes that they touch
+        before = store.read()
+        if store.manifest(before.number)["note"] == f"batch {batch_id}":
+            return
         added = append_feedback(spark, batch.drop("_day"), log_dir, str(batch_id))
-        before = [v for v in children(spark, base_dir) if v < f"v{batch_id:06d}"]
-        all_events = FB.feedback_events(spark.read.parquet(*[os.path.join(log_dir, p) for p in children(spark, log_dir)]))
-        old = spark.read.parquet(os.path.join(base_dir, before[-1]))
-        refreshed = FB.refresh_baseline(old, clean, all_events, touched_events=FB.feedback_events(added))
-        refreshed.write.mode("overwrite").parquet(os.path.join(base_dir, f"v{batch_id:06d}"))
+        grains, counts = FB.refresh_baseline(before.grains, before.state, FB.feedback_events(added))
+        store.publish(grains, counts, before, f"batch {batch_id}")
 
     q = (stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base_dir, children(spark, base_dir)[-1]))
+    return store.read().grains

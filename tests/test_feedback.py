@@ -85,7 +85,7 @@ def test_resubmission_refused(spark):
 def test_incremental_refresh_equals_full(spark, clean):
     log = spark.createDataFrame([base_row(1), base_row(2, duration="15")], LOG_SCHEMA)
     ev = FB.feedback_events(log)
-    inc = FB.refresh_baseline(BL.all_grains(clean), clean, ev)
+    inc, _ = FB.refresh_baseline(BL.all_grains(clean), BL.value_counts(clean), ev)
     full = BL.all_grains(FB.combined_history(clean, ev))
     cols = sorted(full.columns)
     key = lambda r: tuple(str(x) for x in r)
