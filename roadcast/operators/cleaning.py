@@ -86,9 +86,9 @@ def clean_incidents(raw: DataFrame) -> DataFrame:
                if dict(raw.dtypes).get("requires_road_closure") == "boolean"
                else X.truthy_text(F.col("requires_road_closure")))
     derived = {
-        "corridor": F.coalesce(X.null_if_token(F.col("corridor"), ("NULL",)), F.lit("Non-corridor")),
-        "zone": F.coalesce(X.null_if_token(F.col("zone"), ("NULL",)), F.lit("Unknown")),
-        "junction": F.coalesce(X.null_if_token(F.col("junction"), ("NULL",)), F.lit("Unknown")),
+        "corridor": F.coalesce(X.null_if_token(F.col("corridor")), F.lit("Non-corridor")),
+        "zone": F.coalesce(X.null_if_token(F.col("zone")), F.lit("Unknown")),
+        "junction": F.coalesce(X.null_if_token(F.col("junction")), F.lit("Unknown")),
         "requires_road_closure": closure,
         "has_duration": F.col("duration_minutes").isNotNull(),
         "hour_of_day": hour,

@@ -200,3 +200,52 @@ def severity_proxy(spark, sf_dir):
     c = ctx.clean(spark, sf_dir)
     return c.select("id", F.col("duration_minutes").isNotNull().alias("has_duration"),
                     X.severity_proxy(F.col("duration_minutes")).alias("severity_proxy"))
+
+
+# --- SC1: the log as CSV -------------------------------------------------------------------
+
+#: Planted in the written log: null tokens, times that aren't any, lines that break off.
+CSV_RAW = """
+select * replace (
+  case when id % 11 = 0 or corridor in ('NULL', 'null', '') then null else corridor end as corridor,
+  case when id % 13 = 0 then null else zone end as zone, case when id % 17 = 0 then null else junction end as junction,
+  case when id % 97 = 6 then null else start_datetime end as start_datetime)
+from raw0 where id % 250 <> 3"""
+CSV_CTES = [("raw0", B[0][1]), ("raw", CSV_RAW), *B[1:]]
+CSV_COLUMNS = ["event_type", "event_cause", "corridor", "priority", "requires_road_closure", "start_datetime", "zone", "junction",
+               "address", "has_duration", "hour_of_day", "day_of_week", "hour_bucket"]
+
+
+def _written_csv(spark, sf_dir):
+    """The raw incidents as a folder of CSV files, under other names and with planted faults."""
+    from roadcast.sources import feedback_files as FF
+    from roadcast.sources import incident_csv as IC
+    from roadcast.streaming.replay import scratch
+    raw = ctx.raw(spark, sf_dir)
+    number = F.col("id").cast("long")
+    planted = {"corridor": F.when(number % 11 == 0, F.lit("NULL")).otherwise(F.col("corridor")),
+               "zone": F.when(number % 13 == 0, F.lit("null")).otherwise(F.col("zone")),
+               "junction": F.when(number % 17 == 0, F.lit("")).otherwise(F.col("junction")),
+               "start_datetime": F.when(number % 97 == 6, F.lit("yesterday, about ten")).otherwise(F.col("start_datetime").cast("string"))}
+    names = {"id": "Event ID", "event_cause": "cause", "latitude": "lat", "longitude": "lon"}
+    texts = raw.select(*(planted.get(c, F.col(c).cast("string")).alias(names.get(c, c)) for c in IC.COLUMNS))
+    path = scratch(spark, "incident-csv")
+    texts.where("cast(`Event ID` as long) % 250 <> 3").write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/whole")
+    broken = raw.where(number % 250 == 3).select(F.col("id").cast("string").alias("id"), "event_type")
+    FF.write_with_header(broken, f"{path}/broken", ",".join(texts.columns))
+    return f"{path}/*"
+
+
+@register("csv_clean", W(CSV_CTES, f"select id, round(duration_minutes, 6) as duration_minutes, {', '.join(CSV_COLUMNS)} from clean"))
+def csv_clean(spark, sf_dir):
+    """SC1/CL1/CL8: the log written as CSV with null tokens, bad times and broken lines, read back and cleaned."""
+    from roadcast.sources import incident_csv as IC
+    rows = cleaning.clean_incidents(IC.read_incidents(spark, _written_csv(spark, sf_dir)))
+    return rows.select(F.col("id").cast("long").alias("id"), F.round("duration_minutes", 6).alias("duration_minutes"), *CSV_COLUMNS)
+
+
+@register("csv_rejects", W(B[:1], "select id::varchar as id, id::varchar || ',' || event_type as line, 2 as fields from raw where id % 250 = 3"))
+def csv_rejects(spark, sf_dir):
+    """SC1: lines of that log which don't have the header's number of fields."""
+    from roadcast.sources import incident_csv as IC
+    return IC.read_rejects(spark, _written_csv(spark, sf_dir))
