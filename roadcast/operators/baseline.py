@@ -71,7 +71,8 @@ def add_counts(*sources: DataFrame) -> DataFrame:
 
 def minute_histogram(source: DataFrame) -> DataFrame:
     """(KEYS, _m, priority, _closure, _c, _c_id, _us): pass 1, a plain aggregate of one scan."""
-    micros = F.round(F.col("_dur") * F.lit(float(_MINUTE))).cast("decimal(38,0)") * F.col("_c")
+    # microseconds past the whole minute: a long holds the sum of some 1.5e11 rows of one minute
+    micros = (F.round(F.col("_dur") * F.lit(float(_MINUTE))).cast("long") - F.floor("_dur") * F.lit(_MINUTE)) * F.col("_c")
     return source.groupBy(*KEYS, F.floor("_dur").alias("_m"), "priority", "_closure").agg(
         F.sum("_c").alias("_c"), F.sum("_c_id").alias("_c_id"), F.sum(micros).alias("_us"))
 
@@ -80,7 +81,10 @@ def _groups(hist: DataFrame, grain: str) -> DataFrame:
     """``hist`` summed to a grain; keys that the grain leaves out are null, null keys form no group."""
     own = GRAINS[grain]
     rows = hist.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in own]))
-    rows = rows.groupBy(*own, "_m", "priority", "_closure").agg(*(F.sum(c).alias(c) for c in ("_c", "_c_id", "_us")))
+    whole = F.col("_m").cast("decimal(18,0)") * F.lit(_MINUTE) * F.col("_c").cast("decimal(18,0)")
+    rows = rows.withColumn("_us", (F.col("_us") + whole).cast("decimal(38,0)"))
+    if own != KEYS:  # the histogram is of the finest grain
+        rows = rows.groupBy(*own, "_m", "priority", "_closure").agg(*(F.sum(c).alias(c) for c in ("_c", "_c_id")), F.sum("_us").cast("decimal(38,0)").alias("_us"))
     return rows.select(F.lit(grain).alias("grain"), *(F.col(k) if k in own else F.lit(None).cast(KEY_TYPES[k]).alias(k) for k in KEYS),
                        "_m", "priority", "_closure", "_c", "_c_id", "_us")
 
