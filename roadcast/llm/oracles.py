@@ -103,7 +103,7 @@ FROM b
 
 
 def _secret_sql() -> str:
-    from roadcast.llm.secret_scan import BASE_KINDS, KINDS, LIVE_OWNERS, OPAQUE_NEEDS, PLACEHOLDER
+    from roadcast.llm.secret_scan import BASE_KINDS, KINDS, LIVE_OWNERS, LIVE_REPOSITORIES, OPAQUE_NEEDS, PLACEHOLDER
 
     def quoted(s: str) -> str:
         return s.replace("'", "''")
@@ -129,8 +129,8 @@ WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, coalesce(source, 'null') AS owner,
          concat_ws('/', source, lang) AS repo FROM documents),
 m AS ({" UNION ALL ".join(matches(k) for k in KINDS)}),
-o AS (SELECT val, count(DISTINCT owner) AS owners FROM m GROUP BY val),
-c AS (SELECT m.*, owners <= {LIVE_OWNERS} AND NOT regexp_matches(m.val, '{quoted(PLACEHOLDER)}') AS live FROM m JOIN o USING (val)),
+o AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT owner || chr(0) || repo) AS repositories FROM m GROUP BY val),
+c AS (SELECT m.*, owners <= {LIVE_OWNERS} AND repositories <= {LIVE_REPOSITORIES} AND NOT regexp_matches(m.val, '{quoted(PLACEHOLDER)}') AS live FROM m JOIN o USING (val)),
 g AS (
   SELECT id, {counts}, string_agg({text}) FILTER (kind IN ({names})) AS base, string_agg({text}) FILTER (kind IN ({names}) OR live) AS spans,
          count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM c GROUP BY id)
