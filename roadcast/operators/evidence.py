@@ -8,8 +8,8 @@ of the history. Instead the history is reduced once to
   ``row_number() <= K`` plans as a partial ``WindowGroupLimit`` before the
   shuffle, so each task ships at most K rows per group,
 
-and the incoming incidents join those small tables (broadcast behind a row
-count). Fine matches use the (corridor, cause) tables; every other tier
+and the incoming incidents join those small tables (each written, and
+broadcast or not by its bytes). Fine matches use the (corridor, cause) tables; every other tier
 uses the cause tables.
 """
 

@@ -7,9 +7,8 @@ when the budget is exhausted, the walk has a closed form:
     allocated_i = least(requested_i, greatest(0, budget - sum(requested_j, j ranked before i)))
 
 so allocation is a ranked exclusive running sum followed by a projection.
-The running sum uses one window per queue while every queue is bounded, and
-:func:`two_level_rank` (balanced even for one enormous queue) otherwise. Budgets come from a per-queue table (broadcast: one row per
-queue) or a constant.
+The running sum is that of :func:`roadcast.operators.ranking.rank_rows`, balanced even for one enormous queue. Budgets come
+from a per-queue table (one row per queue) or a constant.
 """
 
 from __future__ import annotations
