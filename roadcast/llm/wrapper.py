@@ -25,7 +25,9 @@ are left out. Else blocks that mostly consist of links are left out as menus.
 
 Cases: null and empty html has an empty text; a null or unreadable url gives a
 page without host, which is read without a wrapper; cut-off and badly nested
-pages are read as far as they go; a host of few pages, or one where the
+pages are read as far as they go; blocks nested deeper than DEPTH blocks are
+aligned as if they stood at that depth, with all their texts (browsers do so,
+too, from some depth on); a host of few pages, or one where the
 constant slots make up most of the page (copies of one article), keeps all
 slots; repeated rows give a row each; an empty table gives an empty result;
 further columns are ignored.
@@ -37,6 +39,7 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,12 +76,14 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 #: A name that starts so tells what a page or an article has or lacks; it isn't the name of the thing.
 _TELLS = re.compile(r"(?i)(?:no|has|have|with|without|hide|show|is|not)[-_]|(?:no|has|with|without|hide|show|is)(?=[A-Z])")
+_ANY_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)[^>]*>")
 _MARKED = re.compile(r"""(?i)<(?:article|main)[\s>]|\srole\s*=\s*["']?(?:main|article)\b|\sitemprop\s*=\s*["']?articlebody\b""")
 _NO_TEXT = re.compile(r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+")
 
 MIN_PAGES, MOST_PAGES, MOST_TEXT = 6, 0.5, 0.3
 CELLS = 60_000
 NODES = 200_000
+DEPTH = 100
 PARTS = 64
 TEXTS = 4
 BROADCAST_BYTES = 8 << 20
@@ -114,29 +119,49 @@ def _judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool
     return False, article, by_name
 
 
-def _holds_the_text(page: str, start: int, end: int, size: int, inside_article: bool) -> bool:
-    """Whether page[start:end] has the only marked article of the page or most of its text, which has ``size`` characters."""
-    if _MARKED.search(page, 0, start) or _MARKED.search(page, end):
-        if not inside_article:  # what is outside the article is left out anyway
-            return False
-    elif _MARKED.search(page, start, end):
-        return True
-    return 2 * len(_NO_TEXT.sub("", page[start:end])) > size
-
-
-def _end_of(page: str, tag: str, at: int) -> int | None:
-    """Where the element of ``tag`` that was opened before ``at`` closes; the end of the page if nothing closes it, None where a later tag may."""
-    level = 1
-    for found in _tag_pattern(tag).finditer(page, at):
-        level += -1 if found[1] else 1
-        if not level:
-            return found.end()
-    return None if tag == "p" or tag in CLOSED_BY else len(page)
-
-
-@lru_cache(256)
-def _tag_pattern(tag: str) -> re.Pattern:
-    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+class Extents:
+    """Where a page's elements end, where its text is and where articles are marked; found in one pass over the page each."""
+
+    def __init__(self, page: str):
+        self.ends: dict[int, int] = {}
+        opened: dict[str, list[int]] = {}
+        for found in _ANY_TAG.finditer(page):
+            tag = found[2].lower()
+            if not found[1]:
+                opened.setdefault(tag, []).append(found.start())
+            elif opened.get(tag):
+                self.ends[opened[tag].pop()] = found.end()
+        self.n, self._page, self._removed = len(page), page, None
+        self._marked = [found.span() for found in _MARKED.finditer(page)]
+
+    def _measure(self) -> None:
+        starts, after, removed, total = [0], [0], [0], 0
+        for found in _NO_TEXT.finditer(self._page):
+            total += found.end() - found.start()
+            starts.append(found.start())
+            after.append(found.end())
+            removed.append(total)
+        self._starts, self._after, self._removed, self._size = starts, after, removed, self.n - total
+
+    def _text_before(self, at: int) -> int:
+        k = bisect_right(self._starts, at) - 1
+        return at - self._removed[k] + max(0, self._after[k] - at)
+
+    def end_of(self, tag: str, start: int) -> int | None:
+        """Where the element opened at ``start`` closes; the end of the page if nothing closes it, None where a later tag may."""
+        return self.ends.get(start, None if tag == "p" or tag in CLOSED_BY else self.n)
+
+    def holds_the_text(self, start: int, end: int, inside_article: bool) -> bool:
+        """Whether page[start:end] has the only marked article of the page or most of its text."""
+        marked = self._marked
+        if marked and (marked[0][1] <= start or marked[-1][0] >= end):
+            if not inside_article:  # what is outside the article is left out anyway
+                return False
+        elif marked and bisect_left(marked, (start, 0)) < bisect_left(marked, (end, 0)):
+            return True
+        if self._removed is None:
+            self._measure()
+        return 2 * (self._text_before(end) - self._text_before(start)) > self._size
 
 
 def parse(page: str) -> Element:
@@ -144,7 +169,17 @@ def parse(page: str) -> Element:
     root = Element("html")
     stack, at, n = [root], 0, len(page)
     hidden = depth = 0
-    size = None
+    open_tags: dict[str, int] = {}
+    extents = None
+
+    def close(k: int) -> None:
+        nonlocal hidden, depth
+        for e in stack[k:]:
+            open_tags[e.tag] -= 1
+            hidden -= e.dropped
+            depth -= e.article
+        del stack[k:]
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -168,56 +203,53 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and tag not in SCOPE and tag not in BLOCK:
                     break
-            hidden = sum(e.dropped for e in stack)
-            depth = sum(e.article for e in stack)
             continue
         if tag in ("html", "body"):
             continue
-        closing = CLOSED_BY.get(tag)
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = stack[k].tag
-            if (closing and open_tag in closing) or (tag in CLOSES_P and open_tag == "p"):
-                del stack[k:]
-                hidden, depth = sum(e.dropped for e in stack), sum(e.article for e in stack)
+        closing = CLOSED_BY.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
+        for k in range(len(stack) - 1, 0, -1) if any(open_tags.get(t) for t in closing) else ():
+            if stack[k].tag in closing:
+                close(k)
                 break
-            if open_tag in SCOPE:
+            if stack[k].tag in SCOPE:
                 break
         dropped, article, by_name = _judged(tag, m[3], depth > 0)
-        if by_name and not hidden and not article and tag not in VOID:
-            if size is None:
-                size = len(_NO_TEXT.sub("", page))
-            end = _end_of(page, tag, at)
-            dropped = end is None or not _holds_the_text(page, at, end, size, depth > 0)
+        by_name &= not hidden and not article and tag not in VOID
+        if extents is None and (by_name or dropped and not hidden):
+            extents = Extents(page)
+        if by_name:
+            end = extents.end_of(tag, lt)
+            dropped = end is None or not extents.holds_the_text(at, end, depth > 0)
         element = Element(tag, dropped, article)
         if not hidden and not dropped:
             stack[-1].children.append(element)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = page.find(">", end.start()) + 1 if end and page.find(">", end.start()) >= 0 else n
             continue
-        if dropped and not hidden:  # what is dropped as a whole need not be read, if it is closed
-            level = 1
-            for found in _tag_pattern(tag).finditer(page, at):
-                level += -1 if found[1] else 1
-                if not level:
-                    break
-            if not level:
-                at = found.end()
-                continue
+        if dropped and not hidden and extents.ends.get(lt, 0) > at:  # what is dropped as a whole need not be read, if it is closed
+            at = extents.ends[lt]
+            continue
         stack.append(element)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         hidden += dropped
         depth += article
     return root
 
 
+@lru_cache(32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}[\s/>]", re.I)
+
+
 def _roots(tree: Element) -> tuple[list[Element], bool]:
     """Outermost marked articles, or the whole tree."""
     found, todo = [], [tree]
@@ -271,7 +303,7 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], bool]:
                     buffer.append(" ")
                     continue
                 is_block = e.tag in BLOCK or e is root
-                inner = (*path, e.tag) if is_block else path
+                inner = (*path, e.tag) if is_block and len(path) < DEPTH else path
                 if is_block:
                     flush(path)
                     todo.append(("flush", None, inner, False))

@@ -1,7 +1,9 @@
 """Legacy archives (op1) and main text (op2)."""
 
 import hashlib
+import json
 import random
+import time
 
 import pytest
 
@@ -83,6 +85,25 @@ def test_comments_marked_as_articles_and_open_adverts_stay_out():
     assert W.main_text("<p class='ad'>buy<p>text") == "text"
 
 
+@pytest.mark.parametrize("advert", ['<div class="ad">x</div>', '<div class="ad">x', '<p class="ad">y<i>z', "<b>"])
+def test_pages_of_many_elements_take_linear_time(advert):
+    start = time.perf_counter()
+    assert W.main_text(advert * 20_000 + "<article><p>story</p></article>") == "story"
+    assert time.perf_counter() - start < 20  # quadratic: minutes
+
+
+def test_deep_pages_are_read_and_aligned_whole():
+    page = "<div>" * 5_000 + "deep <p>word</p>" + "</div>" * 5_000 + "<p>after</p>"
+    assert W.main_text(page) == "deep\nword\nafter"
+    one, other = (W.as_wrapper(W.blocks(p)[0]) for p in (page, page + "<p>more</p>"))
+    both = json.loads(json.dumps(W.merge(one, other)))
+    assert len(W._slots(both)) == 4 and both[1] == 2
+    many = one
+    for _ in range(7):
+        many = W.merge(many, one)
+    assert W.template_slots(one, W.constant_part(many, 8)) == {0, 1, 2}
+
+
 def test_simple_tree_matching_counts_agreeing_nodes():
     a = W.as_wrapper([(("div", "p"), "x", 0), (("div", "h1"), "y", 0)])
     b = W.as_wrapper([(("div", "p"), "z", 0), (("div", "p"), "x", 0), (("div", "h1"), "y", 0)])
