@@ -10,6 +10,7 @@ from roadcast.plans import oracle as O
 from roadcast.plans.q_deploy import BARRICADE, PERSONNEL, REC_CTES
 from roadcast.plans.q_feedback import REFRESH_CTES
 from roadcast.plans.registry import register
+from roadcast.streaming import ordered as OR
 from roadcast.streaming import replay as RP
 
 W = O.with_ctes
@@ -66,6 +67,20 @@ def replay_stream(spark, sf_dir):
     return scored
 
 
+@register("replay_ordered", W(REC_CTES, """
+select incident_id, planned_start, severity_tier, recommended_personnel_count,
+  (rank() over (order by planned_start) - 1)::bigint as earlier,
+  greatest(0.0::double, (epoch_us(planned_start) - epoch_us(lag(planned_start) over (order by planned_start, incident_id)))::double
+    / 3600000000.0::double) as gap_hours
+from rec where planned_start is not null"""))
+def replay_ordered(spark, sf_dir):
+    """ST2/ST4: all incidents streamed out of order; event-time state gives each its place and the gap before it."""
+    scored = RP.score_incidents(ctx.incoming(spark, sf_dir), ctx.baselines(spark, sf_dir))
+    times = OR.ordered_times(spark, ctx.incoming(spark, sf_dir), RP.scratch(spark, "ordered"))
+    return OR.in_time_order(scored, times).select("incident_id", "planned_start", "severity_tier", "recommended_personnel_count",
+                                                  "earlier", "gap_hours")
+
+
 @register("feedback_stream", W(REFRESH_CTES, f"""
 select {O.BASELINE_SELECT} from r_bl_fine union all select {O.BASELINE_SELECT} from r_bl_coarse"""))
 def feedback_stream(spark, sf_dir):
