@@ -22,6 +22,7 @@ import datetime as dt
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadcast.sources.sinks import children
 
-BUCKET = 60
+BUCKET = 900
 DAY_US = 86_400_000_000
 SOURCE = "incident_id long, planned_start timestamp"
 TIMES = "bucket long, t long, previous long, n long, first_id long, earlier long"
@@ -44,18 +45,21 @@ def land(incoming: DataFrame, path: str, files: int = 16) -> None:
 
 def _held(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Adds a stretch's new rows to its state, or gives its times in order when its timer fires."""
-    columns = ["t", "n", "first_id"]
-    known = pd.DataFrame(dict(zip(columns, state.get)) if state.exists else {c: [] for c in columns}, dtype="int64")
+    t, n, first = (np.array(c, dtype=np.int64) for c in (state.get if state.exists else ([], [], [])))
     if state.hasTimedOut:
         state.remove()
-        known = known.sort_values("t")
-        yield known.assign(bucket=int(key[0]), previous=known["t"].shift().astype("Int64"), earlier=known["n"].cumsum() - known["n"])[
-            ["bucket", "t", "previous", "n", "first_id", "earlier"]]
+        previous = pd.array(np.r_[0, t[:-1]], dtype="Int64")
+        previous[0] = pd.NA
+        yield pd.DataFrame({"bucket": int(key[0]), "t": t, "previous": previous, "n": n, "first_id": first, "earlier": np.cumsum(n) - n})
         return
     for f in frames:
-        known = pd.concat([known, pd.DataFrame({"t": f["t"], "n": 1, "first_id": f["incident_id"]})])
-        known = known.groupby("t", as_index=False).agg(n=("n", "sum"), first_id=("first_id", "min"))
-    state.update(tuple(known[c].tolist() for c in columns))
+        t, n = np.r_[t, f["t"].to_numpy()], np.r_[n, np.ones(len(f), dtype=np.int64)]
+        first = np.r_[first, f["incident_id"].to_numpy(dtype=np.int64)]
+        order = np.lexsort((first, t))
+        t, n, first = t[order], n[order], first[order]
+        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        t, n, first = t[starts], np.add.reduceat(n, starts), first[starts]
+    state.update((t.tolist(), n.tolist(), first.tolist()))
     state.setTimeoutTimestamp((int(key[0]) + 1) * BUCKET * 1000)
 
 
