@@ -145,19 +145,31 @@ def refresh_delta(spark, sf_dir):
     return a.join(b, "incident_id", "full")
 
 
-@register("feedback_mixed_layout", W(FB_CTES, """
+#: Of the log, every fifth row is written in the old layout: no status, no verifier, no priority, the entry's time as event time.
+OLD_LAYOUT = """
+select * replace (
+  case when log_seq % 5 = 0 then logged_at else event_datetime end as event_datetime,
+  case when log_seq % 5 = 0 then null else priority end as priority, case when log_seq % 5 = 0 then null else verified_by end as verified_by,
+  case when log_seq % 5 = 0 then null else verification_status end as verification_status)
+from feedback0"""
+MIXED_CTES = [*O.BASE_CTES, ("feedback0", O.FEEDBACK), ("feedback", OLD_LAYOUT), ("fb_norm", FB_NORM)]
+
+
+@register("feedback_mixed_layout", W(MIXED_CTES, """
 select event_datetime, event_cause, corridor, actual_duration_minutes, actual_requires_road_closure, priority,
   verified_by, verification_status from fb_norm"""))
 def feedback_mixed_layout(spark, sf_dir):
-    """SC7: the log written as text under an older header, recovered line by line."""
+    """SC6/SC7: the log as text in two layouts, the current one also below the older one's header, recovered line by line."""
     from roadcast.sources import feedback_files as FF
     from roadcast.streaming.replay import scratch
     log = ctx.feedback(spark, sf_dir)
-    rows = log.select(F.col("logged_at").alias("timestamp"), "event_datetime", "event_cause", "corridor",
+    rows = log.select("log_seq", F.col("logged_at").alias("timestamp"), "event_datetime", "event_cause", "corridor",
                       "actual_duration_minutes", "actual_requires_road_closure", "priority", "verified_by",
                       "verification_status")
     path = scratch(spark, "feedback-text")
-    FF.write_with_header(rows, path, FF.OLD_HEADER)
-    back = FB.normalise(FF.read_feedback_text(spark, path))
+    FF.write_with_header(rows.where("log_seq % 5 <> 0").drop("log_seq"), f"{path}/appended", FF.OLD_HEADER)
+    old = rows.where("log_seq % 5 = 0").withColumnRenamed("actual_requires_road_closure", "requires_road_closure")
+    FF.write_with_header(old.select(*FF.OLD_HEADER.split(",")), f"{path}/old", FF.OLD_HEADER)
+    back = FB.normalise(FF.read_feedback_text(spark, f"{path}/*"))
     return back.select("event_datetime", "event_cause", "corridor", "actual_duration_minutes",
                        "actual_requires_road_closure", "priority", "verified_by", "verification_status")
