@@ -51,7 +51,7 @@ def boundaries(df: DataFrame, first: str, second: str, bucket: Column, shares: l
     value = materialize(_holding(values, [*s, "i"], "_1"), "cut-values").withColumnsRenamed({c: f"t{c}" for c in [*s, "_1"]})
     tied = keys.join(F.broadcast(value.drop("n")), _same(keys, value, [(c, f"t{c}") for c in [*s, "_1"]])).select(*s, "i", "k", "_1", "_2")
     if (value.agg(F.max("n")).first()[0] or 0) > TIES:
-        tied = rank_rows(tied, [*s, "i"], [F.col("_2").asc()], rank_col="_at")
+        tied = rank_rows(tied, [*s, "i"], ["_2"], rank_col="_at")
     else:
         tied = tied.withColumn("_at", F.row_number().over(Window.partitionBy(*s, "i").orderBy("_2")))
     found = tied.where(F.col("_at") == F.col("k"))

@@ -44,7 +44,7 @@ def chrono_split(df: DataFrame, folds: list[tuple[str, float]], last: str,
 
 def split_positions(df: DataFrame, time_col: str = "start_datetime") -> DataFrame:
     """(id, split_pos): the rank by (time, id) that the cuts stand for."""
-    return rank_rows(df.select("id", time_col), [], [F.col(time_col).asc(), F.col("id").asc()], rank_col="split_pos").select("id", "split_pos")
+    return rank_rows(df.select("id", time_col), [], [time_col, "id"], rank_col="split_pos").select("id", "split_pos")
 
 
 def split_80_20(clean: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def binary_metrics(scored: DataFrame, threshold: Column) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """VA14: step-wise average precision, tied scores grouped."""
     hist = scored.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    r = rank_rows(hist, [], [F.col("score").desc()], ["pos", "neg"], rank_col="_k")
+    r = rank_rows(hist, [], ["score desc"], ["pos", "neg"], rank_col="_k")
     r = r.withColumns({"ctp": F.col("before_pos") + F.col("pos"), "cfp": F.col("before_neg") + F.col("neg")})
     terms = r.select((F.col("pos").cast("double") * (F.col("ctp") / (F.col("ctp") + F.col("cfp")))).alias("t"),
                      "pos")

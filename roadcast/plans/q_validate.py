@@ -218,6 +218,14 @@ def binary_metrics(spark, sf_dir):
     return VA.binary_metrics(test, F.col("_t"))
 
 
+@register("zero_baseline", W(RATE_CTES, BINARY_SQL.replace(
+    "from scored s, best b", "from (select 0.0::double as score, y, fold from scored) s, (select 1.0::double as t) b")))
+def zero_baseline(spark, sf_dir):
+    """VA10: test-fold metrics of never expecting a closure, which a useful model must beat."""
+    test = _scored(spark, sf_dir).where(F.col("fold") == "test")
+    return VA.binary_metrics(test.withColumn("score", F.lit(0.0)), F.lit(1.0))
+
+
 @register("average_precision", W(RATE_CTES, f"""
 select {O.rnd('sum(pos * ctp::double / (ctp + cfp)) / sum(pos)', 6)} as average_precision, sum(pos) as positives
 from (select score, pos, sum(pos) over (order by score desc) as ctp, sum(neg) over (order by score desc) as cfp

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from roadcast.functions import expressions as X
 from roadcast.operators import deploy as DP
 from roadcast.operators.median import grouped_exact_median
+from roadcast.operators import ranking as R
 from roadcast.operators.ranking import rank_rows, window_rank
+from roadcast.operators.sizing import materialize
 
 
 def one(spark, expr, value, dtype):
@@ -81,6 +83,23 @@ def test_rank_rows_equals_window(spark, ranges):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_number_of_ranges_follows_rows_and_bytes(spark, monkeypatch):
+    """A queue above one range equals the window, other columns included; only the narrow part is sorted into ranges."""
+    df = spark.createDataFrame([("big" if i % 3 else None, i % 11, i, i % 5, "payload" * 20) for i in range(900)],
+                               "q string, score int, idx long, req int, note string")
+    order = ["score desc", "idx"]
+    df = materialize(df, "rows")
+    assert R.ranges_for(df, 900) == 1
+    monkeypatch.setattr(R, "RANGE_ROWS", 100)
+    assert R.ranges_for(df, 900) == 9
+    written = []
+    monkeypatch.setattr(R, "materialize", lambda d, name: written.append((name, d.columns)) or materialize(d, name))
+    got = rank_rows(df, ["q"], order, ["req"]).collect()
+    want = window_rank(df, ["q"], order, ["req"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 900
+    assert dict(written)["ranges"] == ["q", "score", "idx", "req", "_row", "_rp"]
+
+
 def test_extract_vms(spark):
     text = "Traffic Advisory\n\nVMS SIGNBOARD MESSAGE:\n[ DIVERSION: MG ROAD CLOSED ]\n\nmore"
     df = spark.createDataFrame([(text,), ("no message here",)], "t string")
