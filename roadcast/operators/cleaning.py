@@ -7,7 +7,7 @@ kept and dropped outputs are two filters over the same projection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadcast import config as C
@@ -167,3 +167,19 @@ def dq_null_profile(clean: DataFrame, columns=None) -> DataFrame:
     stacked = a.select("_n", F.expr(f"stack({len(columns)}, {', '.join(parts)}) as (column_name, present, null_count)"))
     return stacked.select("column_name", "present", "null_count",
                           F.round(F.col("null_count") * 100.0 / F.col("_n"), 2).alias("null_pct"))
+
+
+def domain_values(clean: DataFrame) -> DataFrame:
+    """DQ7: (domain, position, value), the values offered for cause, corridor and priority, from one scan.
+
+    Unknown is offered for corridor and priority whether or not it occurs. The order is that of the values, after High,
+    Low and Unknown as far as they are there.
+    """
+    named = F.explode(F.array(*(F.struct(F.lit(c).alias("domain"), F.col(c).alias("value")) for c in ("event_cause", "corridor", "priority"))))
+    met = clean.select(named.alias("v")).select("v.*").where("value IS NOT NULL AND NOT (domain = 'corridor' AND value = 'Non-corridor')").distinct()
+    offered = clean.sparkSession.createDataFrame([("corridor", "Unknown"), ("priority", "Unknown")], "domain string, value string")
+    values = met.where("NOT (domain <> 'event_cause' AND value = 'Unknown')").unionByName(offered)
+    tier = (F.when((F.col("domain") == "priority") & (F.col("value") == "High"), -3).when((F.col("domain") == "priority") & (F.col("value") == "Low"), -2)
+            .when((F.col("domain") != "event_cause") & (F.col("value") == "Unknown"), -1).otherwise(0))
+    w = Window.partitionBy("domain").orderBy(tier, "value")  # distinct values only
+    return values.select("domain", F.row_number().over(w).alias("position"), "value")

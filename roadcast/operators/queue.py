@@ -23,10 +23,9 @@ from roadcast.operators.sizing import materialize
 
 
 
-def order_cols() -> list[Column]:
+def order_cols() -> list[str]:
     """Score, severity, closure, evidence descending; input order ascending."""
-    return [F.col("priority_score").desc(), F.col("_sev").desc(), F.col("_closure").desc(),
-            F.col("evidence_count").desc(), F.col("input_index").asc()]
+    return ["priority_score desc", "_sev desc", "_closure desc", "evidence_count desc", "input_index"]
 
 
 def queue_input(rec: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def allocate(q: DataFrame, budgets: DataFrame | None = None,
                        F.when(F.col("barricades_allocated") < F.col("barricades_requested"), F.format_string(
                            "only %d of %d requested barricades available", F.col("barricades_allocated"),
                            F.col("barricades_requested"))))
-    event_id = F.coalesce(F.col("event_id").cast("string"), F.format_string("incident-%d", F.col("rank")))
+    event_id = F.coalesce(_text(r, "event_id"), _text(r, "id"), _text(r, "label"), F.format_string("incident-%d", F.col("rank")))
     conf_short = F.lower(F.trim(F.split(F.coalesce(F.col("confidence_label"), F.lit("unknown confidence")),
                                         "—", 2).getItem(0)))
     rationale = F.concat(
@@ -140,11 +139,16 @@ def allocate(q: DataFrame, budgets: DataFrame | None = None,
         "risk_flag": F.when(covered, F.lit("")).otherwise(
             F.concat(F.lit("UNCOVERED RISK: "), gaps, F.lit(" — escalate or request mutual aid."))),
         "event_id": event_id,
-        "description": F.coalesce(F.col("description"), event_id),
+        "description": F.coalesce(_text(r, "description"), _text(r, "label"), event_id),
         "queue_rationale": rationale,
     })
 
 
+def _text(df: DataFrame, name: str) -> Column:
+    """A column as text; null where it is empty or the table has none of that name."""
+    return F.nullif(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+
+
 def summary(alloc: DataFrame) -> DataFrame:
     """QU9: requested / allocated / remaining, covered and at-risk counts per queue."""
     return alloc.groupBy("queue_id").agg(

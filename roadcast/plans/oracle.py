@@ -15,7 +15,7 @@ select event_id as id,
   case when event_id % 2500 = 6 then 'vip_movement' when event_id % 500 = 11 then 'protest' else event_type end as event_cause,
   case when user_id % 16 = 0 then null else concat('corridor_', cast(user_id % 16 as varchar)) end as corridor,
   case when k % 3 = 0 then 'Low' else 'High' end as priority,
-  (k % 13 = 0) as requires_road_closure,
+  (k % 13 = 0 or event_id % 500 = 11) as requires_road_closure,
   case when event_id % 97 = 5 then null else ts end as start_datetime,
   case when event_id % 5 = 0 then ts + to_seconds(secs) end as closed_datetime,
   case when event_id % 5 = 1 then ts + to_seconds(secs) end as resolved_datetime,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from roadcast.functions import expressions as X
@@ -176,20 +178,17 @@ def top_corridors(spark, sf_dir):
             .orderBy(F.desc("events"), F.asc("corridor")).limit(5))
 
 
-@register("domain_values", W(B, """
-select 'event_cause' as domain, event_cause as value from (select distinct event_cause from clean where event_cause is not null)
-union all select 'corridor', corridor from (select distinct corridor from clean where corridor is not null and corridor <> 'Non-corridor')
-union all select 'priority', priority from (select distinct coalesce(priority, 'Unknown') as priority from clean)"""))
+@register("domain_values", W([*B, ("d", """
+  select 'event_cause' as domain, event_cause as value, 0 as tier from (select distinct event_cause from clean where event_cause is not null)
+  union all select 'corridor', corridor, 0 from (select distinct corridor from clean where corridor is not null and corridor <> 'Non-corridor')
+  union all select 'corridor', 'Unknown', -1
+  union all select 'priority', priority, case priority when 'High' then -3 when 'Low' then -2 else 0 end
+    from (select distinct priority from clean where priority is not null and priority <> 'Unknown')
+  union all select 'priority', 'Unknown', -1""")], """
+select domain, (row_number() over (partition by domain order by tier, value))::int as position, value from d"""))
 def domain_values(spark, sf_dir):
-    """DQ7: distinct causes, corridors (without Non-corridor), priorities."""
-    c = ctx.clean(spark, sf_dir)
-    causes = c.where(F.col("event_cause").isNotNull()).select(
-        F.lit("event_cause").alias("domain"), F.col("event_cause").alias("value")).distinct()
-    corr = c.where(F.col("corridor").isNotNull() & (F.col("corridor") != "Non-corridor")).select(
-        F.lit("corridor").alias("domain"), F.col("corridor").alias("value")).distinct()
-    prio = c.select(F.lit("priority").alias("domain"),
-                    F.coalesce("priority", F.lit("Unknown")).alias("value")).distinct()
-    return causes.unionByName(corr).unionByName(prio)
+    """DQ7: causes, corridors (Unknown first, without Non-corridor) and priorities (High, Low, Unknown, others) as offered, in order."""
+    return cleaning.domain_values(ctx.clean(spark, sf_dir))
 
 
 @register("severity_proxy", W(B, f"""
@@ -202,6 +201,51 @@ def severity_proxy(spark, sf_dir):
                     X.severity_proxy(F.col("duration_minutes")).alias("severity_proxy"))
 
 
+# --- SC2, SC3: the cleaned log, stored by start date -----------------------------------------
+
+STORED = """id, event_cause, corridor, priority, requires_road_closure, round(duration_minutes, 6) as duration_minutes, has_duration,
+  hour_of_day, hour_bucket, start_date"""
+DATED = [*B, ("dated", "select *, start_datetime_ist::date as start_date from clean"),
+         ("busiest", "select start_date from dated where start_date is not null group by start_date order by count(*) desc, start_date limit 3")]
+
+
+def stored_clean(spark, sf_dir):
+    """Path of the cleaned log, written by start date."""
+    from roadcast.sources import sinks
+    from roadcast.streaming.replay import scratch
+    path = scratch(spark, "clean-log")
+    sinks.write_clean(ctx.clean(spark, sf_dir), path)
+    return path
+
+
+def _stored_columns(rows):
+    return rows.select("id", "event_cause", "corridor", "priority", "requires_road_closure", F.round("duration_minutes", 6).alias("duration_minutes"),
+                       "has_duration", "hour_of_day", "hour_bucket", "start_date")
+
+
+@register("stored_date_range", W(DATED, f"""
+select {STORED} from dated where start_date between (select min(start_date) + 3 from dated) and (select min(start_date) + 12 from dated)"""))
+def stored_date_range(spark, sf_dir):
+    """SC2/SC3: ten days, from the fourth on, of the stored log; the scan lists their folders only."""
+    from roadcast.sources import sinks
+    path = stored_clean(spark, sf_dir)
+    start = spark.read.parquet(path).agg(F.min("start_date")).first()[0]
+    if start is None:
+        return _stored_columns(sinks.read_clean(spark, path).limit(0))
+    day = lambda n: (start + datetime.timedelta(days=n)).isoformat()
+    return _stored_columns(sinks.read_clean(spark, path, day(3), day(12)))
+
+
+@register("stored_busiest_days", W(DATED, f"select {STORED} from dated where start_date in (select start_date from busiest)"))
+def stored_busiest_days(spark, sf_dir):
+    """SC2/SC3: incidents of the three busiest dates; the join prunes the folders at run time."""
+    from roadcast.sources import sinks
+    path = stored_clean(spark, sf_dir)
+    days = spark.read.parquet(path).where("start_date IS NOT NULL").groupBy("start_date").agg(F.count(F.lit(1)).alias("n"))
+    days = days.orderBy(F.desc("n"), "start_date").limit(3)
+    return _stored_columns(sinks.read_clean(spark, path, dates=days))
+
+
 # --- SC1: the log as CSV -------------------------------------------------------------------
 
 #: Planted in the written log: null tokens, times that aren't any, lines that break off.

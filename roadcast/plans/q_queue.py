@@ -114,12 +114,47 @@ def queue_summary(spark, sf_dir):
     return QU.summary(_alloc(spark, sf_dir))
 
 
-@register("queue_rejects", W(Q_CTES, """
-select queue_id, input_index, event_id, officers_requested, barricades_requested, evidence_count
-from qin where officers_requested < 0 or barricades_requested < 0 or evidence_count < 0"""))
+#: What a queue may hold that no forecast gives: bad counts, and rows without an id or a description of their own.
+PLANTED = """
+select * replace (
+  case when input_index % 50 = 7 then '-2' when input_index % 50 = 8 then 'many' else officers_requested::varchar end as officers_requested,
+  case when input_index % 50 = 9 then null else barricades_requested end as barricades_requested,
+  case when input_index % 50 = 10 then -3 else evidence_count end as evidence_count,
+  case when input_index % 4 = 0 then '' when input_index % 4 = 1 then null else event_id end as event_id,
+  case when input_index % 3 = 0 then '' when input_index % 3 = 1 then null else description end as description),
+  case when input_index % 8 = 0 then 'own-' || input_index end as id, case when input_index % 5 = 0 then 'Label ' || input_index when input_index % 5 = 1 then '' end as label
+from qin"""
+BAD = "coalesce(try_cast(officers_requested as bigint), -1) < 0 or coalesce(barricades_requested, -1) < 0 or coalesce(evidence_count, -1) < 0"
+P_CTES = [*Q_CTES[:-4], ("planted", PLANTED)]
+
+
+def _planted(spark, sf_dir):
+    i = F.col("input_index")
+    return _queue(spark, sf_dir).withColumns({
+        "officers_requested": F.when(i % 50 == 7, F.lit("-2")).when(i % 50 == 8, F.lit("many")).otherwise(F.col("officers_requested").cast("string")),
+        "barricades_requested": F.when(i % 50 != 9, F.col("barricades_requested")),
+        "evidence_count": F.when(i % 50 == 10, F.lit(-3)).otherwise(F.col("evidence_count")),
+        "event_id": F.when(i % 4 == 0, F.lit("")).when(i % 4 != 1, F.col("event_id")),
+        "description": F.when(i % 3 == 0, F.lit("")).when(i % 3 != 1, F.col("description")),
+        "id": F.when(i % 8 == 0, F.concat(F.lit("own-"), i.cast("string"))),
+        "label": F.when(i % 5 == 0, F.concat(F.lit("Label "), i.cast("string"))).when(i % 5 == 1, F.lit(""))})
+
+
+@register("queue_rejects", W(P_CTES, f"""
+select queue_id, input_index, event_id, officers_requested, barricades_requested, evidence_count from planted where {BAD}"""))
 def queue_rejects(spark, sf_dir):
-    """QU10: queue rows with invalid counts."""
-    return QU.queue_rejects(_queue(spark, sf_dir))
+    """QU10: rows of a queue with planted faults whose counts are below 0, missing or no numbers."""
+    return QU.queue_rejects(_planted(spark, sf_dir))
+
+
+@register("queue_names", W([*P_CTES, ("valid", f"select * from planted where not ({BAD})"),
+                            ("pscored", SCORED.replace("from qin", "from valid")), ("pranked", f"select *, row_number() over ({WIN}) as rank from pscored"),
+                            ("pnamed", """
+select *, coalesce(nullif(event_id, ''), nullif(id, ''), nullif(label, ''), 'incident-' || rank) as shown from pranked""")], """
+select queue_id, rank, shown as event_id, coalesce(nullif(description, ''), nullif(label, ''), shown) as description from pnamed"""))
+def queue_names(spark, sf_dir):
+    """QU11: ids and descriptions of ranked rows, from id, label or rank where their own are missing or empty."""
+    return QU.allocate(_planted(spark, sf_dir)).select("queue_id", "rank", "event_id", "description")
 
 
 @register("queue_rationale")

@@ -53,7 +53,7 @@ def raw_incidents_from_events(events: DataFrame) -> DataFrame:
          .otherwise(F.col("event_type")).alias("event_cause"),
         _corridor_of(uid).alias("corridor"),
         F.when(k % 3 == 0, F.lit("Low")).otherwise(F.lit("High")).alias("priority"),
-        (k % 13 == 0).alias("requires_road_closure"),
+        ((k % 13 == 0) | (eid % 500 == 11)).alias("requires_road_closure"),
         F.when(eid % 97 == 5, null_ts).otherwise(ts).alias("start_datetime"),
         F.when(eid % 5 == 0, end_ts).alias("closed_datetime"),
         F.when(eid % 5 == 1, end_ts).alias("resolved_datetime"),

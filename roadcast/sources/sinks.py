@@ -32,6 +32,17 @@ def write_clean(clean: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("start_date").parquet(path))
 
 
+def read_clean(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, dates: DataFrame | None = None) -> DataFrame:
+    """SC2: cleaned incidents as written, with all types; only folders from ``first`` to ``last``, or of the ``dates``
+    (``start_date``) of a table, are read. Rows without a start have a folder of their own, which no date asks for."""
+    rows = spark.read.parquet(path)
+    if first is not None:
+        rows = rows.where(F.col("start_date") >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(F.col("start_date") <= F.lit(last).cast("date"))
+    return rows if dates is None else rows.join(dates.select("start_date").distinct(), "start_date", "left_semi")
+
+
 def write_dropped(dropped: DataFrame, path: str) -> None:
     """SC4: dropped-row log with reasons."""
     dropped.write.mode("overwrite").parquet(path)

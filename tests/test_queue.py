@@ -105,3 +105,11 @@ def test_closure_score_nan_and_text(spark):
     df = spark.createDataFrame([("nan",), ("abc",), (None,), ("1.7",), ("-2",), ("0.3",)], "p string")
     got = [r[0] for r in df.select(QU.closure_score(F.col("p"))).collect()]
     assert got == [0.0, 0.0, 0.0, 1.0, 0.0, 0.3]
+
+
+def test_missing_ids_and_descriptions_fall_back(spark):
+    q = queue(spark, BASE).withColumns({
+        "event_id": F.when(F.col("input_index") == 1, F.lit("")), "description": F.lit(""),
+        "id": F.when(F.col("input_index") == 2, F.lit("own")), "label": F.when(F.col("input_index") < 3, F.lit("a label"))})
+    got = {r["input_index"]: (r["event_id"], r["description"]) for r in QU.allocate(q).collect()}
+    assert got == {1: ("a label", "a label"), 2: ("own", "a label"), 3: ("incident-3", "incident-3")}
