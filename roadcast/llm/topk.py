@@ -7,8 +7,8 @@ merge per step until one list per query is left, so no task ever sees more
 than FAN_IN * k rows of a query.
 
 Scores are exact: components are floor(64 * x) of x as a double; the product
-runs in float64 while every partial sum is below 2**53 and in Python integers
-beyond; a score that 64 bits can't hold becomes the nearest long. Ties go to the smaller id.
+runs in float64 where every partial sum of a pair is below 2**53, and in Python
+integers for the other pairs; a score that 64 bits can't hold becomes the nearest long. Ties go to the smaller id.
 
 Cases: rows with a null id, a null vector, or null or non-finite components
 take no part; vectors of another length than the query's don't meet it; of
@@ -29,27 +29,34 @@ from pyspark.sql import functions as F
 from roadcast.llm.shared import cut
 
 QUERY_BLOCK, SHARD, FAN_IN = 2048, 8192, 16
+SCALE = 64  # a power of two: doubles hold multiples of 1 / SCALE exactly
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, d, v): usable rows only, v the floored components as little-endian 64-bit integers."""
+def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, d, v): usable rows only, v the components floored to whole 1 / SCALE, as little-endian doubles, which hold them exactly."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, packed, dims = [], [], []
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)):
                 if i is None or v is None:
                     continue
-                x = np.floor(scale * np.asarray(v, dtype=np.float64))
-                if np.isfinite(x).all() and (np.abs(x) < 2.0**62).all():
+                x = np.asarray(v, dtype=np.float64)
+                if np.isfinite(x).all():
+                    x = np.where(np.abs(x) < 2.0**52, np.floor(SCALE * np.clip(x, -2.0**52, 2.0**52)) / SCALE, x)  # larger ones are whole
                     ids.append(i)
-                    packed.append(x.astype("<i8").tobytes())
+                    packed.append((x + 0.0).astype("<f8").tobytes())
                     dims.append(len(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["id", "d", "v"])
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(pack, "id long, d int, v binary")
 
 
 def _matrix(frame: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(frame["v"]), dtype="<i8").reshape(len(frame), -1)
+    return np.frombuffer(b"".join(frame["v"]), dtype="<f8").reshape(len(frame), -1)
+
+
+def _whole(row: np.ndarray) -> list[int]:
+    """A row in 1 / SCALE as Python integers."""
+    return [int(x) * SCALE if abs(x) >= 2.0**52 else int(x * SCALE) for x in row.tolist()]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -66,17 +73,22 @@ def tile_scores(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFr
     """The k best candidates of each query within one tile."""
     q, c = _matrix(queries), _matrix(shard)
     ids, qids = shard["id"].to_numpy(), queries["id"].to_numpy()
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     out: list[tuple] = []
-    exact = top < 2.0**53
-    a, b = (q.astype(np.float64), c.astype(np.float64).T) if exact else (q.astype(object), c.astype(object).T)
-    for lo in range(0, len(q), 256):
-        s = a[lo:lo + 256] @ b
-        for row, qid in zip(s, qids[lo:lo + 256]):
-            at = np.flatnonzero(ids != qid)
-            vals = row[at] if exact else np.array([min(max(x, -2**63), 2**63 - 1) for x in row[at]], dtype=object).astype(np.int64)
-            best = _best(vals.astype(np.int64), ids[at], k)
-            out.append((qid, ids[at][best], vals[best].astype(np.int64)))
+    with np.errstate(over="ignore", invalid="ignore"):  # what overflows is computed anew below
+        a, b = q * SCALE, c.T * SCALE
+        most_q, most_c = np.abs(a).max(axis=1, initial=0) * max(1, q.shape[1]), np.abs(b).max(axis=0, initial=0)
+        for lo in range(0, len(q), 256):
+            s = a[lo:lo + 256] @ b
+            for k_row, (row, qid) in enumerate(zip(s, qids[lo:lo + 256]), lo):
+                beyond = np.flatnonzero(~(most_q[k_row] * most_c < 2.0**53))  # sums that doubles may not hold
+                row[beyond] = 0
+                vals = row.astype(np.int64)
+                if len(beyond):
+                    own = _whole(q[k_row])
+                    vals[beyond] = [min(max(sum(x * y for x, y in zip(own, _whole(c[j]))), -2**63), 2**63 - 1) for j in beyond]
+                at = np.flatnonzero(ids != qid)
+                best = _best(vals[at], ids[at], k)
+                out.append((qid, ids[at][best], vals[at][best]))
     n = [len(x[1]) for x in out]
     return pd.DataFrame({"query_id": np.repeat(np.array([x[0] for x in out], dtype=np.int64), n),
                          "vec_id": np.concatenate([x[1] for x in out]) if out else np.array([], np.int64),

@@ -1,8 +1,11 @@
 """Vectors (op4, op8), the n-gram join (op6), components and the pipeline."""
 
+import math
+import operator
 import random
 import re
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -164,6 +167,19 @@ def test_top_k_of_few_and_huge(spark):
     assert topk.top_k(v.limit(0), v, 20).count() == 0
 
 
+def test_top_k_keeps_finite_vectors_of_any_size(spark):
+    rows = [(20, [1.5, -0.01]), (1, [2.0**57, 3.0]), (2, [1.7e308, 0.0]), (3, [0.3, 0.0]), (4, [-2.0**70 + 2.0**20, 2.0**52 + 1]),
+            (5, [float("inf"), 0.0]), (6, [5e-324, -5e-324]), (40, [0.0, 0.0]), (60, [2.0**100, -2.0**100])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, topk.top_k(v.where("id % 20 = 0"), v, 20).collect()))
+    whole = {i: [math.floor(64 * Fraction(x)) for x in e] for i, e in rows if i != 5}
+    want = []
+    for i in (20, 40, 60):
+        scores = sorted((-max(-2**63, min(2**63 - 1, sum(map(operator.mul, whole[i], w)))), j) for j, w in whole.items() if j != i)
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    assert got == want
+
+
 # ---- n-gram join ----
 
 def shingles(text):
