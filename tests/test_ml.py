@@ -86,3 +86,22 @@ def test_folds_are_sql_hashes(spark):
     import hashlib
     got = {r.id: r.f for r in rows(spark, 30).select("id", FT.fold_of("id", 5, 42).alias("f")).collect()}
     assert got == {k: int(hashlib.md5(f"{k}:42".encode()).hexdigest()[:8], 16) % 5 for k in got}
+
+
+def test_counted_rows_grow_the_trees_of_all_rows(spark):
+    t = table(spark, 150, 3)
+    models = [B.Model(B.Setting(0.1, 2), f) for f in (0, None)]
+    counted = t.rows.groupBy("fold", "bins", "y").agg(F.count(F.lit(1)).alias("n"), F.min("row_hash").alias("row_hash"))
+    assert counted.count() < 150
+    for small in (B.SMALL_BYTES, 0):
+        one, two = (B.boosted(x, t.widths, models, 6, "squared", small_bytes=small)[0] for x in (t.rows, counted))
+        np.testing.assert_array_equal(one.feature, two.feature)
+        np.testing.assert_array_equal(one.value, two.value)
+
+
+def test_durations_are_learned_from_counted_inputs(spark):
+    t = spark.createDataFrame([(i, ["planned", "unplanned"][i % 2], ["a", "b", None][i % 3], i % 4 // 2, float(10 + 90 * (i % 3 == 0))) for i in range(240)],
+                              "id int, event_type string, cause string, flag int, duration_minutes double")
+    got = ML.duration_regression(t.where("id < 180"), t.where("id >= 180"), ["cause"], ["flag"]).collect()
+    assert sorted(r.id for r in got) == list(range(180, 240))
+    assert all(abs(r.predicted_minutes - r.duration_minutes) < 1 for r in got)
