@@ -131,13 +131,15 @@ def advisory(rec: DataFrame, stations: DataFrame, start: str = "planned_start")
     beat = F.when(corridor != "Non-corridor", X.filled(F.lit(C.ADVISORY_STATION), {"name": F.col("_beat")}))
     place = F.coalesce(corridor, F.lit("Non-corridor"))
     df = advisory_window(df, start).withColumns({"vms_message": vms_message(df, start)})
-    title = X.filled(F.lit(C.ADVISORY_TITLE), {"date": F.date_format(F.col(start), "yyyy-MM-dd"),
-                                               "event": X.title_words(F.col("event_cause")), "place": place})
-    text = X.filled(F.lit(C.ADVISORY_LAYOUT), {
-        "movement": F.when(_closed(), C.ADVISORY_CLOSED).otherwise(C.ADVISORY_OPEN), "staff": F.lit(C.ADVISORY_STAFF),
-        "rule": F.repeat(F.lit("="), F.length(title)), "window": F.col("time_range"),
-        "officers": F.col("recommended_personnel_count"), "station": F.coalesce(beat, F.lit(C.DEFAULT_STATION)),
-        "title": title, "sign": F.col("vms_message"), "place": place})
+    title = X.laid_out(C.ADVISORY_TITLE, {"date": F.date_format(F.col(start), "yyyy-MM-dd"),
+                                          "event": X.title_words(F.col("event_cause")), "place": place}, plain=("date",))
+    plain = ("window", "officers")
+    slots = {"window": F.col("time_range"), "officers": F.col("recommended_personnel_count"),
+             "station": F.coalesce(beat, F.lit(C.DEFAULT_STATION)), "title": title, "sign": F.col("vms_message"), "place": place}
+    movement = F.when(_closed(), X.laid_out(C.ADVISORY_CLOSED, slots, plain)).otherwise(X.laid_out(C.ADVISORY_OPEN, slots, plain))
+    text = X.laid_out(C.ADVISORY_LAYOUT, {
+        "movement": movement, "staff": X.laid_out(C.ADVISORY_STAFF, slots, plain), "rule": F.repeat(F.lit("="), F.length(title)),
+        **slots}, plain=("movement", "staff", "rule", *plain))
     return df.withColumn("advisory_text", text).drop("_beat_corridor", "_beat")
 
 

@@ -4,17 +4,20 @@ Evidence is never a join of incidents x history: one cause can hold a third
 of the history. Instead the history is reduced once to
 
 * counts and newest time per cause and per (corridor, cause), and
-* the newest K rows per cause and per (corridor, cause) -
-  ``row_number() <= K`` plans as a partial ``WindowGroupLimit`` before the
-  shuffle, so each task ships at most K rows per group,
+* the newest K rows per cause and per (corridor, cause), ranked among the
+  days that hold them: counts per day say which those are,
 
 and the incoming incidents join those small tables (each written, and
 broadcast or not by its bytes). Fine matches use the (corridor, cause) tables; every other tier
-uses the cause tables.
+uses the cause tables. A brief's list is built once for each key that
+incidents ask for, not once for each incident.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +65,28 @@ def newest_k(history: DataFrame, keys: list[str], k: int) -> DataFrame:
     h = history.where(F.col("event_cause").isNotNull())
     for key in keys:
         h = h.where(F.col(key).isNotNull())
-    return h.select("id", *EVIDENCE_COLUMNS).withColumn("evidence_rank", F.row_number().over(w)) \
+    rows = h.select("id", *EVIDENCE_COLUMNS).withColumn("_day", F.to_date("start_datetime_ist"))
+    days = newest_days(rows, keys, k)
+    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(days[f"_d_{c}"]) for c in [*keys, "_day"]])
+    return rows.join(days, on, "left_semi").drop("_day").withColumn("evidence_rank", F.row_number().over(w)) \
         .where(F.col("evidence_rank") <= k)
 
 
+def newest_days(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(_d_<key>..., _d__day): the days of each key that its newest ``k`` rows are in, rows without a time last."""
+    per = rows.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_day").desc()))
+    held = per.withColumn("_newer", upto - F.col("_n")).where(F.col("_newer") < k)
+    return broadcast_if_small(held.select(*(F.col(c).alias(f"_d_{c}") for c in [*keys, "_day"])))
+
+
 ANY_CORRIDOR = "\u0000any"  # lookup key of cause-level rows (never a real corridor)
 
 
+def _lookup_key() -> F.Column:
+    return F.when(F.col("match_level") == "fine", F.col("corridor")).otherwise(F.lit(ANY_CORRIDOR))
+
+
 def evidence_top_k(fc: DataFrame, history: DataFrame, k: int = C.EVIDENCE_TOP_K) -> DataFrame:
     """EV2: newest ``k`` evidence rows per forecast, by match level.
 
@@ -84,9 +102,7 @@ def evidence_top_k(fc: DataFrame, history: DataFrame, k: int = C.EVIDENCE_TOP_K)
     by_pair = pair.withColumn("_kc", F.col("corridor"))
     by_cause = cause.withColumn("_kc", F.lit(ANY_CORRIDOR))
     lookup = broadcast_if_small(by_pair.unionByName(by_cause))
-    inc = fc.select("incident_id", F.col("event_cause").alias("_cause"), "match_level",
-                    F.when(F.col("match_level") == "fine", F.col("corridor"))
-                    .otherwise(F.lit(ANY_CORRIDOR)).alias("_key"))
+    inc = fc.select("incident_id", F.col("event_cause").alias("_cause"), "match_level", _lookup_key().alias("_key"))
     j = inc.join(lookup, (inc["_key"] == lookup["_kc"]) & (inc["_cause"] == lookup["event_cause"]))
     return j.drop("_cause", "_key", "_kc")
 
@@ -104,6 +120,48 @@ def brief_evidence(top: DataFrame, k: int = C.BRIEF_TOP_K) -> DataFrame:
     return g.select("incident_id", F.transform("_r", lambda x: x["row"]).alias("evidence"))
 
 
+class BriefEvidence(NamedTuple):
+    """asking: the forecasts and ``_asks``, what their list is kept under; lists: (incident_id, evidence), one row for each ``_asks``."""
+    asking: DataFrame
+    lists: DataFrame
+
+
+def brief_lists(fc: DataFrame, history: DataFrame, k: int = C.BRIEF_TOP_K) -> BriefEvidence:
+    """EV2 and EV3 for every key that forecasts ask for.
+
+    Forecasts of one match key have the same evidence, so the operators run on distinct keys in place of incidents. Rows
+    that share an incident id have one list, with the evidence of all of them: these ask by their id.
+    """
+    again = fc.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    again = broadcast_if_small(again.select(F.col("incident_id").alias("_again_id"), F.lit(True).alias("_again")))
+    asking = fc.join(again, fc["incident_id"].eqNullSafe(again["_again_id"]), "left")
+    key = F.when(F.col("_again").isNull(), _lookup_key())
+    asking = asking.withColumn("_asks", F.struct(F.when(F.col("_again"), F.col("incident_id")).alias("id"), key.alias("key"),
+                                                 F.when(F.col("_again").isNull(), F.col("event_cause")).alias("cause")))
+    fine = F.col("match_level") == "fine"
+    asked = asking.groupBy("_asks", "_again", "event_cause", F.when(fine, F.lit("fine")).otherwise("").alias("match_level"),
+                           F.when(fine, F.col("corridor")).alias("corridor")).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.when(F.col("_again"), F.col("_n")).otherwise(F.lit(1)).cast("int")
+    asked = asked.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times)))
+    top = evidence_top_k(asked.withColumn("incident_id", F.col("_asks")), history, k)
+    return BriefEvidence(asking.drop("_again_id", "_again"), broadcast_if_small(brief_evidence(top, k)))
+
+
+def incident_evidence(brief: BriefEvidence) -> DataFrame:
+    """EV3: (incident_id, evidence), one row for each incident id with evidence."""
+    asks = brief.lists.select(F.col("incident_id").alias("_of"), "evidence")
+    once = brief.asking.where(F.col("_asks.key").isNotNull())
+    once = once.join(asks, once["_asks"] == asks["_of"]).select("incident_id", "evidence")
+    return once.unionByName(asks.where(F.col("_of.key").isNull()).select(F.col("_of.id").alias("incident_id"), "evidence"))
+
+
+def with_evidence(brief: BriefEvidence) -> DataFrame:
+    """The forecasts with ``evidence``, null where there is none or the incident has no id."""
+    asks = brief.lists.select(F.col("incident_id").alias("_of"), "evidence")
+    rows = brief.asking
+    return rows.join(asks, (rows["_asks"] == asks["_of"]) & rows["incident_id"].isNotNull(), "left").drop("_asks", "_of")
+
+
 def fmt_minutes(c) -> F.Column:
     return F.when(c.isNull(), F.lit("Unknown")).otherwise(F.concat(X.whole(c), F.lit(" minutes")))
 
@@ -113,10 +171,9 @@ def fmt_percent(c) -> F.Column:
         F.concat(F.format_string("%.1f", F.bround(c * 100, 1)), F.lit("%")))
 
 
-def brief_records(adv: DataFrame, brief_ev: DataFrame) -> DataFrame:
-    """EV4: one nested printable-brief record per incident."""
-    j = adv.join(brief_ev, "incident_id", "left")
-    return j.select(
+def brief_records(adv: DataFrame) -> DataFrame:
+    """EV4: one nested printable-brief record per incident (advisories of :func:`with_evidence`)."""
+    return adv.select(
         "incident_id",
         X.incident_code(F.col("event_cause"), F.col("planned_start")).alias("incident_code"),
         F.struct(X.title_words(F.col("event_cause")).alias("cause"),

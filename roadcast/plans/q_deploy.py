@@ -82,9 +82,10 @@ def recommend_df(spark, sf_dir, with_text=True):
     return DP.recommend(forecast_df(spark, sf_dir), with_text=with_text)
 
 
-def advisory_df(spark, sf_dir):
+def advisory_df(spark, sf_dir, fc=None):
+    """Advisories of all forecasts; ``fc``: the forecasts with further columns, which stay."""
     stations = BL.station_by_corridor(ctx.clean(spark, sf_dir))
-    return DP.advisory(recommend_df(spark, sf_dir), stations)
+    return DP.advisory(recommend_df(spark, sf_dir) if fc is None else DP.recommend(fc), stations)
 
 
 @register("personnel", W(REC_CTES, """

@@ -51,6 +51,10 @@ def _top(spark, sf_dir, k=20):
     return EV.evidence_top_k(forecast_df(spark, sf_dir), ctx.clean(spark, sf_dir), k)
 
 
+def _brief(spark, sf_dir):
+    return EV.brief_lists(forecast_df(spark, sf_dir), ctx.clean(spark, sf_dir), 8)
+
+
 @register("evidence", EVIDENCE_SQL)
 def evidence(spark, sf_dir):
     """EV1: evidence row count (cause, or corridor+cause at fine) and newest time."""
@@ -72,15 +76,13 @@ def evidence_top20(spark, sf_dir):
 @register("brief_evidence")
 def brief_evidence(spark, sf_dir):
     """EV3: top 8 rows per incident as ARRAY<STRUCT> (rows-only)."""
-    return EV.brief_evidence(_top(spark, sf_dir, 8))
+    return EV.incident_evidence(_brief(spark, sf_dir))
 
 
 @register("brief_records")
 def brief_records(spark, sf_dir):
     """EV4: nested printable-brief record per incident (rows-only)."""
-    adv = advisory_df(spark, sf_dir)
-    ev = EV.brief_evidence(_top(spark, sf_dir, 8))
-    return EV.brief_records(adv, ev)
+    return EV.brief_records(advisory_df(spark, sf_dir, EV.with_evidence(_brief(spark, sf_dir))))
 
 
 def _valid(spark, sf_dir):
