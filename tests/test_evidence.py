@@ -96,3 +96,16 @@ def test_text_laid_out_equals_slots_replaced_one_after_another(spark):
     got = df.select(X.filled(F.lit(template), slots).alias("was"), X.laid_out(template, slots, plain=("c",)).alias("now")).collect()
     assert [r["now"] for r in got] == [r["was"] for r in got]
     assert got[1]["now"].startswith("4{a} and 4 on 4{a}: 4")
+
+
+def test_long_stages_run_by_operator_but_in_the_training_data_operators(spark):
+    import __spark_entry__ as entry
+    limit = lambda: spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    found, before = entry.queries(), limit()
+    try:
+        found["op8_topk_tiles"](spark, SF)
+        assert limit() == "65535"
+        found["dq_summary"](spark, SF)
+        assert limit() == "8000"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
