@@ -10,6 +10,9 @@ Every stage works on all rows that its predecessor kept:
 
 All stages but the last return the columns of documents. Nulls, empty texts, ties, repeated rows, empty tables and
 further columns are handled as the operators' docstrings say.
+
+Executors use the same Python workers for all stages, so what one stage made them take counts in the next ones too. Stages
+whose Python steps get whole texts and are started by whoever writes their result set a smaller Arrow batch for the session.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadcast.llm import jaccard_join, pareto_mix, queries, secret_scan, toxicity
-from roadcast.llm.shared import cut, table
+from roadcast.llm.shared import ARROW_ROWS, WIDE_ROWS, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 1: a model of the labelled documents that aren't held out, applied to all."""
+    spark.conf.set(ARROW_ROWS, str(WIDE_ROWS))
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -46,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 5: one row for each row of the mix."""
+    spark.conf.set(ARROW_ROWS, str(WIDE_ROWS))
     return queries.encoded_digests(docs)
 
 

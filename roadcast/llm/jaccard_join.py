@@ -45,12 +45,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadcast.llm.components import components
-from roadcast.llm.shared import cut, packed, unpacked
+from roadcast.llm.shared import NARROW_ROWS, WIDE_ROWS, arrow_rows, cut, packed, unpacked
 
 NGRAM, PERCENT = 3, 90
 RARITY_BITS, CHUNK = 20, 4096
 SMALL, BLOCK, CELLS = 24, 512, 256
-PORTION = 1 << 20
+#: Bytes of text hashed at once; numpy holds some forty times as much meanwhile.
+PORTION = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -292,9 +293,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep = ~_differ_too_much(part.column("an").to_numpy(), part.column("bn").to_numpy(), np.abs(x - y).sum(axis=1))
                 yield part.select(["a", "b"]).filter(pa.array(keep))
 
-    left = cut(ab.mapInArrow(filtered, "a long, b long"), "candidates")
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        left = cut(ab.mapInArrow(filtered, "a long, b long"), "candidates")
     wanted = left.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    members = cut(_node_sets(docs, cut(nodes.select("rep", "sid").join(wanted, "rep"), "wanted")), "sets")
+    wanted = cut(nodes.select("rep", "sid").join(wanted, "rep"), "wanted")
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        members = cut(_node_sets(docs, wanted), "sets")
     both = left.join(members.toDF("a", "am"), "a").join(members.toDF("b", "bm"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +310,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(verify, "a long, b long"), "links")
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        return cut(both.mapInArrow(verify, "a long, b long"), "links")
 
 
 def _across(postings: DataFrame, nodes: DataFrame, group: DataFrame) -> DataFrame:
@@ -338,11 +343,14 @@ def _across(postings: DataFrame, nodes: DataFrame, group: DataFrame) -> DataFram
 
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...)."""
-    rows = cut(shingled(docs), "shingled")
+    spark = docs.sparkSession
+    with arrow_rows(spark, WIDE_ROWS):
+        rows = cut(shingled(docs), "shingled")
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
     first = F.min_by(F.struct("prefix", "cells"), "doc_id")
     nodes = cut(usable.groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), first.alias("f")).select("sid", "n", "rep", "f.*"), "set-nodes")
-    postings = cut(_postings(nodes), "postings")
+    with arrow_rows(spark, NARROW_ROWS):
+        postings = cut(_postings(nodes), "postings")
     held = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     large_tokens = cut(held.where(F.col("held") > SMALL).select("token"), "large-tokens")
     large = cut(postings.join(large_tokens, "token"), "large")

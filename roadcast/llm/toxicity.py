@@ -267,7 +267,7 @@ class Scorer:
                 for t, found in zip(texts, self.sentences(texts))]
 
 
-def _portions(values: list, limit: int = 4 << 20) -> Iterator[list[str]]:
+def _portions(values: list, limit: int = 1 << 20) -> Iterator[list[str]]:
     some, size = [], 0
     for v in values:
         some.append(v if isinstance(v, str) else "")

@@ -5,15 +5,18 @@ import operator
 import random
 import re
 import sys
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadcast.llm import components as C
 from roadcast.llm import flat_graph as G
 from roadcast.llm import jaccard_join as J
 from roadcast.llm import topk
+from roadcast.llm import toxicity as T
 
 VECTORS = "vec_id long, embedding array<float>, label int, rank string, n long"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, rep string, _id int"
@@ -247,6 +250,33 @@ def test_portions_hash_alike(monkeypatch):
         assert np.array_equal(J.shingle_sets([t])[0], s) and len(s) == len(shingles(t.decode()))
 
 
+def test_hashing_a_portion_holds_little_memory():
+    rng = random.Random(5)
+    texts = pa.array([" ".join(str(rng.randrange(10**6)) for _ in range(2000)) for _ in range(300)])
+    J._POWERS.clear()
+    tracemalloc.start()
+    try:
+        rows = sum(len(J.shingle_sets(some)) for _, some in J._portions(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and texts.nbytes > 4_000_000 and peak < 30e6, peak
+
+
+def test_steps_on_whole_texts_and_sets_get_few_rows_at_once(spark, monkeypatch):
+    seen, cut, rows = {}, J.cut, lambda: int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    monkeypatch.setattr(J, "cut", lambda df, name: seen.setdefault(name, []).append(rows()) or cut(df, name))
+    before = rows()
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x", 2) for i, t in enumerate(near_texts()[:60])], DOCS)
+    assert J.joined(df).count() == 60 and rows() == before
+    assert all(n <= 1000 for name in ("shingled", "candidates", "sets", "links") for n in seen[name]) and seen["postings"] == [10_000]
+
+
+def test_scoring_portions_are_small():
+    texts = ["x" * 300_000] * 20
+    assert max(sum(map(len, some)) for some in T._portions(texts)) < (1 << 20) + 300_000 and [t for some in T._portions(texts) for t in some] == texts
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(9, 9), (3, 4), (4, 3)]
