@@ -50,7 +50,7 @@ from roadcast.llm.shared import NARROW_ROWS, WIDE_ROWS, arrow_rows, cut, packed,
 NGRAM, PERCENT = 3, 90
 RARITY_BITS, CHUNK = 20, 4096
 SMALL, BLOCK, CELLS = 24, 512, 256
-#: Bytes of text hashed at once; numpy holds some forty times as much meanwhile.
+#: Bytes of text hashed at once; numpy holds many times as much meanwhile.
 PORTION = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
