@@ -16,7 +16,9 @@ the score before a term's weight: they depend on the document and on sums over t
    from block to block of a task. TOGETHER items go down at once in flat arrays; at each step an item splits its best STATES.
 5. Tasks give each item's best k, which meet in two rounds of ranking, by tile and then by item.
 
-Items are asked in batches of about ITEM_BYTES of text, one search each, so what is sent to the tasks is bounded.
+Items are asked in batches of about ITEM_BYTES of text, one search each, so what is sent to the tasks is bounded. A
+task's memory doesn't grow with its share of the input: texts come WIDE_ROWS at once, blocks one by one, and a file holds
+FILE_BLOCKS blocks, as parquet's writer and reader keep a file's first hundred rows in memory whatever their size.
 
 Scores are exact integers. Cases: null texts, empty texts and texts without terms are not counted and never found; items
 without terms or with a null id find nothing; rows that share an item_id are one item, whose terms are those of all of
@@ -37,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadcast.llm.shared import cut
+from roadcast.llm.shared import WIDE_ROWS, arrow_rows, cut
 
 #: Terms of UTF-8 text: ASCII letters and digits and every byte of other signs.
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-BLOCK_POSTINGS, BLOCK_DOCS = 1 << 19, 1 << 13
-ITEM_BYTES, TOGETHER, STATES, TILES = 4 << 20, 64, 160, 64
+BLOCK_POSTINGS, BLOCK_DOCS, FILE_BLOCKS = 1 << 18, 1 << 13, 8
+ITEM_BYTES, TOGETHER, STATES, TILES = 4 << 20, 32, 160, 64
 BLOCK = "docs binary, lexicon binary, held binary, levels int, masks array<binary>, tops array<binary>, points array<binary>"
 _BITS = np.array([bin(m).count("1") for m in range(16)], dtype=np.int64)
 
@@ -72,7 +74,8 @@ def measured(docs: DataFrame) -> Corpus:
                 documents, terms = documents + bool(n), terms + n
         yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([terms])], ["documents", "terms"])
 
-    sums = docs.select("text").mapInArrow(count, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        sums = docs.select("text").mapInArrow(count, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
     return Corpus(*(x or 0 for x in sums))
 
 
@@ -173,7 +176,8 @@ def index(docs: DataFrame, corpus: Corpus) -> DataFrame:
         if some.ids:
             yield row()
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, BLOCK), "k2-blocks")
+    with arrow_rows(docs.sparkSession, WIDE_ROWS):
+        return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, BLOCK), "k2-blocks", maxRecordsPerFile=FILE_BLOCKS)
 
 
 def _frequencies(blocks: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
@@ -190,7 +194,8 @@ def _frequencies(blocks: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     rows = blocks.select("lexicon", "held").mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {bytes(r["term"]): r["n"] for r in rows.collect()}
+    with arrow_rows(blocks.sparkSession, 1):
+        return {bytes(r["term"]): r["n"] for r in rows.collect()}
 
 
 class Block:
@@ -379,7 +384,8 @@ def top_k(blocks: DataFrame, corpus: Corpus, items: DataFrame, k: int = 50) -> D
     for batch in _batches(items):
         df = _frequencies(blocks, set().union(*(terms for _, terms in batch))) if batch else {}
         asked = [sorted((t, corpus.weight(df[t])) for t in terms if t in df) for _, terms in batch]
-        some = cut(_candidates(blocks, [q for q, _ in batch], asked, k), "k2-found")
+        with arrow_rows(blocks.sparkSession, 1):
+            some = cut(_candidates(blocks, [q for q, _ in batch], asked, k), "k2-found")
         found = some if found is None else found.unionByName(some)
     order = [F.desc("score"), F.asc_nulls_last("doc_id")]
     tiled = found.withColumn("_tile", F.spark_partition_id() % TILES)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from roadcast.llm import k2_treap
+from roadcast.llm.shared import ARROW_ROWS
 
 DOCS = "doc_id long, text string, score long, item_id long"
 ITEMS = "item_id long, text string, rank int"
@@ -66,6 +67,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block_docs, states, k):
     assert sorted(map(tuple, found.collect()), key=str) == brute(docs, items, k)
 
 
+def test_a_task_holds_few_texts_and_blocks_at_once(spark, monkeypatch):
+    asked, cut = [], k2_treap.cut
+    monkeypatch.setattr(k2_treap, "cut", lambda df, *a, **b: asked.append(int(spark.conf.get(ARROW_ROWS))) or cut(df, *a, **b))
+    frame = spark.createDataFrame([(d, f"a b{d % 7}", 0, 0) for d in range(40)], DOCS).coalesce(1)
+    corpus = k2_treap.measured(frame)
+
+    def single(batches):  # a block for each document, built in the workers
+        k2_treap.BLOCK_DOCS = 1
+        yield from batches
+    blocks = k2_treap.index(frame.mapInArrow(single, DOCS), corpus)
+    assert len(blocks.inputFiles()) == 5 and blocks.count() == 40
+    assert k2_treap.top_k(blocks, corpus, spark.createDataFrame([(1, "b3", 0)], ITEMS), 3).count() == 3
+    assert asked == [1000, 1]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", 0, 0)], DOCS), spark.createDataFrame([(1, "a", 0)], ITEMS)
     assert k2_treap.search_all(docs.limit(0), items).collect() == []
