@@ -80,3 +80,13 @@ def test_flags_need_no_quantiles(spark):
     from roadcast.operators.features import numeric_cuts
     rows = spark.createDataFrame([(k % 2, k % 5, float(k % 2), None) for k in range(100)], "flag int, five int, real double, none int")
     assert numeric_cuts(rows, 1, ["flag", "five", "real", "none"]) == [[0.5], [0.0], [0.0, 1.0, 2.0, 3.0], [0.0], [0.0]]
+
+
+def test_a_grid_grows_apart_and_is_scored_once(spark, monkeypatch):
+    scored, held_out_f1 = [], ML.held_out_f1
+    monkeypatch.setattr(ML, "held_out_f1", lambda rows, grown, marks: scored.append((len(grown.models), list(marks))) or held_out_f1(rows, grown, marks))
+    monkeypatch.setattr(B, "TINY_BYTES", 0)
+    monkeypatch.setattr(L, "_level", None)
+    axes = {k: v[:1] for k, v in ML.TUNING_AXES.items()} | {"maxIter": [2, 4], "maxDepth": [2]}
+    got = {r.max_iter: r.f1 for r in ML.cv_tuning(table(spark, 90, 3), folds=3, axes=axes).collect()}
+    assert scored == [(3, [2, 4])] and set(got) == {2, 4} and got[4] > 0.9
