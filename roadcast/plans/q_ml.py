@@ -100,7 +100,7 @@ def _experiment(spark, sf_dir):
     """EX1-EX6: the experiments' frame, split 80/20 within the severe-impact strata."""
     raw = adapter.raw_incidents_from_events(spread(read_table(spark, sf_dir, "events"), "event_id", "ts"))
     frame = EX.stratified_split(EX.rows(cleaning.clean_incidents(raw), read_table(spark, sf_dir, "documents")), "severe_impact")
-    return frame.withColumnRenamed("fold", "which")
+    return frame.withColumnRenamed("fold", "which").drop("description", "comment")  # their words are in the keyword columns
 
 
 def _oof_sql():
@@ -229,7 +229,7 @@ def oof_threshold(spark, sf_dir):
 @register("stacked_regression")
 def stacked_regression(spark, sf_dir):
     """EX8: stacked duration regressors, planned and unplanned apart, on the test fold (rows-only)."""
-    timed = _experiment(spark, sf_dir).where(F.col("duration_minutes").isNotNull())
+    timed = materialize(_experiment(spark, sf_dir).where(F.col("duration_minutes").isNotNull()), "timed")
     tables = [EX.table(timed.where(F.col("event_type") == t), F.log1p("duration_minutes"), ["event_type", "duration_minutes"])
               for t in ("planned", "unplanned")]
     return ML.stacked_regression(tables)
