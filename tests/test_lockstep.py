@@ -90,3 +90,22 @@ def test_a_grid_grows_apart_and_is_scored_once(spark, monkeypatch):
     axes = {k: v[:1] for k, v in ML.TUNING_AXES.items()} | {"maxIter": [2, 4], "maxDepth": [2]}
     got = {r.max_iter: r.f1 for r in ML.cv_tuning(table(spark, 90, 3), folds=3, axes=axes).collect()}
     assert scored == [(3, [2, 4])] and set(got) == {2, 4} and got[4] > 0.9
+
+
+def test_a_block_is_kept_as_chunks(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_ROWS", 7)
+    t = B._counted(table(spark, 90, 3).rows)
+    widths = table(spark, 90, 3).widths
+
+    def small(batches):  # read in the workers too
+        L.CHUNK_ROWS = 7
+        yield from batches
+    held = L.blocks(t.select("row_hash", "y", "fold", "n", "bins").mapInArrow(small, "row_hash long, y double, fold int, n double, bins binary"), widths, True, 2)
+    held = held.toArrow().to_batches()
+    assert sum(len(b) for b in held) >= 12 and max(len(x.as_py()) for b in held for x in b.column(1)) <= 7 * 8
+    found = list(L._opened(iter(held)))
+    assert sum(len(rows.y) for rows, _ in found) == 90 and len(found) <= 2
+    ids = np.concatenate([rows.ids for rows, _ in found])
+    assert sorted(ids.tolist()) == sorted(r.row_hash for r in t.collect())
+    divided = [b.slice(k, 1) for b in held for k in range(len(b))][5:]  # a read may begin inside a block
+    assert sum(len(rows.y) for rows, _ in L._opened(iter(divided))) < 90
